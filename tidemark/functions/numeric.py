@@ -28,11 +28,6 @@ def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     return F.round(F.try_divide(_wide(part) * 100, _wide(whole)), digits).cast("double")
 
 
-def share(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
-    """Share of two counts as a fraction, rounded half to even."""
-    return F.bround(F.try_divide(_wide(part), _wide(whole)), digits).cast("double")
-
-
 def exact_avg(c: Column | str, digits: int = 2, scale: int = 2) -> Column:
     """Aggregate: average over decimals, rounded half away from zero (SQL ``ROUND(AVG(..), n)``)."""
     value = money(c, scale)
@@ -41,8 +36,8 @@ def exact_avg(c: Column | str, digits: int = 2, scale: int = 2) -> Column:
 
 
 def mean(c: Column | str, digits: int = 6) -> Column:
-    """Aggregate: floating average, rounded so that the summation order cannot show."""
-    return F.round(F.avg(as_col(c).cast("double")), digits)
+    """Aggregate: floating average, rounded so that the summation order does not show."""
+    return half_even(F.avg(as_col(c).cast("double")), digits)
 
 
 def half_up(c: Column | str, digits: int = 0) -> Column:
@@ -51,8 +46,10 @@ def half_up(c: Column | str, digits: int = 0) -> Column:
 
 
 def half_even(c: Column | str, digits: int = 0) -> Column:
-    """Round half to even (pandas / Python style)."""
-    return F.bround(as_col(c), digits)
+    """Round a floating value half to even, on the scaled value as pandas does."""
+    scale = F.lit(10.0**digits)
+    value = as_col(c).cast("double")
+    return F.rint(value * scale) / scale if digits else F.rint(value)
 
 
 def to_int_nearest(c: Column | str) -> Column:

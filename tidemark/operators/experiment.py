@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import ratio
+from ..functions.numeric import half_even, ratio
 from ..functions.probability import norm_ppf
 from .joins import align_groups, lookup_join
 from .summarize import share_of_total
@@ -33,7 +33,7 @@ def group_balance(df: DataFrame, unit: str, group: str, a: str, b: str, by: Sequ
     pick = lambda label: F.coalesce(F.sum(F.when(F.col(group) == label, F.col("units"))), F.lit(0))
     both = sizes.groupBy(*by).agg(pick(a).alias("units_a"), pick(b).alias("units_b"))
     gap = ratio(F.abs(F.col("units_a") - F.col("units_b")) * 100, "units_a")
-    return both.withColumn("gap_percent", F.bround(gap, 2))
+    return both.withColumn("gap_percent", half_even(gap, 2))
 
 
 def contaminated_units(df: DataFrame, unit: str, group: str) -> DataFrame:
@@ -53,7 +53,7 @@ def covariate_balance(df: DataFrame, unit: str, group: str, columns: Sequence[st
         .agg(F.countDistinct(unit).alias("units"))
     )
     out = share_of_total(counts, "units", "share", ["covariate", group])
-    return out.withColumn("share", F.bround("share", digits))
+    return out.withColumn("share", half_even("share", digits))
 
 
 def conversion(num: DataFrame, den: DataFrame, unit: str, group: str) -> DataFrame:
@@ -81,7 +81,7 @@ def share_gap(df: DataFrame, group: str, success: str, a: str, b: str) -> DataFr
     """Success shares of two groups and their distance in percentage points (half-even, 2 digits)."""
     side = lambda label: F.avg(F.when(F.col(group) == label, F.col(success).cast("double")))
     both = df.agg(side(a).alias("share_a"), side(b).alias("share_b"))
-    return both.withColumn("gap_points", F.bround(F.abs(F.col("share_a") - F.col("share_b")) * 100, 2))
+    return both.withColumn("gap_points", half_even(F.abs(F.col("share_a") - F.col("share_b")) * 100, 2))
 
 
 def arm_size(effect: Column | float, alpha: float = 0.05, power: float = 0.8) -> Column:
@@ -121,7 +121,7 @@ def test_duration(
 ) -> DataFrame:
     """Days needed to fill both arms at the history's rounded mean of daily distinct units."""
     daily = history.groupBy(*by, F.to_date(ts).alias("date")).agg(F.countDistinct(unit).alias("units"))
-    traffic = daily.groupBy(*by).agg(F.bround(F.avg("units"), 0).cast("long").alias("daily_units"))
+    traffic = daily.groupBy(*by).agg(half_even(F.avg("units")).cast("long").alias("daily_units"))
     days = F.ceil(F.try_divide(arm_size(effect, alpha, power) * 2, F.col("daily_units").cast("double")))
     return traffic.withColumn("days", days.cast("long"))
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numeric import half_even, ratio
 from .quantiles import quantiles
 
 
@@ -25,7 +26,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         "column_name",
         F.col("_rows").alias("rows"),
         "nulls",
-        F.round(F.try_divide(F.col("nulls").cast("double"), F.col("_rows").cast("double")), 6).alias("null_share"),
+        half_even(ratio("nulls", "_rows"), 6).alias("null_share"),
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numeric import half_even
 from .joins import with_group_rows, with_one_row
 from .quantiles import quantiles
 from .sizing import local_rows
@@ -63,8 +64,8 @@ def outside_share(df: DataFrame, column: str, bounds: DataFrame, by: Sequence[st
     value = F.col(column)
     return joined.groupBy(*by).agg(
         F.count("*").alias("rows"),
-        F.round(F.count_if(value < F.col("lower")) * 100.0 / F.count("*"), 6).alias("below_percent"),
-        F.round(F.count_if(value > F.col("upper")) * 100.0 / F.count("*"), 6).alias("above_percent"),
+        half_even(F.count_if(value < F.col("lower")) / F.count("*") * 100, 6).alias("below_percent"),
+        half_even(F.count_if(value > F.col("upper")) / F.count("*") * 100, 6).alias("above_percent"),
     )
 
 

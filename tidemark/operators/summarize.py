@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import percent, ratio
+from ..functions.numeric import half_even, percent, ratio
 from .joins import with_one_row
 
 
@@ -76,12 +76,12 @@ def condition_share(df: DataFrame, conditions: Mapping[str, Column], by: Sequenc
 def rate_by_dimension(counts: DataFrame, dimension: DataFrame, on: str, count: str, size: str, digits: int = 2) -> DataFrame:
     """Counts joined to an external size series by key and divided (half-even rounding)."""
     joined = counts.join(dimension, on, "inner")
-    return joined.withColumn("rate", F.bround(ratio(count, size), digits))
+    return joined.withColumn("rate", half_even(ratio(count, size), digits))
 
 
 def market_share(df: DataFrame, totals: Mapping[str, int]) -> DataFrame:
     """Row count as a percentage of external totals given as parameters."""
     rows = df.agg(F.count("*").alias("rows"))
     return rows.withColumns(
-        {name: F.round(F.col("rows") * 100.0 / F.lit(total), 6) for name, total in totals.items()}
+        {name: half_even(F.col("rows") / F.lit(float(total)) * 100, 6) for name, total in totals.items()}
     )

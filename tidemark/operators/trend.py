@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import dates as D
-from ..functions.numeric import ratio
+from ..functions.numeric import half_even, ratio
 
 _UNITS = {
     "date": D.day,
@@ -57,7 +57,7 @@ def cumulative_units(df: DataFrame, ts: str, unit: str, group: str) -> DataFrame
 def daily_ratio(df: DataFrame, ts: str, num: Column, den: Column, digits: int, names: tuple[str, str, str]) -> DataFrame:
     """Per day a numerator, a denominator and their ratio (half-even rounding)."""
     daily = by_calendar(df, ts, "date", num.alias(names[0]), den.alias(names[1]))
-    return daily.withColumn(names[2], F.bround(ratio(names[0], names[1]), digits))
+    return daily.withColumn(names[2], half_even(ratio(names[0], names[1]), digits))
 
 
 def rank_rows(df: DataFrame, by: str, tie: str, name: str = "rank") -> DataFrame:

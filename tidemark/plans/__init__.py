@@ -23,6 +23,6 @@ def all_oracles() -> dict[str, str]:
 
 
 def _modules():
-    from . import donors, realty, vacancies
+    from . import donors, feed, realty, shop, vacancies
 
-    return (donors, realty, vacancies)
+    return (donors, realty, vacancies, shop, feed)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import labels as L
 from ..functions.dates import day
-from ..functions.numeric import flag
+from ..functions.numeric import flag, half_even
 from ..operators.joins import lookup_join
 from ..sources.tables import load
 
@@ -187,9 +187,9 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
     trips = _rows(
         spark, folder, "events", order_rk="event_id", party_rk="user_id", transport_model="event_type",
         book_start_dttm="ts", book_end_dttm=F.col("ts") + minutes, distance_km=PAGES / 10,
-        minute_cost=F.round(F.col("value") / 10, 1), nominal_price_rub_amt="value",
+        minute_cost=half_even(F.col("value") / 10, 1), nominal_price_rub_amt="value",
         activation_cost=F.when(PAGES < 20, 0).when(PAGES < 60, 30).otherwise(50),
-        loyalty_accrual_rub_amt=F.when(PAGES > 50, F.round(F.col("value") / 20, 2)),
+        loyalty_accrual_rub_amt=F.when(PAGES > 50, half_even(F.col("value") / 20, 2)),
     )
     balance = F.col("c_acctbal")
     people = _rows(
@@ -222,7 +222,7 @@ def member_rides(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice")
     return _rows(
         spark, folder, "orders", user_id="o_custkey", date=day("o_orderdate"),
-        distance=(price / 100).cast("decimal(18,2)"), duration=F.bround(price / 10000, 0).cast("int"),
+        distance=(price / 100).cast("decimal(18,2)"), duration=half_even(price / 10000).cast("int"),
     )
 
 
@@ -277,7 +277,7 @@ def accidents(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(
         spark, folder, "orders", id="o_orderkey", datetime="o_orderdate", nearby="o_orderpriority",
         address=F.when((F.col("o_orderstatus") != "P") | (price < 400000), F.col("o_orderstatus")),
-        point_lat=F.bround(price / 10000, 3), point_long=F.bround(price / 7000, 3), category="o_orderstatus",
+        point_lat=half_even(price / 10000, 3), point_long=half_even(price / 7000, 3), category="o_orderstatus",
     )
 
 
