@@ -14,7 +14,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sizing import SMALL_SOURCE_BYTES, is_small
+from .sizing import is_small
 
 # alias -> (column, probability, "linear" or "disc")
 Spec = Mapping[str, tuple[str, float, str]]
@@ -38,18 +38,17 @@ def quantiles(
     spec: Spec,
     by: Sequence[str] = (),
     strategy: str = "auto",
-    small: int = SMALL_SOURCE_BYTES,
 ) -> DataFrame:
     """One row (per group) with one column per entry of ``spec``; missing values are ignored.
 
-    ``auto`` takes Spark's percentile aggregates while the tables read stay under ``small`` bytes
-    and narrows otherwise; ``"builtin"`` and ``"narrowing"`` force a way. Both are exact.
+    ``auto`` takes Spark's percentile aggregates while the tables read are small and narrows
+    otherwise; ``"builtin"`` and ``"narrowing"`` force a way. Both are exact.
     """
     for _, p, method in spec.values():
         if method not in ("linear", "disc") or not 0 <= p <= 1:
             raise ValueError("a percentile is (column, p in [0, 1], 'linear' or 'disc')")
     if strategy == "auto":
-        strategy = "builtin" if is_small(df, small) else "narrowing"
+        strategy = "builtin" if is_small(df) else "narrowing"
     if strategy == "builtin":
         pick = {"linear": linear, "disc": disc}
         return df.groupBy(*by).agg(*[pick[m](c, p).alias(a) for a, (c, p, m) in spec.items()])

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 # Exact percentiles keep a value->count map per group; below this many source bytes the map is
-# bounded by the input and always fits.
+# bounded by the input and always fits. The session can set another limit under SMALL_SOURCE_KEY.
 SMALL_SOURCE_BYTES = 128 * 1024 * 1024
+SMALL_SOURCE_KEY = "tidemark.smallSourceBytes"
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
@@ -31,7 +32,8 @@ def source_bytes(df: DataFrame) -> int:
     return sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
 
 
-def is_small(df: DataFrame, limit: int = SMALL_SOURCE_BYTES) -> bool:
+def is_small(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get(SMALL_SOURCE_KEY, str(SMALL_SOURCE_BYTES)))
     return source_bytes(df) <= limit
 
 

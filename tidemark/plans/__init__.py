@@ -23,6 +23,6 @@ def all_oracles() -> dict[str, str]:
 
 
 def _modules():
-    from . import donors, feed, realty, shop, vacancies
+    from . import accidents, donors, feed, realty, rides, shop, startups, tariffs, vacancies
 
-    return (donors, realty, vacancies, shop, feed)
+    return (donors, realty, vacancies, shop, feed, rides, tariffs, startups, accidents)

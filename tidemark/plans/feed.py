@@ -103,7 +103,7 @@ def _with_region(spark, folder) -> DataFrame:
 def _values(spark, folder) -> DataFrame:
     """Sessions with the event value as their metric."""
     events = S.load(spark, folder, "events")
-    return events.select("user_id", F.col("event_type").alias("device"), "value", S.ARM.alias("test_group"))
+    return events.select("user_id", F.col("event_type").alias("device"), "value", S.arm().alias("test_group"))
 
 
 _PAGES = 50  # stand-in threshold: page counters run from 0 to 99

@@ -125,15 +125,21 @@ def vacancy_skills(spark: SparkSession, folder: str) -> DataFrame:
 
 # Shop test ------------------------------------------------------------------------------------
 
-ARM = F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")
-PAGES = F.get_json_object("props", "$.k").cast("int")
 SHOP_TEST = "new_payment_funnel_test_summer_2025"
 
 
+def arm() -> Column:
+    return F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")
+
+
+def pages() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 def participants(spark: SparkSession, folder: str) -> DataFrame:
     """Everyone is in the payment test; users with costly errors are in a second one as well."""
     events = load(spark, folder, "events")
-    first = events.select("user_id", ARM.alias("group"), F.lit(SHOP_TEST).alias("ab_test"))
+    first = events.select("user_id", arm().alias("group"), F.lit(SHOP_TEST).alias("ab_test"))
     second = events.filter((F.col("event_type") == "error") & (F.col("value") > 100))
     second = second.select("user_id", F.lit("B").alias("group"), F.lit("recommender_test").alias("ab_test"))
     return first.unionByName(second).distinct()
@@ -164,17 +170,17 @@ def feed_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(
         spark, folder, "events", user_id="user_id", session_id="event_id", session_date=day("ts"),
         session_start_ts="ts", registration_flag=flag(F.col("event_type") == "signup"),
-        page_counter=PAGES, device="event_type", test_group=ARM,
+        page_counter=pages(), device="event_type", test_group=arm(),
     )
 
 
 def leaky_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions in which some purchases were logged under the wrong arm."""
     wrong = (F.col("event_type") == "purchase") & (F.col("value") > 200)
-    other = F.when(ARM == "A", "B").otherwise("A")
+    other = F.when(arm() == "A", "B").otherwise("A")
     return _rows(
         spark, folder, "events", user_id="user_id", session_date=day("ts"),
-        test_group=F.when(wrong, other).otherwise(ARM),
+        test_group=F.when(wrong, other).otherwise(arm()),
     )
 
 
@@ -186,10 +192,10 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 60).cast("decimal(18,6)"))
     trips = _rows(
         spark, folder, "events", order_rk="event_id", party_rk="user_id", transport_model="event_type",
-        book_start_dttm="ts", book_end_dttm=F.col("ts") + minutes, distance_km=PAGES / 10,
+        book_start_dttm="ts", book_end_dttm=F.col("ts") + minutes, distance_km=pages() / 10,
         minute_cost=half_even(F.col("value") / 10, 1), nominal_price_rub_amt="value",
-        activation_cost=F.when(PAGES < 20, 0).when(PAGES < 60, 30).otherwise(50),
-        loyalty_accrual_rub_amt=F.when(PAGES > 50, half_even(F.col("value") / 20, 2)),
+        activation_cost=F.when(pages() < 20, 0).when(pages() < 60, 30).otherwise(50),
+        loyalty_accrual_rub_amt=F.when(pages() > 50, half_even(F.col("value") / 20, 2)),
     )
     balance = F.col("c_acctbal")
     people = _rows(
@@ -218,11 +224,11 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def member_rides(spark: SparkSession, folder: str) -> DataFrame:
-    """Distance in metres and whole minutes, both from the order total."""
+    """Distance in metres and whole minutes, both read off the order total."""
     price = F.col("o_totalprice")
     return _rows(
         spark, folder, "orders", user_id="o_custkey", date=day("o_orderdate"),
-        distance=(price / 100).cast("decimal(18,2)"), duration=half_even(price / 10000).cast("int"),
+        distance=price.cast("decimal(18,2)"), duration=half_even(price / 10000).cast("int"),
     )
 
 
