@@ -57,23 +57,24 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, keys: Sequence[str], order_by: str, strategy: str = "auto") -> DataFrame:
-    """Second and later rows of every key, by a unique ``order_by`` column.
+def duplicate_rows(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], strategy: str = "auto"
+) -> DataFrame:
+    """Second and later rows of every key, in the order of columns that tell its rows apart.
 
     The first row per key comes from a mergeable aggregate; only keys that do repeat are joined back.
     Missing keys count as equal to each other.
     """
-    code = F.struct(*keys)
+    code, place = F.struct(*keys), F.struct(*order_by)
     firsts = (
-        df.select(code.alias("_key"), order_by)
-        .groupBy("_key")
-        .agg(F.min(order_by).alias("_first"), F.count("*").alias("_n"))
+        df.groupBy(code.alias("_key"))
+        .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1")
         .drop("_n")
     )
     tagged = df.withColumn("_key", code)
     joined = lookup_join(tagged, firsts, "_key", "inner", strategy)
-    return joined.filter(F.col(order_by) > F.col("_first")).select(*df.columns)
+    return joined.filter(place > F.col("_first")).select(*df.columns)
 
 
 def unique_key_check(df: DataFrame, key: str) -> DataFrame:

@@ -36,11 +36,14 @@ def cohort_table(spans: DataFrame, unit: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def completion_rate(plan: DataFrame, actual: DataFrame, on: Sequence[str], kind: str, strategy: str = "auto") -> DataFrame:
-    """Distinct planned items per kind, how many happened, and the rate in percent."""
+def completion_rate(plan: DataFrame, actual: DataFrame, on: Sequence[str], kind: str) -> DataFrame:
+    """Distinct planned items per kind, how many happened, and the rate in percent.
+
+    Both sides are distinct before they meet, so no key has more rows than there are kinds.
+    """
     planned = plan.select(*on, kind).distinct()
     return (
-        match_flag(planned, actual, on, "done", strategy)
+        match_flag(planned, actual, on, "done", "plain")
         .groupBy(kind)
         .agg(F.count("*").alias("planned"), F.sum("done").alias("completed"))
         .withColumn("rate_percent", percent("completed", "planned"))
@@ -66,7 +69,7 @@ def tariff_revenue(
     month and therefore no row.
     """
     usage = monthly_usage(rides, unit, "date", "distance", "duration")
-    priced = lookup_join(lookup_join(usage, users, unit), tariffs, plan)
+    priced = lookup_join(lookup_join(usage, users, unit, "inner", "plain"), tariffs, plan, hot_from=users)
     revenue = (
         F.col("start_ride_price") * F.col("rides")
         + F.col("minute_price") * F.col("total_duration")
@@ -92,12 +95,12 @@ def missing_child_share(
     """Per group of parents: distinct parents, joined rows lacking the attribute, and their percent.
 
     Children are counted per parent first; the joined row counts follow from those figures, so the
-    fan-out of a left join is reproduced without building it.
+    fan-out of a left join is reproduced without building it. ``parent_key`` identifies a parent.
     """
     per_parent = children.groupBy(F.col(child_key).alias(parent_key)).agg(
         F.count_if(F.col(attribute).isNull()).alias("_lacking")
     )
-    joined = lookup_join(parents.select(parent_key, group), per_parent, parent_key, "left")
+    joined = lookup_join(parents.select(parent_key, group), per_parent, parent_key, "left", "plain")
     return (
         joined.filter(F.col(group).isNotNull())
         .groupBy(group)

@@ -18,6 +18,7 @@ def lookup_join(
     on: str | Sequence[str],
     how: str = "inner",
     strategy: str = "auto",
+    hot_from: DataFrame | None = None,
     hot_share: float = HOT_SHARE,
     slices: int = SLICES,
 ) -> DataFrame:
@@ -26,7 +27,9 @@ def lookup_join(
     When Catalyst's estimate of ``dim`` is under the session's broadcast threshold, the plain join
     is left to it. Otherwise keys holding at least ``hot_share`` of the fact rows are found in one
     narrow scan without a shuffle (at most ``1 / hot_share`` of them) and spread over ``slices``
-    tasks; only their dimension rows are repeated.
+    tasks; only their dimension rows are repeated. When ``fact`` is itself the result of joins, pass
+    its base table as ``hot_from`` so that the scan does not repeat them. ``"plain"`` is for facts
+    with a bounded number of rows per key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot keep the unmatched side of {how!r}")
@@ -40,7 +43,7 @@ def lookup_join(
         raise ValueError(f"unknown strategy {strategy!r}")
 
     code = F.xxhash64(*keys)
-    hot = fact.select(code.alias("k")).stat.freqItems(["k"], hot_share)
+    hot = (fact if hot_from is None else hot_from).select(code.alias("k")).stat.freqItems(["k"], hot_share)
     hot = F.broadcast(hot.select(F.col("k_freqItems").alias("_hot")))
     is_hot = F.array_contains("_hot", code)
     # The slice follows from the row and its input partition, so a recomputed task repeats it;

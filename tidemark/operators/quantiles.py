@@ -21,6 +21,7 @@ Spec = Mapping[str, tuple[str, float, str]]
 
 _COARSE = 1 << 8
 _FINE = 1 << 20
+_NO_VALUE = -(1 << 62)
 
 
 def disc(column: str, p: float) -> Column:
@@ -50,24 +51,48 @@ def quantiles(
     if strategy == "auto":
         strategy = "builtin" if is_small(df) else "narrowing"
     if strategy == "builtin":
-        pick = {"linear": linear, "disc": disc}
-        return df.groupBy(*by).agg(*[pick[m](c, p).alias(a) for a, (c, p, m) in spec.items()])
+        return _builtin(df, spec, by)
     if strategy != "narrowing":
         raise ValueError(f"unknown strategy {strategy!r}")
     return _narrowing(df, spec, list(by))
 
 
+def _builtin(df: DataFrame, spec: Spec, by: Sequence[str]) -> DataFrame:
+    """Percentile aggregates; interpolated ones on the same column share one value map."""
+    shared: dict[str, list[float]] = {}
+    for column, p, method in spec.values():
+        if method == "linear" and p not in shared.setdefault(column, []):
+            shared[column].append(p)
+    places = {c: f"_points_{i}" for i, c in enumerate(shared)}
+    aggs = [
+        F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(places[c])
+        for c, ps in shared.items()
+    ]
+    aggs += [disc(c, p).alias(a) for a, (c, p, method) in spec.items() if method == "disc"]
+    wide = df.groupBy(*by).agg(*aggs)
+    answers = [
+        F.col(places[c])[shared[c].index(p)].alias(a) if method == "linear" else F.col(a)
+        for a, (c, p, method) in spec.items()
+    ]
+    return wide.select(*by, *answers)
+
+
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
     return quantiles(df, {c: (c, 0.5, "linear") for c in columns}, by, strategy)
 
 
 def _band(value: Column, resolution: int) -> Column:
-    """A non-decreasing step function of the value with ``resolution`` steps per power of two."""
+    """A non-decreasing step function of the value with ``resolution`` steps per power of two.
+
+    Missing values get a band of their own. The result is never NULL, so Catalyst adds no null
+    filters below the value counts, and all levels read the same shuffle.
+    """
     size = F.abs(value)
     power = F.floor(F.log2(size))
     position = power + F.lit(1100) + (size / F.pow(F.lit(2.0), power) - 1)
     step = F.floor(position * resolution).cast("long")
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, step).otherwise(-step)
+    zero = F.lit(0).cast("long")
+    return F.coalesce(F.when(value == 0, zero).when(value > 0, step).otherwise(-step), F.lit(_NO_VALUE))
 
 
 def _targets(spec: Spec, item: Column, n: Column) -> Column:
@@ -115,7 +140,7 @@ def _narrowing(df: DataFrame, spec: Spec, by: list[str]) -> DataFrame:
     )
 
     group = W.partitionBy("key", "item")
-    running = group.orderBy(F.col("coarse").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = group.orderBy("coarse").rowsBetween(W.unboundedPreceding, W.currentRow)
     bands = (
         counts.groupBy("key", "item", "coarse")
         .agg(F.sum("n").alias("n"))
@@ -128,7 +153,7 @@ def _narrowing(df: DataFrame, spec: Spec, by: list[str]) -> DataFrame:
     hits = (
         bands.filter("total > 0")
         .withColumn("t", F.explode(_targets(spec, F.col("item"), F.col("total"))))
-        .filter("t.rank > upto - n AND t.rank <= upto")
+        .filter("t.weight > 0 AND t.rank > upto - n AND t.rank <= upto")
         .select("key", "item", "coarse", "t.alias", "t.rank", "t.weight", (F.col("upto") - F.col("n")).alias("below"))
     )
     # Without groups there are at most two hits per entry of the spec.

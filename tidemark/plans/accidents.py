@@ -92,11 +92,7 @@ def _raw(s, d) -> DataFrame:
 
 
 def _line_keys(s, d) -> DataFrame:
-    """Order lines under a running number that is unique per distinct line."""
-    lines = S.lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return lines.withColumn(
-        "line", F.concat_ws("-", F.format_string("%012.2f", "l_extendedprice"), "l_partkey", "l_suppkey")
-    )
+    return S.lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 QUERIES = {
@@ -105,7 +101,9 @@ QUERIES = {
     "coord_semi": lambda s, d: near_missing_addresses(S.accidents(s, d)),
     "coord_semi_pairs": lambda s, d: near_missing_addresses(S.accidents(s, d), pairs=True),
     "dup_checks": lambda s, d: duplicate_report(S.lines(s, d), "l_orderkey"),
-    "dup_rows": lambda s, d: duplicate_rows(_line_keys(s, d), ["l_orderkey", "l_linenumber"], "line"),
+    "dup_rows": lambda s, d: duplicate_rows(
+        _line_keys(s, d), ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_partkey", "l_suppkey"]
+    ),
     "accidents_by_weekday": lambda s, d: by_weekday(S.accidents(s, d)),
     "accidents_by_month": lambda s, d: by_month(S.accidents(s, d)),
     "cut_bins": lambda s, d: experience_bins(S.accident_drivers(s, d), DECADES),
@@ -151,9 +149,9 @@ ORACLE = {
          count(DISTINCT l_orderkey) = count(l_orderkey) AS is_unique FROM lineitem""",
     "dup_rows": """
   WITH k AS (
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-           printf('%012.2f', l_extendedprice) || '-' || l_partkey || '-' || l_suppkey AS line FROM lineitem)
-  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY line) > 1""",
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
+  SELECT * FROM k QUALIFY row_number() OVER (
+    PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_partkey, l_suppkey) > 1""",
     "accidents_by_weekday": _BASE + " SELECT dayname(datetime) AS weekday, count(*) AS accidents FROM a GROUP BY 1",
     "accidents_by_month": _BASE + " SELECT CAST(month(datetime) AS INTEGER) AS month, count(*) AS accidents FROM a GROUP BY 1",
     "cut_bins": _bins(DECADES, ""),

@@ -75,7 +75,8 @@ def duration_summary(rides: DataFrame, strategy: str = "auto") -> DataFrame:
 
 def rides_with_plan(rides: DataFrame, users: DataFrame, tariffs: DataFrame) -> DataFrame:
     """Rides with their user's plan and its prices."""
-    return lookup_join(lookup_join(rides, users.dropDuplicates(), "user_id"), tariffs, "subscription_type")
+    priced = lookup_join(rides, users.dropDuplicates(), "user_id")
+    return lookup_join(priced, tariffs, "subscription_type", hot_from=users)
 
 
 def duration_by_plan(joined: DataFrame) -> DataFrame:
