@@ -42,7 +42,5 @@ def local_rows(df: DataFrame, max_rows: int = 10_000) -> DataFrame | None:
 
     Meant for aggregated per-group bounds: at most ``max_rows + 1`` rows reach the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(max_rows + 1).toArrow()
+    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows)

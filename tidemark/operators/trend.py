@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import dates as D
 from ..functions.numeric import half_even, ratio
+from ..sources.tables import small_table
 
 _UNITS = {
     "date": D.day,
@@ -26,7 +27,7 @@ def by_calendar(df: DataFrame, ts: str, unit: str, *aggs: Column, keys: Sequence
 
 def label_order(spark: SparkSession, labels: Sequence[str], name: str) -> DataFrame:
     """A fixed list of labels with their ordinal."""
-    return spark.createDataFrame([(x, i) for i, x in enumerate(labels, 1)], f"`{name}` string, ord int")
+    return small_table(spark, [(x, i) for i, x in enumerate(labels, 1)], f"`{name}` string, ord int")
 
 
 def in_label_order(df: DataFrame, name: str, labels: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators.inspect import null_profile
 from ..operators.joins import keep_members, with_one_row
 from ..operators.summarize import ranked, rate_by_dimension, value_counts
 from ..operators.trend import in_label_order
+from ..sources.tables import small_table
 from . import standins as S
 
 # Experience bins in years.
@@ -77,7 +78,7 @@ def per_100k(accidents: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def population_table(spark: SparkSession, rows: Sequence[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame(list(rows), "year int, population int")
+    return small_table(spark, list(rows), "year int, population int")
 
 
 _POPULATION = ((1995, 72), (1996, 73), (1997, 74), (1998, 75), (1999, 76), (2000, 77), (2001, 85))

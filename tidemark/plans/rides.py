@@ -27,8 +27,10 @@ AGE_ORDER = tuple(label for _, label in AGE_BANDS) + (OLDEST,)
 INDUSTRY_RIDES = {"industry_percent": 211_700_000, "operator_percent": 100_300_000}
 
 FILLS = {
-    "gender_cd": NO_INFO, "education_level_cd": NO_INFO, "lvn_state_nm": NO_INFO, "loyalty_accrual_rub_amt": 0,
+    "gender_cd": NO_INFO, "education_level_cd": NO_INFO, "marital_status_cd": NO_INFO, "lvn_state_nm": NO_INFO,
+    "loyalty_accrual_rub_amt": 0, "loyalty_accrual_bns_amt": 0,
 }
+LOCAL_START = "local_book_start_dttm"
 
 
 def cleaned(rides: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def with_duration(rides: DataFrame) -> DataFrame:
 def seasonality(rides: DataFrame, unit: str) -> DataFrame:
     """Rides, mean minute cost, mean activation cost and mean duration per calendar unit."""
     table = by_calendar(
-        with_duration(rides), "book_start_dttm", unit,
+        with_duration(rides), LOCAL_START, unit,
         F.count("order_rk").alias("rides"),
         mean("minute_cost").alias("avg_minute_cost"),
         mean("activation_cost").alias("avg_activation_cost"),
@@ -93,7 +95,7 @@ def seasonality(rides: DataFrame, unit: str) -> DataFrame:
 
 
 def hour_by_cost(rides: DataFrame) -> DataFrame:
-    return by_calendar(rides, "book_start_dttm", "hour", F.count("order_rk").alias("rides"), keys=["activation_cost"])
+    return by_calendar(rides, LOCAL_START, "hour", F.count("order_rk").alias("rides"), keys=["activation_cost"])
 
 
 def cost_shares(rides: DataFrame, column: str) -> DataFrame:
@@ -170,6 +172,7 @@ def _discounts(s, d) -> DataFrame:
 QUERIES = {
     "ride_quality": lambda s, d: quality(S.rides(s, d)),
     "share_by_category": lambda s, d: riders_by(S.rides(s, d), "education_level_cd"),
+    "share_by_marital": lambda s, d: riders_by(S.rides(s, d), "marital_status_cd"),
     "share_by_gender": lambda s, d: riders_by(S.rides(s, d), "gender_cd"),
     "top_ride_regions": lambda s, d: riders_by(S.rides(s, d), "lvn_state_nm", 10),
     "first_per_key": lambda s, d: one_ride_per_rider(S.rides(s, d)).select("party_rk", "order_rk", "age", "minute_cost"),
@@ -191,6 +194,7 @@ QUERIES = {
     ),
     "cashback_share": lambda s, d: has_cashback(_discounts(s, d), "cashback"),
     "ride_cashback_share": lambda s, d: has_cashback(S.rides(s, d), "loyalty_accrual_rub_amt"),
+    "ride_bonus_share": lambda s, d: has_cashback(S.rides(s, d), "loyalty_accrual_bns_amt"),
     "cashback_top_regions": lambda s, d: cashback_in_top_regions(S.rides(s, d)),
     "corr_pairs": lambda s, d: association(S.rides(s, d), _PAIRS),
     "market_share": lambda s, d: market_share(S.lines(s, d), INDUSTRY_RIDES),
@@ -205,11 +209,13 @@ QUERIES = {
 _RIDES = r"""
   WITH pages AS (SELECT *, CAST(regexp_extract(props, '"k": (\d+)', 1) AS INTEGER) AS k FROM events),
   r AS (
-    SELECT event_id AS order_rk, user_id AS party_rk, event_type AS transport_model, ts AS started,
+    SELECT event_id AS order_rk, user_id AS party_rk, event_type AS transport_model, ts + INTERVAL 3 HOUR AS started,
            CAST(round_even(value, 0) AS INTEGER) AS duration_min, k / 10e0 AS distance_km,
            round_even(value / 10, 1) AS minute_cost, value AS price,
            CASE WHEN k < 20 THEN 0 WHEN k < 60 THEN 30 ELSE 50 END AS activation_cost,
            CASE WHEN k > 50 THEN round_even(value / 20, 2) END AS cashback,
+           CASE WHEN k < 30 THEN round_even(value / 50, 2) END AS bonus,
+           CASE WHEN c_acctbal > 7000 THEN 'MAR' WHEN c_acctbal > 2000 THEN 'UNM' END AS marital,
            CASE WHEN c_acctbal > 5000 THEN 'M' WHEN c_acctbal > 500 THEN 'F' END AS gender,
            CASE WHEN c_acctbal > 1000 THEN c_mktsegment END AS education,
            CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 200) AS INTEGER) + 12 END AS age,
@@ -289,10 +295,12 @@ def _pair(x: str, y: str, a: str, b: str) -> str:
 ORACLE = {
     "ride_quality": _RIDES
     + """,
-  m AS (SELECT count(*) AS n, count(gender) AS g, count(education) AS e, count(age) AS a, count(cashback) AS c FROM r)
-  SELECT CAST(4 * n - g - e - a - c AS BIGINT) AS nulls_before, CAST(n - a AS BIGINT) AS nulls_after,
+  m AS (SELECT count(*) AS n, count(gender) AS g, count(education) AS e, count(age) AS a, count(cashback) AS c,
+               count(bonus) AS b, count(marital) AS m FROM r)
+  SELECT CAST(6 * n - g - e - a - c - b - m AS BIGINT) AS nulls_before, CAST(n - a AS BIGINT) AS nulls_after,
          CAST(0 AS BIGINT) AS duplicates FROM m""",
     "share_by_category": _riders("education", "education_level_cd"),
+    "share_by_marital": _riders("marital", "marital_status_cd"),
     "share_by_gender": _riders("gender", "gender_cd"),
     "top_ride_regions": _riders("state", "lvn_state_nm", "ORDER BY units DESC, lvn_state_nm LIMIT 10"),
     "first_per_key": _RIDES
@@ -336,6 +344,10 @@ ORACLE = {
     "ride_cashback_share": _RIDES
     + """,
   c AS (SELECT coalesce(cashback > 0, FALSE) AS has_cashback, count(*) AS n FROM r GROUP BY 1)
+  SELECT *, round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 6) AS percent FROM c""",
+    "ride_bonus_share": _RIDES
+    + """,
+  c AS (SELECT coalesce(bonus > 0, FALSE) AS has_cashback, count(*) AS n FROM r GROUP BY 1)
   SELECT *, round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 6) AS percent FROM c""",
     "cashback_top_regions": _RIDES
     + """,

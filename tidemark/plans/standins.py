@@ -193,16 +193,19 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 60).cast("decimal(18,6)"))
     trips = _rows(
         spark, folder, "events", order_rk="event_id", party_rk="user_id", transport_model="event_type",
-        book_start_dttm="ts", book_end_dttm=F.col("ts") + minutes, distance_km=pages() / 10,
+        book_start_dttm="ts", book_end_dttm=F.col("ts") + minutes,
+        local_book_start_dttm=F.col("ts") + F.expr("INTERVAL 3 HOURS"), distance_km=pages() / 10,
         minute_cost=half_even(F.col("value") / 10, 1), nominal_price_rub_amt="value",
         activation_cost=F.when(pages() < 20, 0).when(pages() < 60, 30).otherwise(50),
         loyalty_accrual_rub_amt=F.when(pages() > 50, half_even(F.col("value") / 20, 2)),
+        loyalty_accrual_bns_amt=F.when(pages() < 30, half_even(F.col("value") / 50, 2)),
     )
     balance = F.col("c_acctbal")
     people = _rows(
         spark, folder, "customer", party_rk="c_custkey", nation="c_nationkey",
         gender_cd=F.when(balance > 5000, "M").when(balance > 500, "F"),
         education_level_cd=F.when(balance > 1000, F.col("c_mktsegment")),
+        marital_status_cd=F.when(balance > 7000, "MAR").when(balance > 2000, "UNM"),
         age=F.when(balance >= 0, F.floor(balance / 200).cast("int") + 12),
     )
     nations = _rows(spark, folder, "nation", nation="n_nationkey", lvn_state_nm="n_name")

@@ -14,6 +14,8 @@ from ..operators.joins import lookup_join
 from ..operators.outliers import histogram
 from ..operators.quantiles import quantiles
 from ..operators.summarize import condition_share, ranked, share_of_total, value_counts
+from ..sources import schemas
+from ..sources.tables import small_table
 from . import standins as S
 from .sqltext import normal_between, student_two_sided
 
@@ -22,12 +24,10 @@ MAINTENANCE_DISTANCE = 3130
 LONG_RIDE, RIDE_LOW, RIDE_HIGH, DISTANCE_SHARE = 30, 20, 30, 0.90
 ADULT_AGE = 18
 
-TARIFF_SCHEMA = "subscription_type string, minute_price int, start_ride_price int, subscription_fee int"
-
 
 def tariff_table(spark: SparkSession, rows: list[tuple[str, int, int, int]]) -> DataFrame:
     """The price list: one row per subscription type."""
-    return spark.createDataFrame(rows, TARIFF_SCHEMA)
+    return small_table(spark, rows, schemas.TARIFFS)
 
 
 def cleaned_rides(rides: DataFrame) -> DataFrame:

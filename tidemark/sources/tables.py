@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -41,6 +44,17 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A parameter table (price list, population series) from literal rows.
+
+    It goes through Arrow, so Catalyst knows its size and can broadcast it.
+    """
+    fields = StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [()] * len(fields)
+    data = pa.table({f.name: list(values) for f, values in zip(fields, columns)})
+    return spark.createDataFrame(data).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+
+
 def register_views(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> None:
     """Make the tables of a folder available to ``spark.sql``."""
     for name in names:
