@@ -73,6 +73,13 @@ def test_minutes_cross_midnight_whatever_the_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
+def test_day_ranges_keep_the_whole_last_day(spark):
+    df = spark.createDataFrame([("2023-12-31 23:59:59",), ("2024-01-01 00:00:00",), ("2022-01-01 00:00:00",)], "s string")
+    df = df.select(F.col("s").cast("timestamp_ntz").alias("t"), F.to_date("s").alias("d"))
+    for c in ("t", "d"):
+        assert col_values(df, D.in_years(c, 2022, 2023)) == [True, False, True]
+
+
 def test_calendar_names(spark):
     assert one(spark, D.weekday_name(F.lit(dt.date(2024, 1, 1)))) == "Monday"
     assert one(spark, D.month_name(F.lit(5))) == "Май"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 from .numeric import as_col, half_even
@@ -23,6 +25,19 @@ def month_start(c: Column | str) -> Column:
     return F.trunc(day(c), "MM")
 
 
+def in_days(c: Column | str, start: dt.date, end: dt.date) -> Column:
+    """Whether a date or timestamp falls on one of the days from ``start`` to ``end``.
+
+    The half-open range leaves the column bare, so the filter reaches the file scan, and keeps the
+    whole last day of a timestamp.
+    """
+    return (as_col(c) >= F.lit(start)) & (as_col(c) < F.lit(end + dt.timedelta(days=1)))
+
+
+def in_years(c: Column | str, first: int, last: int) -> Column:
+    return in_days(c, dt.date(first, 1, 1), dt.date(last, 12, 31))
+
+
 def weekday_name(c: Column | str) -> Column:
     return F.date_format(day(c), "EEEE")
 

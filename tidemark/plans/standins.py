@@ -39,7 +39,7 @@ def donor_users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def donations(spark: SparkSession, folder: str) -> DataFrame:
-    return _rows(spark, folder, "orders", id="o_orderkey", user_id="o_custkey", donation_date=day("o_orderdate"))
+    return _rows(spark, folder, "orders", id="o_orderkey", user_id="o_custkey", donation_date="o_orderdate")
 
 
 def donor_bonuses(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def flats(spark: SparkSession, folder: str) -> DataFrame:
 def advertisements(spark: SparkSession, folder: str) -> DataFrame:
     """Days on the market come in halves, and are missing while the flat is still listed."""
     return _rows(
-        spark, folder, "orders", id="o_orderkey", first_day_exposition=day("o_orderdate"),
+        spark, folder, "orders", id="o_orderkey", first_day_exposition="o_orderdate",
         days_exposition=F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 500) / 2),
         last_price="o_totalprice",
     )
