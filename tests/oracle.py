@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 
 import duckdb
 import pyarrow as pa
@@ -15,7 +16,9 @@ from tidemark.sources.tables import TABLES
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+        path = f"{folder}/{name}.parquet"
+        path += "/*.parquet" if os.path.isdir(path) else ""
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
     return con
 
 
