@@ -42,13 +42,13 @@ def expect(values):
     return [disc(values, p) if m == "disc" else float(np.quantile(values, p)) for _, p, m in SPEC.values()]
 
 
-@pytest.mark.parametrize("strategy", ["narrowing", "builtin"])
-def test_quantiles_against_brute_force(spark, strategy):
+@pytest.mark.parametrize("strategy,max_hits", [("narrowing", 10_000), ("narrowing", 0), ("builtin", 0)])
+def test_quantiles_against_brute_force(spark, strategy, max_hits):
     rows = skewed()
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = quantiles(df, SPEC, (), strategy).first()
+    got = quantiles(df, SPEC, (), strategy, max_hits).first()
     assert list(got) == pytest.approx(expect([v for _, v in rows if v is not None]), rel=1e-12)
-    groups = {r["g"]: list(r)[1:] for r in quantiles(df, SPEC, ["g"], strategy).collect()}
+    groups = {r["g"]: list(r)[1:] for r in quantiles(df, SPEC, ["g"], strategy, max_hits).collect()}
     assert set(groups) == {"hot", "a", "b", None, "empty"}
     for g, found in groups.items():
         want = expect([v for k, v in rows if k == g and v is not None])
@@ -70,13 +70,24 @@ def test_narrowing_of_nothing_is_one_empty_row(spark):
     assert quantiles(df, {"m": ("v", 0.5, "linear")}, (), "narrowing").collect()[0]["m"] is None
 
 
-def test_narrowing_reads_its_input_once(spark):
+def final_plan(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("== Initial Plan ==")]
+
+
+def test_narrowing_with_very_many_groups_reads_its_input_once(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    out = quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, ["l_returnflag"], "narrowing")
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    final = plan[: plan.index("== Initial Plan ==")]
-    assert final.count("FileScan") == 1
+    out = quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, ["l_returnflag"], "narrowing", max_hits=0)
+    assert final_plan(out).count("FileScan") == 1
+
+
+def test_narrowing_shuffles_only_the_chosen_bands(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    out = quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, (), "narrowing")
+    plan = final_plan(out)
+    assert plan.count("FileScan") == 2 and "LeftSemi" in plan
+    assert out.first()["m"] == quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, (), "builtin").first()["m"]
 
 
 @pytest.fixture(scope="module")

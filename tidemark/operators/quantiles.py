@@ -2,9 +2,9 @@
 
 ``F.percentile`` keeps every distinct value of a group in one task. That is right for small inputs
 and for columns with few distinct values, and fails for a continuous column at scale. The narrowing
-way below never holds a group's values together: it counts rows per value (hot values collapse in
-the map-side aggregation), adds the counts up into bands of growing resolution, follows the wanted
-rank down, and orders only the values of the last band.
+way below never holds a group's values together: it counts rows per coarse band of values, a few
+hundred counts per map task, finds the band of every wanted rank, and looks again only at the values
+in those bands, at a finer resolution and at last value by value.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sizing import is_small
+from .sizing import is_small, local_rows
 
 # alias -> (column, probability, "linear" or "disc")
 Spec = Mapping[str, tuple[str, float, str]]
@@ -39,6 +39,7 @@ def quantiles(
     spec: Spec,
     by: Sequence[str] = (),
     strategy: str = "auto",
+    max_hits: int = 10_000,
 ) -> DataFrame:
     """One row (per group) with one column per entry of ``spec``; missing values are ignored.
 
@@ -54,7 +55,7 @@ def quantiles(
         return _builtin(df, spec, by)
     if strategy != "narrowing":
         raise ValueError(f"unknown strategy {strategy!r}")
-    return _narrowing(df, spec, list(by))
+    return _narrowing(df, spec, list(by), max_hits)
 
 
 def _builtin(df: DataFrame, spec: Spec, by: Sequence[str]) -> DataFrame:
@@ -124,60 +125,75 @@ def _targets(spec: Spec, item: Column, n: Column) -> Column:
     return out
 
 
-def _narrowing(df: DataFrame, spec: Spec, by: list[str]) -> DataFrame:
+def _narrowing(df: DataFrame, spec: Spec, by: list[str], max_hits: int) -> DataFrame:
     items = list(dict.fromkeys(c for c, _, _ in spec.values()))
     key = F.struct(*by) if by else F.lit(0)
     cells = [
         F.struct(F.lit(c).alias("item"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value"))
         for c in items
     ]
-    counts = (
-        df.select(key.alias("key"), F.inline(F.array(*cells)))
-        .groupBy("key", "item", "value")
-        .agg(F.count("value").alias("n"))
-        .withColumn("coarse", _band(F.col("value"), _COARSE))
-        .withColumn("fine", _band(F.col("value"), _FINE))
+    long = df.select(key.alias("key"), F.inline(F.array(*cells)))
+    coarse, fine = _band(F.col("value"), _COARSE).alias("coarse"), _band(F.col("value"), _FINE).alias("fine")
+
+    # A few hundred bands per power of two: the counts shrink to that on the map side.
+    hits = _coarse_hits(long.groupBy("key", "item", coarse).agg(F.count("value").alias("n")), spec)
+    held = local_rows(hits, max_hits) if by else hits
+    if held is not None:
+        # Without groups there are at most two hits per entry of the spec; with groups, the rows read
+        # back show how few they are. Either way only values of the chosen bands are shuffled.
+        hits = held
+        chosen = F.broadcast(hits.select("key", "item", "coarse").distinct())
+        long = long.withColumn("coarse", coarse).join(chosen, ["key", "item", "coarse"], "left_semi")
+        counts = long.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
+    else:
+        # Very many groups: count every value once and read all levels off that one shuffle.
+        counts = long.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
+        bands = counts.groupBy("key", "item", coarse).agg(F.sum("n").alias("n"))
+        hits = _coarse_hits(bands, spec)
+    counts = counts.select("*", coarse, fine)
+
+    wanted = hits.filter("alias IS NOT NULL")
+    steps = counts.groupBy("key", "item", "coarse", "fine").agg(F.sum("n").alias("n"))
+    found = _follow(steps, wanted if by else F.broadcast(wanted), ["coarse"], "fine")
+    found = _follow(counts, found if by else F.broadcast(found), ["coarse", "fine"], "value")
+    found = found.select("key", "alias", (F.col("weight") * F.col("value")).alias("part"))
+
+    answers = [F.sum(F.when(F.col("alias") == a, F.col("part"))).alias(a) for a in spec]
+    if not by:
+        return found.agg(*answers)
+    nothing = F.lit(None)
+    empty = hits.filter("alias IS NULL").select(
+        "key", nothing.cast("string").alias("alias"), nothing.cast("double").alias("part")
     )
+    wide = found.unionByName(empty).groupBy("key").agg(*answers)
+    return wide.select("key.*", *spec)
+
 
+def _coarse_hits(bands: DataFrame, spec: Spec) -> DataFrame:
+    """The coarse band of every wanted rank, with the number of values below it.
+
+    A group without any value yields one row without an alias.
+    """
     group = W.partitionBy("key", "item")
     running = group.orderBy("coarse").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bands = (
-        counts.groupBy("key", "item", "coarse")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(running))
+    targets = F.when(F.col("total") > 0, _targets(spec, F.col("item"), F.col("total")))
+    return (
+        bands.withColumn("upto", F.sum("n").over(running))
         .withColumn("total", F.sum("n").over(group))
-    )
-    empty = bands.filter("total = 0").select(
-        "key", F.lit(None).cast("string").alias("alias"), F.lit(None).cast("double").alias("part")
-    )
-    hits = (
-        bands.filter("total > 0")
-        .withColumn("t", F.explode(_targets(spec, F.col("item"), F.col("total"))))
-        .filter("t.weight > 0 AND t.rank > upto - n AND t.rank <= upto")
+        .select("*", F.explode_outer(targets).alias("t"))
+        .filter("t IS NULL OR (t.weight > 0 AND t.rank > upto - n AND t.rank <= upto)")
         .select("key", "item", "coarse", "t.alias", "t.rank", "t.weight", (F.col("upto") - F.col("n")).alias("below"))
     )
-    # Without groups there are at most two hits per entry of the spec.
-    hits = hits if by else F.broadcast(hits)
-
-    def narrow(level: DataFrame, found: DataFrame, on: list[str], order: str) -> DataFrame:
-        path = W.partitionBy("key", "item", "alias", "rank").orderBy(order)
-        upto = F.col("below") + F.sum("n").over(path.rowsBetween(W.unboundedPreceding, W.currentRow))
-        return (
-            level.join(found, ["key", "item", *on])
-            .withColumn("upto", upto)
-            .filter("rank > upto - n AND rank <= upto")
-            .withColumn("below", F.col("upto") - F.col("n"))
-            .drop("n", "upto")
-        )
-
-    fine = counts.groupBy("key", "item", "coarse", "fine").agg(F.sum("n").alias("n"))
-    hits = narrow(fine, hits, ["coarse"], "fine")
-    hits = hits if by else F.broadcast(hits)
-    found = narrow(counts, hits, ["coarse", "fine"], "value")
-    found = found.select("key", "alias", (F.col("weight") * F.col("value")).alias("part"))
 
-    answers = [F.sum(F.when(F.col("alias") == a, F.col("part"))).alias(a) for a in spec]
-    if not by:
-        return found.agg(*answers)
-    wide = found.unionByName(empty).groupBy("key").agg(*answers)
-    return wide.select("key.*", *spec)
+
+def _follow(level: DataFrame, found: DataFrame, on: list[str], order: str) -> DataFrame:
+    """One step down: the row of the finer ``level`` that holds each wanted rank."""
+    path = W.partitionBy("key", "item", "alias", "rank").orderBy(order)
+    upto = F.col("below") + F.sum("n").over(path.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (
+        level.join(found, ["key", "item", *on])
+        .withColumn("upto", upto)
+        .filter("rank > upto - n AND rank <= upto")
+        .withColumn("below", F.col("upto") - F.col("n"))
+        .drop("n", "upto")
+    )
