@@ -42,13 +42,13 @@ def expect(values):
     return [disc(values, p) if m == "disc" else float(np.quantile(values, p)) for _, p, m in SPEC.values()]
 
 
-@pytest.mark.parametrize("strategy,max_hits", [("narrowing", 10_000), ("narrowing", 0), ("builtin", 0)])
+@pytest.mark.parametrize("strategy,max_hits", [("narrowing", 10_000), ("narrowing", 0), ("counting", 0), ("builtin", 0)])
 def test_quantiles_against_brute_force(spark, strategy, max_hits):
     rows = skewed()
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = quantiles(df, SPEC, (), strategy, max_hits).first()
+    got = quantiles(df, SPEC, (), strategy, max_hits=max_hits).first()
     assert list(got) == pytest.approx(expect([v for _, v in rows if v is not None]), rel=1e-12)
-    groups = {r["g"]: list(r)[1:] for r in quantiles(df, SPEC, ["g"], strategy, max_hits).collect()}
+    groups = {r["g"]: list(r)[1:] for r in quantiles(df, SPEC, ["g"], strategy, max_hits=max_hits).collect()}
     assert set(groups) == {"hot", "a", "b", None, "empty"}
     for g, found in groups.items():
         want = expect([v for k, v in rows if k == g and v is not None])

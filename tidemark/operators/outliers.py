@@ -13,7 +13,8 @@ from .sizing import local_rows
 
 
 def percentile_limits(
-    df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]], method: str = "disc", strategy: str = "auto"
+    df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]], method: str = "disc",
+    strategy: str = "auto", few_values: bool = False,
 ) -> DataFrame:
     """One row of lower / upper percentile limits (``<column>_lo`` / ``<column>_hi``)."""
     spec = {}
@@ -22,7 +23,7 @@ def percentile_limits(
             spec[f"{column}_lo"] = (column, lo, method)
         if hi is not None:
             spec[f"{column}_hi"] = (column, hi, method)
-    return quantiles(df, spec, (), strategy)
+    return quantiles(df, spec, (), strategy, few_values)
 
 
 def trim_percentile(
@@ -31,13 +32,14 @@ def trim_percentile(
     method: str = "disc",
     null_tolerant: Collection[str] = (),
     strategy: str = "auto",
+    few_values: bool = False,
 ) -> DataFrame:
     """Rows strictly inside the percentile limits of every column.
 
     Limits come from all rows of ``df``. Columns in ``null_tolerant`` also keep missing values. A
     strict comparison drops every row at the maximum when a limit equals it.
     """
-    limits = percentile_limits(df, bounds, method, strategy)
+    limits = percentile_limits(df, bounds, method, strategy, few_values)
     keep = F.lit(True)
     for column, (lo, hi) in bounds.items():
         inside = F.lit(True)

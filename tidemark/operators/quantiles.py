@@ -39,23 +39,25 @@ def quantiles(
     spec: Spec,
     by: Sequence[str] = (),
     strategy: str = "auto",
+    few_values: bool = False,
     max_hits: int = 10_000,
 ) -> DataFrame:
     """One row (per group) with one column per entry of ``spec``; missing values are ignored.
 
-    ``auto`` takes Spark's percentile aggregates while the tables read are small and narrows
-    otherwise; ``"builtin"`` and ``"narrowing"`` force a way. Both are exact.
+    ``auto`` takes Spark's percentile aggregates while the tables read are small. Beyond, it narrows
+    in two scans, or counts every value in one scan when the caller knows that the columns have
+    ``few_values``. ``"builtin"``, ``"narrowing"`` and ``"counting"`` force a way; all are exact.
     """
     for _, p, method in spec.values():
         if method not in ("linear", "disc") or not 0 <= p <= 1:
             raise ValueError("a percentile is (column, p in [0, 1], 'linear' or 'disc')")
     if strategy == "auto":
-        strategy = "builtin" if is_small(df) else "narrowing"
+        strategy = "builtin" if is_small(df) else "counting" if few_values else "narrowing"
     if strategy == "builtin":
         return _builtin(df, spec, by)
-    if strategy != "narrowing":
+    if strategy not in ("narrowing", "counting"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    return _narrowing(df, spec, list(by), max_hits)
+    return _follow_ranks(df, spec, list(by), max_hits, count_first=strategy == "counting")
 
 
 def _builtin(df: DataFrame, spec: Spec, by: Sequence[str]) -> DataFrame:
@@ -125,7 +127,7 @@ def _targets(spec: Spec, item: Column, n: Column) -> Column:
     return out
 
 
-def _narrowing(df: DataFrame, spec: Spec, by: list[str], max_hits: int) -> DataFrame:
+def _follow_ranks(df: DataFrame, spec: Spec, by: list[str], max_hits: int, count_first: bool) -> DataFrame:
     items = list(dict.fromkeys(c for c, _, _ in spec.values()))
     key = F.struct(*by) if by else F.lit(0)
     cells = [
@@ -135,9 +137,11 @@ def _narrowing(df: DataFrame, spec: Spec, by: list[str], max_hits: int) -> DataF
     long = df.select(key.alias("key"), F.inline(F.array(*cells)))
     coarse, fine = _band(F.col("value"), _COARSE).alias("coarse"), _band(F.col("value"), _FINE).alias("fine")
 
-    # A few hundred bands per power of two: the counts shrink to that on the map side.
-    hits = _coarse_hits(long.groupBy("key", "item", coarse).agg(F.count("value").alias("n")), spec)
-    held = local_rows(hits, max_hits) if by else hits
+    held = None
+    if not count_first:
+        # A few hundred bands per power of two: the counts shrink to that on the map side.
+        hits = _coarse_hits(long.groupBy("key", "item", coarse).agg(F.count("value").alias("n")), spec)
+        held = local_rows(hits, max_hits) if by else hits
     if held is not None:
         # Without groups there are at most two hits per entry of the spec; with groups, the rows read
         # back show how few they are. Either way only values of the chosen bands are shuffled.
@@ -146,7 +150,7 @@ def _narrowing(df: DataFrame, spec: Spec, by: list[str], max_hits: int) -> DataF
         long = long.withColumn("coarse", coarse).join(chosen, ["key", "item", "coarse"], "left_semi")
         counts = long.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
     else:
-        # Very many groups: count every value once and read all levels off that one shuffle.
+        # Few values or very many groups: count every value once, read all levels off that shuffle.
         counts = long.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
         bands = counts.groupBy("key", "item", coarse).agg(F.sum("n").alias("n"))
         hits = _coarse_hits(bands, spec)

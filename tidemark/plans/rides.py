@@ -178,25 +178,25 @@ QUERIES = {
     "first_per_key": lambda s, d: one_ride_per_rider(S.rides(s, d)).select("party_rk", "order_rk", "age", "minute_cost"),
     "age_groups": lambda s, d: riders_by_age(S.rides(s, d)),
     "age_table": lambda s, d: age_table(S.rides(s, d)),
-    "by_month": lambda s, d: seasonality(S.rides(s, d), "month"),
-    "by_weekday": lambda s, d: seasonality(S.rides(s, d), "weekday"),
-    "by_hour": lambda s, d: seasonality(S.rides(s, d), "hour"),
-    "hour_x_type": lambda s, d: hour_by_cost(S.rides(s, d)),
-    "value_counts_norm": lambda s, d: cost_shares(S.rides(s, d), "activation_cost"),
-    "distinct_values": lambda s, d: distinct_values(S.rides(s, d), "activation_cost"),
-    "model_share_duration": lambda s, d: models(S.rides(s, d)),
-    "ride_summary": lambda s, d: duration_distance_summary(S.rides(s, d)),
-    "rides_per_duration": lambda s, d: rides_per_value(S.rides(s, d), "duration_min"),
-    "duration_box": lambda s, d: _rounded(box_stats(with_duration(S.rides(s, d)), "duration_min"), _BOX),
-    "distance_histogram": lambda s, d: _rounded(histogram(S.rides(s, d), "distance_km", 50, hi=8), _EDGES),
+    "by_month": lambda s, d: seasonality(S.trips(s, d), "month"),
+    "by_weekday": lambda s, d: seasonality(S.trips(s, d), "weekday"),
+    "by_hour": lambda s, d: seasonality(S.trips(s, d), "hour"),
+    "hour_x_type": lambda s, d: hour_by_cost(S.trips(s, d)),
+    "value_counts_norm": lambda s, d: cost_shares(S.trips(s, d), "activation_cost"),
+    "distinct_values": lambda s, d: distinct_values(S.trips(s, d), "activation_cost"),
+    "model_share_duration": lambda s, d: models(S.trips(s, d)),
+    "ride_summary": lambda s, d: duration_distance_summary(S.trips(s, d)),
+    "rides_per_duration": lambda s, d: rides_per_value(S.trips(s, d), "duration_min"),
+    "duration_box": lambda s, d: _rounded(box_stats(with_duration(S.trips(s, d)), "duration_min"), _BOX),
+    "distance_histogram": lambda s, d: _rounded(histogram(S.trips(s, d), "distance_km", 50, hi=8), _EDGES),
     "minute_cost_histogram": lambda s, d: _rounded(
-        histogram(S.rides(s, d), "minute_cost", 50, by=["transport_model"]), _EDGES
+        histogram(S.trips(s, d), "minute_cost", 50, by=["transport_model"]), _EDGES
     ),
     "cashback_share": lambda s, d: has_cashback(_discounts(s, d), "cashback"),
-    "ride_cashback_share": lambda s, d: has_cashback(S.rides(s, d), "loyalty_accrual_rub_amt"),
-    "ride_bonus_share": lambda s, d: has_cashback(S.rides(s, d), "loyalty_accrual_bns_amt"),
+    "ride_cashback_share": lambda s, d: has_cashback(S.trips(s, d), "loyalty_accrual_rub_amt"),
+    "ride_bonus_share": lambda s, d: has_cashback(S.trips(s, d), "loyalty_accrual_bns_amt"),
     "cashback_top_regions": lambda s, d: cashback_in_top_regions(S.rides(s, d)),
-    "corr_pairs": lambda s, d: association(S.rides(s, d), _PAIRS),
+    "corr_pairs": lambda s, d: association(S.trips(s, d), _PAIRS),
     "market_share": lambda s, d: market_share(S.lines(s, d), INDUSTRY_RIDES),
     "describe_cols": lambda s, d: _rounded(
         describe(S.lines(s, d), ["l_quantity", "l_extendedprice", "l_discount"], (0.25, 0.5, 0.99)),
@@ -208,19 +208,21 @@ QUERIES = {
 
 _RIDES = r"""
   WITH pages AS (SELECT *, CAST(regexp_extract(props, '"k": (\d+)', 1) AS INTEGER) AS k FROM events),
-  r AS (
+  t AS (
     SELECT event_id AS order_rk, user_id AS party_rk, event_type AS transport_model, ts + INTERVAL 3 HOUR AS started,
            CAST(round_even(value, 0) AS INTEGER) AS duration_min, k / 10e0 AS distance_km,
            round_even(value / 10, 1) AS minute_cost, value AS price,
            CASE WHEN k < 20 THEN 0 WHEN k < 60 THEN 30 ELSE 50 END AS activation_cost,
            CASE WHEN k > 50 THEN round_even(value / 20, 2) END AS cashback,
-           CASE WHEN k < 30 THEN round_even(value / 50, 2) END AS bonus,
-           CASE WHEN c_acctbal > 7000 THEN 'MAR' WHEN c_acctbal > 2000 THEN 'UNM' END AS marital,
+           CASE WHEN k < 30 THEN round_even(value / 50, 2) END AS bonus
+    FROM pages),
+  r AS (
+    SELECT t.*, CASE WHEN c_acctbal > 7000 THEN 'MAR' WHEN c_acctbal > 2000 THEN 'UNM' END AS marital,
            CASE WHEN c_acctbal > 5000 THEN 'M' WHEN c_acctbal > 500 THEN 'F' END AS gender,
            CASE WHEN c_acctbal > 1000 THEN c_mktsegment END AS education,
            CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 200) AS INTEGER) + 12 END AS age,
            n_name AS state
-    FROM pages JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey),
+    FROM t JOIN customer ON c_custkey = party_rk JOIN nation ON n_nationkey = c_nationkey),
   a AS (SELECT *, CASE WHEN age <= 18 THEN 'до 18' WHEN age <= 25 THEN '19-25' WHEN age <= 30 THEN '26-30'
                        WHEN age <= 35 THEN '31-35' WHEN age <= 45 THEN '36-45' ELSE '45+' END AS age_group FROM r)"""
 
@@ -288,7 +290,7 @@ def _pair(x: str, y: str, a: str, b: str) -> str:
     return (
         f"SELECT '{a}' AS x, '{b}' AS y, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS n, "
         f"round_even(corr({x}, {y}), 6) AS corr, round_even(regr_slope({y}, {x}), 6) AS slope, "
-        f"round_even(regr_intercept({y}, {x}), 6) AS intercept FROM r"
+        f"round_even(regr_intercept({y}, {x}), 6) AS intercept FROM t"
     )
 
 
@@ -314,46 +316,46 @@ ORACLE = {
   g AS (SELECT age_group, count(order_rk) AS rides, round_even(avg(price), 6) AS avg_price,
                round_even(avg(coalesce(cashback, 0)), 6) AS avg_cashback FROM a GROUP BY 1)
   SELECT age_group, CAST(ord AS INTEGER) AS ord, rides, avg_price, avg_cashback FROM o LEFT JOIN g USING (age_group)""",
-    "by_month": _RIDES + f" SELECT CAST(month(started) AS INTEGER) AS month, {_MEANS} FROM r GROUP BY 1",
+    "by_month": _RIDES + f" SELECT CAST(month(started) AS INTEGER) AS month, {_MEANS} FROM t GROUP BY 1",
     "by_weekday": _RIDES
     + f""",
-  g AS (SELECT dayname(started) AS weekday, CAST(isodow(started) AS INTEGER) AS ord, {_MEANS} FROM r GROUP BY 1, 2)
+  g AS (SELECT dayname(started) AS weekday, CAST(isodow(started) AS INTEGER) AS ord, {_MEANS} FROM t GROUP BY 1, 2)
   SELECT * FROM g""",
-    "by_hour": _RIDES + f" SELECT CAST(hour(started) AS INTEGER) AS hour, {_MEANS} FROM r GROUP BY 1",
+    "by_hour": _RIDES + f" SELECT CAST(hour(started) AS INTEGER) AS hour, {_MEANS} FROM t GROUP BY 1",
     "hour_x_type": _RIDES
-    + """ SELECT activation_cost, CAST(hour(started) AS INTEGER) AS hour, count(order_rk) AS rides FROM r GROUP BY 1, 2""",
+    + """ SELECT activation_cost, CAST(hour(started) AS INTEGER) AS hour, count(order_rk) AS rides FROM t GROUP BY 1, 2""",
     "value_counts_norm": _RIDES
     + """,
-  c AS (SELECT activation_cost, count(*) AS n FROM r GROUP BY 1)
+  c AS (SELECT activation_cost, count(*) AS n FROM t GROUP BY 1)
   SELECT *, round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 6) AS percent FROM c""",
-    "distinct_values": _RIDES + " SELECT DISTINCT activation_cost FROM r",
+    "distinct_values": _RIDES + " SELECT DISTINCT activation_cost FROM t",
     "model_share_duration": _RIDES
     + """,
   c AS (SELECT transport_model, count(*) AS rides, round_even(avg(duration_min), 6) AS avg_duration,
-               round_even(avg(price), 6) AS avg_price FROM r GROUP BY 1)
+               round_even(avg(price), 6) AS avg_price FROM t GROUP BY 1)
   SELECT *, round_even(rides / CAST(sum(rides) OVER () AS DOUBLE), 2) AS share FROM c""",
     "ride_summary": _RIDES
-    + _summary("r", {"duration_min": "duration_min", "distance_km": "distance_km"}, (0.25, 0.5, 0.75)),
-    "rides_per_duration": _RIDES + " SELECT duration_min, count(*) AS rides FROM r GROUP BY 1",
-    "duration_box": _RIDES + "," + _box("r", "duration_min"),
-    "distance_histogram": _RIDES + "," + _hist("r", "distance_km", 50, hi="8"),
-    "minute_cost_histogram": _RIDES + "," + _hist("r", "minute_cost", 50, by="transport_model"),
+    + _summary("t", {"duration_min": "duration_min", "distance_km": "distance_km"}, (0.25, 0.5, 0.75)),
+    "rides_per_duration": _RIDES + " SELECT duration_min, count(*) AS rides FROM t GROUP BY 1",
+    "duration_box": _RIDES + "," + _box("t", "duration_min"),
+    "distance_histogram": _RIDES + "," + _hist("t", "distance_km", 50, hi="8"),
+    "minute_cost_histogram": _RIDES + "," + _hist("t", "minute_cost", 50, by="transport_model"),
     "cashback_share": """
   WITH c AS (SELECT l_discount > 0 AS has_cashback, count(*) AS n FROM lineitem GROUP BY 1)
   SELECT *, round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 6) AS percent FROM c""",
     "ride_cashback_share": _RIDES
     + """,
-  c AS (SELECT coalesce(cashback > 0, FALSE) AS has_cashback, count(*) AS n FROM r GROUP BY 1)
+  c AS (SELECT coalesce(cashback > 0, FALSE) AS has_cashback, count(*) AS n FROM t GROUP BY 1)
   SELECT *, round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 6) AS percent FROM c""",
     "ride_bonus_share": _RIDES
     + """,
-  c AS (SELECT coalesce(bonus > 0, FALSE) AS has_cashback, count(*) AS n FROM r GROUP BY 1)
+  c AS (SELECT coalesce(bonus > 0, FALSE) AS has_cashback, count(*) AS n FROM t GROUP BY 1)
   SELECT *, round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 6) AS percent FROM c""",
     "cashback_top_regions": _RIDES
     + """,
-  t AS (SELECT state FROM r GROUP BY 1 ORDER BY count(DISTINCT party_rk) DESC, state LIMIT 10)
+  top AS (SELECT state FROM r GROUP BY 1 ORDER BY count(DISTINCT party_rk) DESC, state LIMIT 10)
   SELECT state AS lvn_state_nm, round_even(avg(coalesce(cashback, 0)), 6) AS avg_cashback
-  FROM r WHERE state IN (SELECT state FROM t) GROUP BY 1""",
+  FROM r WHERE state IN (SELECT state FROM top) GROUP BY 1""",
     "corr_pairs": _RIDES
     + "\n  UNION ALL ".join(
         [

@@ -188,10 +188,10 @@ def leaky_sessions(spark: SparkSession, folder: str) -> DataFrame:
 # Scooter rides --------------------------------------------------------------------------------
 
 
-def rides(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as rides of ``value`` minutes, with the customer's attributes."""
+def trips(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as rides of ``value`` minutes."""
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 60).cast("decimal(18,6)"))
-    trips = _rows(
+    return _rows(
         spark, folder, "events", order_rk="event_id", party_rk="user_id", transport_model="event_type",
         book_start_dttm="ts", book_end_dttm=F.col("ts") + minutes,
         local_book_start_dttm=F.col("ts") + F.expr("INTERVAL 3 HOURS"), distance_km=pages() / 10,
@@ -200,6 +200,10 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
         loyalty_accrual_rub_amt=F.when(pages() > 50, half_even(F.col("value") / 20, 2)),
         loyalty_accrual_bns_amt=F.when(pages() < 30, half_even(F.col("value") / 50, 2)),
     )
+
+
+def rides(spark: SparkSession, folder: str) -> DataFrame:
+    """Rides with the customer's attributes."""
     balance = F.col("c_acctbal")
     people = _rows(
         spark, folder, "customer", party_rk="c_custkey", nation="c_nationkey",
@@ -209,7 +213,7 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
         age=F.when(balance >= 0, F.floor(balance / 200).cast("int") + 12),
     )
     nations = _rows(spark, folder, "nation", nation="n_nationkey", lvn_state_nm="n_name")
-    return lookup_join(lookup_join(trips, people, "party_rk"), nations, "nation", hot_from=people).drop("nation")
+    return lookup_join(lookup_join(trips(spark, folder), people, "party_rk"), nations, "nation", hot_from=people).drop("nation")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
