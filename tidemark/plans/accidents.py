@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import weekday_name
 from ..functions.labels import cut, interval_labels
-from ..operators.clean import duplicate_count, duplicate_rows, rename, unique_key_check
-from ..operators.inspect import null_profile
+from ..operators.clean import duplicate_count, duplicate_rows, rename, select_through, unique_key_check
+from ..operators.inspect import null_profile, preview
 from ..operators.joins import keep_members, with_one_row
 from ..operators.summarize import ranked, rate_by_dimension, value_counts
 from ..operators.trend import in_label_order
@@ -97,6 +97,9 @@ def _line_keys(s, d) -> DataFrame:
 
 
 QUERIES = {
+    "preview_first": lambda s, d: preview(S.accidents(s, d), 5, ["id"]),
+    "preview_last": lambda s, d: preview(S.accidents(s, d), 5, ["id"], tail=True),
+    "columns_through": lambda s, d: select_through(S.accidents(s, d), "nearby"),
     "header_gaps": lambda s, d: gaps_by_column(renamed(_raw(s, d))),
     "missing_address": lambda s, d: missing_address_places(S.accidents(s, d)),
     "coord_semi": lambda s, d: near_missing_addresses(S.accidents(s, d)),
@@ -129,6 +132,9 @@ def _bins(edges: Sequence[int], where: str) -> str:
 
 
 ORACLE = {
+    "preview_first": _BASE + " SELECT * FROM a ORDER BY id LIMIT 5",
+    "preview_last": _BASE + " SELECT * FROM a ORDER BY id DESC LIMIT 5",
+    "columns_through": _BASE + " SELECT id, datetime, nearby FROM a",
     "header_gaps": _BASE
     + "\n  UNION ALL ".join(
         f" SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, "

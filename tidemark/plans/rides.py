@@ -62,6 +62,15 @@ def one_ride_per_rider(rides: DataFrame) -> DataFrame:
     return first_per_key(rides, "party_rk", ["order_rk"])
 
 
+def rider_ages(rides: DataFrame, bins: int = 30) -> DataFrame:
+    """Age histogram with every rider counted once."""
+    return histogram(one_ride_per_rider(rides), "age", bins)
+
+
+def rider_age_summary(rides: DataFrame) -> DataFrame:
+    return _rounded(describe(one_ride_per_rider(rides), ["age"]), ["mean", "std", "p25", "p50", "p75"])
+
+
 def riders_by_age(rides: DataFrame) -> DataFrame:
     rows = rides.withColumn("age_group", age_group())
     return ranked(units_by_category(rows, "party_rk", "age_group"), "units", ["age_group"])
@@ -176,6 +185,8 @@ QUERIES = {
     "share_by_gender": lambda s, d: riders_by(S.rides(s, d), "gender_cd"),
     "top_ride_regions": lambda s, d: riders_by(S.rides(s, d), "lvn_state_nm", 10),
     "first_per_key": lambda s, d: one_ride_per_rider(S.rides(s, d)).select("party_rk", "order_rk", "age", "minute_cost"),
+    "rider_age_histogram": lambda s, d: _rounded(rider_ages(S.rides(s, d)), _EDGES),
+    "rider_age_summary": lambda s, d: rider_age_summary(S.rides(s, d)),
     "age_groups": lambda s, d: riders_by_age(S.rides(s, d)),
     "age_table": lambda s, d: age_table(S.rides(s, d)),
     "by_month": lambda s, d: seasonality(S.trips(s, d), "month"),
@@ -188,6 +199,7 @@ QUERIES = {
     "ride_summary": lambda s, d: duration_distance_summary(S.trips(s, d)),
     "rides_per_duration": lambda s, d: rides_per_value(S.trips(s, d), "duration_min"),
     "duration_box": lambda s, d: _rounded(box_stats(with_duration(S.trips(s, d)), "duration_min"), _BOX),
+    "minute_cost_box": lambda s, d: _rounded(box_stats(S.trips(s, d), "minute_cost", ["transport_model"]), _BOX),
     "distance_histogram": lambda s, d: _rounded(histogram(S.trips(s, d), "distance_km", 50, hi=8), _EDGES),
     "minute_cost_histogram": lambda s, d: _rounded(
         histogram(S.trips(s, d), "minute_cost", 50, by=["transport_model"]), _EDGES
@@ -227,6 +239,9 @@ _RIDES = r"""
                        WHEN age <= 35 THEN '31-35' WHEN age <= 45 THEN '36-45' ELSE '45+' END AS age_group FROM r)"""
 
 
+_ONE = " one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY party_rk ORDER BY order_rk) = 1)"
+
+
 def _riders(column: str, name: str, tail: str = "") -> str:
     return (
         _RIDES
@@ -309,6 +324,8 @@ ORACLE = {
     + """
   SELECT party_rk, order_rk, age, minute_cost FROM r
   QUALIFY row_number() OVER (PARTITION BY party_rk ORDER BY order_rk) = 1""",
+    "rider_age_histogram": _RIDES + f",{_ONE}," + _hist("one", "age", 30),
+    "rider_age_summary": _RIDES + f",{_ONE}" + _summary("one", {"age": "age"}, (0.25, 0.5, 0.75)),
     "age_groups": _RIDES + " SELECT age_group, count(DISTINCT party_rk) AS units FROM a GROUP BY 1",
     "age_table": _RIDES
     + """,
@@ -338,6 +355,7 @@ ORACLE = {
     + _summary("t", {"duration_min": "duration_min", "distance_km": "distance_km"}, (0.25, 0.5, 0.75)),
     "rides_per_duration": _RIDES + " SELECT duration_min, count(*) AS rides FROM t GROUP BY 1",
     "duration_box": _RIDES + "," + _box("t", "duration_min"),
+    "minute_cost_box": _RIDES + "," + _box("t", "minute_cost", "transport_model"),
     "distance_histogram": _RIDES + "," + _hist("t", "distance_km", 50, hi="8"),
     "minute_cost_histogram": _RIDES + "," + _hist("t", "minute_cost", 50, by="transport_model"),
     "cashback_share": """
