@@ -55,9 +55,10 @@ def test_profiles(spark):
     assert rows(table_profile(df)) == [("i", 3, 0, 2, "int"), ("s", 1, 2, 1, "string")]
 
 
-def test_describe_per_group_with_a_single_row(spark):
+@pytest.mark.parametrize("strategy", ["builtin", "narrowing", "counting"])
+def test_describe_per_group_with_a_single_row(spark, strategy):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, None)], "g string, v double")
-    got = {r["g"]: r for r in describe(df, ["v"], (0.5,), ["g"]).collect()}
+    got = {r["g"]: r for r in describe(df, ["v"], (0.5,), ["g"], strategy).collect()}
     assert (got["a"]["n"], got["a"]["mean"], got["a"]["p50"]) == (2, 2.0, 2.0)
     assert got["b"]["std"] is None and got[None]["n"] == 0 and got[None]["p50"] is None
 
