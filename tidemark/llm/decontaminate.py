@@ -15,19 +15,23 @@ UNITS = (
     "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "mile", "miles", "inch", "inches",
     "foot", "feet", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ton", "tons", "liter", "liters", "litre", "litres",
     "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
-    "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh", "w", "kw", "v", "hz", "%", "$", "€", "£", "°",
+    "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh", "w", "kw", "v", "hz",
 )
-NUMBER, UNIT, NAME = "#n", "#u", "#p"
-ENDS = (".", "!", "?", "\n")
-#: Sentence ends, numbers, words, signs that are units.
-TOKEN = r"[.!?\n]|\p{N}+(?:[.,]\p{N}+)*+|[\p{L}\p{M}]++|[%$€£°]"
+#: Placeholders begin with a character of the private use area, which no word has.
+MARK = "\ue000"
+NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
+
+_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*+"
+_MEASURE = _NUMBER + r"\x20?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
+#: A capitalised word inside a sentence: a word, a comma or the like stands before it.
+_NAME = r"(?<=[\p{L}\p{M},;:)]\x20{1,2})\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """window: template tokens to a window. A window of the benchmark takes part if min_plain of its tokens are plain
-    words (all windows of an item do if none has as many). Items of fewer than min_tokens tokens can't be told from
-    common speech and are left out. A document holds an item if consistent windows cover min_share of the item's."""
+    """window: template tokens to a window. A window of the benchmark counts if min_plain of its tokens are plain words
+    (if none has as many, all of the item's do). Items of fewer than min_tokens tokens can't be told from common
+    speech and are left out. A document holds an item if consistent windows are min_share of the item's."""
 
     window: int = 8
     min_plain: int = 4
@@ -36,76 +40,48 @@ class Limits:
     max_broadcast_rows: int = 500_000
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, " "), "")
 
 
-def _template(found: Column) -> Column:
-    """The template token at each place; empty at sentence ends.
+def template(text: Column) -> Column:
+    """Template tokens: lower-case words, and placeholders for numbers, units behind them and names."""
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    numbered = F.regexp_replace(F.regexp_replace(plain, _MEASURE, f" {NUMBER} {UNIT} "), _NUMBER, f" {NUMBER} ")
+    named = F.regexp_replace(numbered, _NAME, NAME)
+    return _split(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}{MARK}]++", " "))
 
-    A number is any run of digits, a unit stands behind a number, and a name is a capitalised word inside a sentence.
-    """
 
-    def one(t: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(found, i - 1))
-        low = F.lower(t)
-        return (
-            F.when(t.isin(*ENDS), "")
-            .when(t.rlike(r"^\p{N}"), NUMBER)
-            .when(before.rlike(r"^\p{N}") & low.isin(*UNITS), UNIT)
-            .when((t != low) & before.isNotNull() & ~before.isin(*ENDS) & t.rlike(r"^\p{Lu}\p{Ll}+$"), NAME)
-            .otherwise(low)
-        )
+def raw_tokens(text: Column) -> Column:
+    """The text's own words and numbers (without separators), lower-case, one for each template token."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{N})[.,](?=\p{N})", "")
+    return _split(F.regexp_replace(F.lower(F.regexp_replace(joined, r"\p{N}+", " $0 ")), r"[^\p{L}\p{M}\p{N}]++", " "))
 
-    return F.transform(found, one)
 
+def block_size(window: Column) -> Column:
+    """Any run of `window` tokens has a whole block of so many in it, whatever the blocks' start."""
+    return F.floor((window + 1) / 2).cast("int")
 
-def with_templates(df: DataFrame, text: str, *, raw: bool) -> DataFrame:
-    """Adds _template, and with raw also _raw, the text's own tokens (lower case) at the same places."""
-    found = df.withColumn("_tokens", tokens(F.col(text))).withColumn("_all", _template(F.col("_tokens")))
-    if raw:
-        both = F.filter(F.arrays_zip("_tokens", "_all"), lambda x: x["_all"] != "")
-        found = found.withColumn("_both", both).withColumn("_raw", F.transform("_both", lambda x: F.lower(x["_tokens"])))
-        return found.withColumn("_template", F.transform("_both", lambda x: x["_all"])).drop("_both", "_tokens", "_all")
-    return found.withColumn("_template", F.filter("_all", lambda t: t != "")).drop("_tokens", "_all")
 
-
-def _windows(coded: str, size: int) -> Column:
-    """Hashes of all windows of so many tokens, in order, from the column of the tokens' hashes."""
-    n = F.size(coded) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(coded, i, size)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def _coded(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _plain(template: Column) -> Column:
-    return F.size(F.filter(template, lambda t: ~t.isin(NUMBER, UNIT, NAME)))
+def _blocks(coded: str, last: Column, size: int, step: int) -> Column:
+    """Hashes of the blocks of so many tokens that begin at 0, step, 2 * step and so on, up to the block `last`."""
+    block = lambda i: F.xxhash64(*[F.get(F.col(coded), i * step + k) for k in range(size)])
+    return F.transform(F.sequence(F.lit(0), last), block)
 
 
-def benchmark_windows(benchmark: DataFrame, limits: Limits, *, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The items (item_id, _template, _raw, _size) and their windows (item_id, place, hash, size, n_windows), stored.
+def benchmark_items(benchmark: DataFrame, limits: Limits, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, item_template, item_raw and size (window, or all tokens of a shorter item), stored.
 
-    Items shorter than a window are one window of their own size. Null, empty and repeated items are left out.
+    Null, empty and too short items are left out; repeated items count once.
     """
     named = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("_text")).distinct()
-    items = with_templates(named, "_text", raw=True).drop("_text").where(F.size("_template") >= limits.min_tokens)
-    items = stored(items.withColumn("_size", F.least(F.size("_template"), F.lit(limits.window))), "items")
-    starts = F.sequence(F.lit(1), F.size("_template") - F.col("_size") + 1)
-    parts = items.select("item_id", "_template", "_size", F.explode(starts).alias("_start")).select(
-        "item_id", (F.col("_start") - 1).alias("place"), F.slice("_template", F.col("_start"), F.col("_size")).alias("_w"), F.col("_size").alias("size")
-    )
-    telling = parts.withColumn("_telling", _plain(F.col("_w")) >= F.least(F.lit(limits.min_plain), F.col("size")))
-    best = telling.groupBy(F.col("item_id").alias("_item")).agg(
-        F.max("_telling").alias("_any"),
-        F.count_if("_telling").alias("_told"),
-        F.count(F.lit(1)).alias("_all"),
-    )
-    kept = telling.join(best, F.col("item_id").eqNullSafe(F.col("_item"))).where(F.col("_telling") | ~F.col("_any"))
-    coded = F.xxhash64(F.transform("_w", lambda t: F.xxhash64(t)))
-    windows = kept.select(
-        "item_id", "place", coded.alias("hash"), "size", F.when(F.col("_any"), F.col("_told")).otherwise(F.col("_all")).alias("n_windows")
-    )
-    return items, stored(windows, "item-windows")
+    items = named.select("item_id", template(F.col("_text")).alias("item_template"), raw_tokens(F.col("_text")).alias("item_raw"))
+    items = items.where(F.size("item_template") >= limits.min_tokens)
+    return stored(items.withColumn("size", F.least(F.size("item_template"), F.lit(limits.window))), "items")
 
 
 def _lookup(small: DataFrame, limits: Limits) -> DataFrame:
@@ -113,62 +89,84 @@ def _lookup(small: DataFrame, limits: Limits) -> DataFrame:
     return F.broadcast(small) if small.count() <= limits.max_broadcast_rows else small
 
 
+def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
+    """doc_id, _key, item_id, offset (document place less item place) where a document's block of template tokens is in an item.
+
+    The documents' blocks stand one behind another, the items' at every place, so each shared window holds one of them.
+    """
+    blocks = items.select("item_id", "item_template", block_size(F.col("size")).alias("block"))
+    widths = [r["block"] for r in blocks.select("block").distinct().collect()]  # a few: half of the sizes up to `window`
+    coded = docs.withColumn("_template", template(F.col("_text"))).withColumn("_coded", _coded(F.col("_template")))
+    # the size keeps the hashes a column of their own, so that they are made once for each text
+    coded = coded.select("doc_id", "_key", "_coded", F.size("_coded").alias("_n"))
+    found = None
+    for width in widths:
+        own = blocks.where(F.col("block") == width).withColumn("_coded", _coded(F.col("item_template")))
+        own = own.select("item_id", "_coded", F.size("_coded").alias("_n")).where(F.col("_n") >= width)
+        own = own.select("item_id", F.posexplode(_blocks("_coded", F.col("_n") - width, width, 1)).alias("_place", "_h"))
+        whole = F.floor(F.col("_n") / width).cast("int")
+        theirs = coded.where(F.col("_n") >= width).select(
+            "doc_id", "_key", F.posexplode(_blocks("_coded", whole - 1, width, width)).alias("_block", "_g")
+        )
+        hits = theirs.join(_lookup(stored(own.distinct(), "blocks"), limits), F.col("_g") == F.col("_h")).select(
+            "doc_id", "_key", "item_id", (F.col("_block") * width - F.col("_place")).alias("offset")
+        )
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        found = docs.limit(0).join(items.select("item_id").limit(0)).select("doc_id", "_key", "item_id", F.lit(0).alias("offset"))
+    return stored(found.distinct(), "candidates")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold benchmark items: doc_id, _key, item_id, n_windows, share, n_slots, exact.
 
-    Windows of templates are joined by hash. A run of windows at one offset is consistent if its slots map one to
-    one: equal values of the item stand for equal values in the document, and different ones for different ones.
-    exact says that all slots hold the item's own values. _key tells apart texts of one doc_id; rows that agree in
-    doc_id and text give one result. Null and empty texts hold nothing; empty tables give an empty result.
+    Blocks of template tokens are joined by hash, and at each offset that they give, document and item are laid side by
+    side. A window matches if all of its template tokens are equal. The windows at one offset are consistent if their
+    slots map one to one: equal values of the item stand for equal ones in the document, and different ones for different
+    ones. exact says that all slots hold the item's own values. _key tells apart texts of one doc_id; rows that agree
+    in doc_id and text give one result. Null and empty texts hold nothing; empty tables give an empty result.
     """
-    items, windows = benchmark_windows(benchmark, limits, item_id=item_id, text=item_text)
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most `window` different ones
+    items = benchmark_items(benchmark, limits, item_id=item_id, text=item_text)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
-    parsed = with_templates(named, "_text", raw=False).withColumn("_coded", F.transform("_template", lambda t: F.xxhash64(t)))
-    if len(sizes) == 1:
-        parts = parsed.select("doc_id", "_key", F.lit(sizes[0]).alias("_s"), F.posexplode(_windows("_coded", sizes[0])).alias("_at", "_h"))
-    else:
-        every = [F.transform(_windows("_coded", n), lambda h, i, n=n: F.struct(F.lit(n).alias("s"), i.alias("at"), h.alias("h"))) for n in sizes]
-        none = F.array().cast("array<struct<s:int,at:int,h:bigint>>")
-        parts = parsed.select("doc_id", "_key", F.explode(F.concat(none, *every)).alias("_w")).select(
-            "doc_id", "_key", F.col("_w.s").alias("_s"), F.col("_w.at").alias("_at"), F.col("_w.h").alias("_h")
-        )
-    found = parts.join(_lookup(windows, limits), (F.col("_h") == F.col("hash")) & (F.col("_s") == F.col("size")))
-    runs = stored(
-        found.groupBy("doc_id", "_key", "item_id", (F.col("_at") - F.col("place")).alias("offset"))
-        .agg(F.collect_set("place").alias("places"), F.first("size").alias("size"), F.first("n_windows").alias("of")),
-        "runs",
-    )
-    # the slots: only documents with matches are parsed again
+    runs = candidates(named, items, limits)
+    # only documents with candidates are parsed again
     hit = runs.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
     again = named.join(_lookup(hit, limits), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
-    again = with_templates(again.dropDuplicates(["doc_id", "_key"]), "_text", raw=True).select(
-        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("_raw").alias("doc_raw"), F.col("_template").alias("doc_template")
+    again = again.dropDuplicates(["doc_id", "_key"]).select(
+        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), template(F.col("_text")).alias("doc_template"), raw_tokens(F.col("_text")).alias("doc_raw")
     )
-    own = items.select(F.col("item_id").alias("_i"), F.col("_raw").alias("item_raw"), F.col("_template").alias("item_template"))
+    own = items.withColumnRenamed("item_id", "_i")
     aligned = runs.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).join(
         _lookup(own, limits), F.col("item_id").eqNullSafe(F.col("_i"))
     )
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    starts = F.sequence(F.lit(0), F.size("item_template") - F.col("size"))
+    part = lambda p: F.slice("item_template", p + 1, F.col("size"))
+    plain = lambda p: F.size(F.filter(part(p), lambda t: ~t.startswith(MARK))) >= F.least(F.lit(limits.min_plain), F.col("size"))
+    telling = F.filter(starts, plain)
+    counted = aligned.withColumn("_telling", telling).withColumn("_starts", F.when(F.size("_telling") > 0, F.col("_telling")).otherwise(starts))
+    same = F.transform(
+        F.sequence(F.lit(0), F.size("item_template") - 1),
+        lambda p: (p + F.col("offset") >= 0) & (F.get("item_template", p) == F.coalesce(F.get("doc_template", F.greatest(p + F.col("offset"), F.lit(0))), F.lit(""))),
+    )
+    counted = counted.withColumn("_same", same).withColumn(
+        "places", F.filter("_starts", lambda p: F.forall(F.slice("_same", p + 1, F.col("size")), lambda x: x))
+    )
+    counted = counted.where(F.size("places") > 0).withColumn(
+        "_covered", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    )
     slot = lambda p: F.struct(
         F.get("item_template", p).alias("kind"), F.get("item_raw", p).alias("theirs"), F.get("doc_raw", p + F.col("offset")).alias("ours")
     )
-    slots = F.array_distinct(
-        F.transform(F.filter(covered, lambda p: F.get("item_template", p).isin(NUMBER, UNIT, NAME)), slot)
-    )
-    checked = aligned.withColumn("_slots", slots).select(
-        "doc_id", "_key", "item_id", "places", "of", "_slots",
-        (
-            (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["theirs"])))))
-            & (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["ours"])))))
-        ).alias("consistent"),
+    slots = F.array_distinct(F.transform(F.filter("_covered", lambda p: F.get("item_template", p).startswith(MARK)), slot))
+    checked = counted.withColumn("_slots", slots).where(
+        (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["theirs"])))))
+        & (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["ours"])))))
     )
     return (
-        checked.where("consistent")
-        .groupBy("doc_id", "_key", "item_id")
+        checked.groupBy("doc_id", "_key", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
-            F.max("of").alias("_of"),
+            F.max(F.size("_starts")).alias("_of"),
             F.max(F.size("_slots")).cast("long").alias("n_slots"),
             F.min(F.forall("_slots", lambda s: s["theirs"] == s["ours"])).alias("exact"),
         )

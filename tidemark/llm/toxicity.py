@@ -19,16 +19,19 @@ TOKEN = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Training:
     """max_per_label bounds the labelled sample of each label (by hash of the doc_id); documents of more than max_chars
-    characters are not learned from. slots: number of hashed features."""
+    characters are not learned from. slots: number of hashed features. A feature gets a weight if at least min_docs
+    documents of the sample have it and its shares among the two labels differ by min_z standard errors, so that
+    single documents aren't learned by heart."""
 
     max_per_label: int = 5000
     max_chars: int = 30_000
     slots: int = 1 << 18
-    epochs: int = 14
-    rate: float = 0.25
-    decay: float = 2e-7
+    min_docs: int = 5
+    min_z: float = 4.0
+    rounds: int = 300
+    rate: float = 0.05
+    decay: float = 0.02
     first_bias: float = -6.0
-    seed: int = 3
 
 
 @dataclass(frozen=True)
@@ -73,39 +76,58 @@ def noisy_or(p: np.ndarray) -> float:
 
 
 def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray, training: Training) -> Model:
-    """Gradient ascent (Adagrad) on the noisy-or likelihood of the document labels.
+    """Gradient ascent (Adam) on the noisy-or likelihood of the document labels.
 
-    bags holds for every document the feature arrays of its sentences. Documents without sentences teach nothing.
+    bags holds for every document the feature arrays of its sentences, each feature once. Documents without sentences
+    teach nothing. The weights start at the log-odds of the features' documents.
     """
-    rng = np.random.default_rng(training.seed)
-    w = np.zeros(training.slots, dtype=np.float64)
-    squares = np.full(training.slots, 1e-2)
-    bias, bias_square = training.first_bias, 1e-1
-    flat = [np.concatenate(b) if b else np.empty(0, dtype=np.int64) for b in bags]
-    lengths = [np.array([len(s) for s in b], dtype=np.int64) for b in bags]
-    for _ in range(training.epochs):
-        for i in rng.permutation(len(bags)):
-            if not len(flat[i]):
-                continue
-            ends = np.cumsum(lengths[i])
-            sums = np.add.reduceat(w[flat[i]], ends - lengths[i])
-            p = 1 / (1 + np.exp(-np.clip(bias + sums, -40, 40)))
-            clean = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()
-            if labels[i]:
-                d = -p * np.exp(clean) / max(-np.expm1(clean), 1e-12)
+    w = np.zeros(training.slots)
+    use = [i for i, b in enumerate(bags) if b]
+    labels, weights = np.asarray(labels)[use].astype(bool), np.asarray(weights, dtype=np.float64)[use]
+    if not use or labels.all() or not labels.any():
+        bias = training.first_bias if not use or not labels.any() else 6.0
+        return Model(w.astype(np.float32), float(bias), training.slots)
+    in_docs = np.zeros((2, training.slots))
+    for y, i in zip(labels, use):
+        in_docs[int(y), np.unique(np.concatenate(bags[i]))] += 1
+    n_clean, n_toxic = (~labels).sum(), labels.sum()
+    both = in_docs.sum(axis=0)
+    share = both / len(use)
+    error = np.sqrt(share * (1 - share) * (1 / n_clean + 1 / n_toxic)) + 1e-12
+    known = (both >= training.min_docs) & (np.abs(in_docs[1] / n_toxic - in_docs[0] / n_clean) >= training.min_z * error)
+    w[known] = (np.log((in_docs[1] + 0.5) / (n_toxic + 1)) - np.log((in_docs[0] + 0.5) / (n_clean + 1)))[known]
+    first = w.copy()
+    # sentences with a known feature stand on their own; of the others only their number per document counts
+    of_doc, of_sentence, feature, empty = [], [], [], np.zeros(len(use))
+    for d, i in enumerate(use):
+        for sentence in bags[i]:
+            told = sentence[known[sentence]]
+            if len(told):
+                of_sentence += [len(of_doc)] * len(told)
+                feature += told.tolist()
+                of_doc.append(d)
             else:
-                d = p
-            d = d * weights[i]
-            if np.abs(d).max() < 1e-4:
-                continue
-            slots, inverse = np.unique(flat[i], return_inverse=True)
-            g = np.bincount(inverse, weights=np.repeat(d, lengths[i])) + training.decay * w[slots]
-            squares[slots] += g * g
-            w[slots] -= training.rate * g / np.sqrt(squares[slots])
-            total = d.sum()
-            bias_square += total * total
-            bias -= 0.1 * training.rate * total / np.sqrt(bias_square)
-    w[np.abs(w) < 1e-3] = 0
+                empty[d] += 1
+    of_doc, of_sentence, feature = (np.array(v, dtype=np.int64) for v in (of_doc, of_sentence, feature))
+    slots, place = np.unique(feature, return_inverse=True)
+    v, v0, bias = w[slots], first[slots], training.first_bias
+    m1, m2, b1, b2 = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    for k in range(1, training.rounds + 1):
+        p = sigmoid(bias + np.bincount(of_sentence, weights=v[place], minlength=len(of_doc)))
+        p0 = sigmoid(bias)
+        clean = np.bincount(of_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(use)) + empty * np.log1p(-p0)
+        pull = np.where(labels, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 1.0) * weights
+        g_sentence = p * pull[of_doc]
+        g = np.bincount(place, weights=g_sentence[of_sentence], minlength=len(v)) + training.decay * (v - v0)
+        g_bias = g_sentence.sum() + (empty * p0 * pull).sum()
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        b1, b2 = 0.9 * b1 + 0.1 * g_bias, 0.99 * b2 + 0.01 * g_bias * g_bias
+        scale = np.sqrt(1 - 0.99**k) / (1 - 0.9**k)
+        v = v - training.rate * scale * m1 / (np.sqrt(m2) + 1e-8)
+        bias = bias - training.rate * scale * b1 / (np.sqrt(b2) + 1e-8)
+    w[:] = 0
+    w[slots] = v
     return Model(w.astype(np.float32), float(bias), training.slots)
 
 
