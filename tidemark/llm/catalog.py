@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import load
 
-from . import decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, warc_archive
+from . import decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, url_filter, warc_archive
 from .common import crc_remainder, stored
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), language_id.predict(F.col("text"), net).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(load(spark, folder, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -73,6 +77,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,

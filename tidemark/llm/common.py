@@ -50,6 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(value: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo divisor; null for null."""
     return F.pmod(F.crc32(value.cast("string")), F.lit(divisor))

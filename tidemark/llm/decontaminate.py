@@ -181,8 +181,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *, d
     held = stored(
         matches(docs, benchmark, limits, doc_id=doc_id, text=text).select(F.col("doc_id").alias("_held"), F.col("_key").alias("_held_key")).distinct(), "held"
     )
-    return docs.join(
-        _lookup(held, limits),
-        docs[doc_id].eqNullSafe(F.col("_held")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_held_key")),
-        "left_anti",
-    )
+    same = docs[doc_id].eqNullSafe(held["_held"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == held["_held_key"])
+    return docs.join(_lookup(held, limits), same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, stored, word_count
+from .common import fresh, running_total, stored, word_count
 
 
 def rank_cycle_weights(sources: DataFrame, source: str, cycle: Sequence[int]) -> DataFrame:
@@ -50,11 +50,10 @@ def mix(
     the targets. taken is the words of a document's copies in the mix.
 
     Documents without words take nothing. Null sources form a source. Rows that agree in source, doc_id and size
-    share one finish time (that of the last of them is theirs) and are taken together.
+    share one finish time (that of the last of them is theirs) and are taken together. Columns that are called as the
+    added ones are replaced.
     """
-    for name in ("target", "source_size", "taken"):
-        if name in sized.columns:
-            raise ValueError(f"the column {name} is there already")
+    sized = sized.drop("source_size", "target", "taken")
     place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     # rows that agree are summed, so that ties need no order
     alike = sized.groupBy(F.col(source).alias("_source"), place.alias("_place"), F.col(doc_id).alias("_id"), F.col(size).alias("_size")).agg(
@@ -87,15 +86,14 @@ def mix(
         done = (F.lit(k) * F.col("source_size") + F.col("_upto")) / F.col("target")
         taken = taken + F.when((F.col("target") > 0) & (done <= F.lit(cut)), F.col("_size")).otherwise(F.lit(0))
     decided = lined.select("_source", "_place", "_id", "_size", "source_size", "target", taken.cast("long").alias("taken"))
-    result = sized.withColumn("_p", place).join(
-        decided,
-        F.col(source).eqNullSafe(F.col("_source"))
-        & (F.col("_p") == F.col("_place"))
-        & F.col(doc_id).eqNullSafe(F.col("_id"))
-        & F.col(size).eqNullSafe(F.col("_size")),
-        "left",
+    given = sized.withColumn(fresh(sized, "_at"), place)
+    same = (
+        given[source].eqNullSafe(decided["_source"])
+        & (given[given.columns[-1]] == decided["_place"])
+        & given[doc_id].eqNullSafe(decided["_id"])
+        & given[size].eqNullSafe(decided["_size"])
     )
-    return result.select(*[sized[c] for c in sized.columns], "source_size", "target", "taken")
+    return given.join(decided, same, "left").select(*[given[c] for c in sized.columns], *[decided[c] for c in ("source_size", "target", "taken")])
 
 
 def mix_documents(
@@ -108,9 +106,25 @@ def mix_documents(
     more than `cap` times its own. A null text has no words. An empty table gives an empty result.
     """
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sized")
+    return mix(sized, cycle_targets(sized, cycle, share, cap), seed=seed, passes=int(cap))
+
+
+def cycle_targets(sized: DataFrame, cycle: Sequence[int], share: float, cap: float) -> DataFrame:
+    """source, source_size, weight and target of every source of `sized` (source, size)."""
     sums = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     weights = rank_cycle_weights(sums, "source", cycle).withColumnRenamed("source", "_s")
     weighted = stored(sums.join(weights, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "weights")
     total = sums.agg(F.sum("source_size")).first()[0] or 0
-    targets = fill_targets(weighted, share * total, cap)
-    return mix(sized, targets, seed=seed, passes=int(cap))
+    return fill_targets(weighted, share * total, cap)
+
+
+def mixed(
+    docs: DataFrame, *, cycle: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2, seed: str = "mix",
+    doc_id: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The rows of `docs` that `mix_documents` takes, with size, source_size, target and taken (columns of these names are
+    replaced): a document that the mix takes twice has twice its size taken."""
+    given = docs.drop("size", "source_size", "target", "taken").withColumn("size", word_count(F.col(text)))
+    sized = stored(given.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), "size"), "sized")
+    targets = cycle_targets(sized, cycle, share, cap).withColumnRenamed("source", source)
+    return mix(given, targets, seed=seed, passes=int(cap), doc_id=doc_id, source=source).where(F.col("taken") > 0)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .shingles import mix, parity_bits, parity_distance, set_key, shingle_set
 
 
@@ -436,14 +436,14 @@ def keep_one(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id
         "goes",
     )
     repeated = stored(joined.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).count().where("count > 1").select("_id", "_text_key"), "repeated")
-    given = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_doc", F.col(doc_id).cast("long"))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_text_key"))
+    k, d = fresh(docs, "_k"), fresh(docs, "_doc")
+    given = docs.withColumn(k, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(d, F.col(doc_id).cast("long"))
 
-    def side(small: DataFrame) -> DataFrame:
-        return F.broadcast(small) if small.count() <= s.max_broadcast_rows else small
+    def beside(rows: DataFrame, small: DataFrame, how: str) -> DataFrame:
+        same = rows[d].eqNullSafe(small["_id"]) & (rows[k] == small["_text_key"])
+        return rows.join(F.broadcast(small) if small.count() <= s.max_broadcast_rows else small, same, how)
 
-    left = given.join(side(goes), same, "left_anti")
+    left = beside(given, goes, "left_anti")
     if not repeated.isEmpty():
-        again = left.join(side(repeated), same, "left_semi").dropDuplicates(["_doc", "_k"])
-        left = left.join(side(repeated), same, "left_anti").unionByName(again)
-    return left.drop("_k", "_doc")
+        left = beside(left, repeated, "left_anti").unionByName(beside(left, repeated, "left_semi").dropDuplicates([d, k]))
+    return left.drop(k, d)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import fresh, stored
 
 #: Characters counted as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -139,5 +139,6 @@ def keep(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", host: s
     )
     verdicts = host_verdicts(flags, "host", "failed", rules)
     rejected = stored(verdicts.where(~F.col("host_kept")).select(F.col("host").alias("_rejected_host")), "rejected-hosts")
-    own = docs.withColumn("_counts", text_counts(F.col(text), rules.window)).where(~base_failed("_counts", rules)).drop("_counts")
+    counts = fresh(docs, "_counts")
+    own = docs.withColumn(counts, text_counts(F.col(text), rules.window)).where(~base_failed(counts, rules)).drop(counts)
     return own.join(rejected, own[host] == rejected["_rejected_host"], "left_anti")

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Characters the models tell apart; all others are one further symbol (fixed value).
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
@@ -164,11 +166,10 @@ def log_ratio(token: Column, model: Model) -> Column:
 def find(docs: DataFrame, model: Model, limits: Limits = Limits(), *, text: str = "text", base: str = "base_spans", extra: str = "markov_spans") -> DataFrame:
     """Adds two columns of sorted spans: those of the formats, and the models' own that overlap none of them.
 
-    A null text is empty and has no spans; an empty table stays empty; repeated rows are scanned one by one.
+    A null text is empty and has no spans; an empty table stays empty; repeated rows are scanned one by one; columns that
+    are called as the added ones are replaced.
     """
-    for name in (base, extra):
-        if name in docs.columns:
-            raise ValueError(f"the column {name} is there already")
+    docs = docs.drop(base, extra)
 
     def secret(token: Column) -> Column:
         ratio = log_ratio(token, model)
@@ -196,8 +197,9 @@ def redact(docs: DataFrame, model: Model, limits: Limits = Limits(), *, text: st
 
     `length`, if `docs` has it, becomes the new length of texts that changed. Other rows and columns stay.
     """
-    found = find(docs, model, limits, text=text, base="_base", extra="_markov")
-    found = found.withColumn("_spans", F.array_sort(F.concat("_base", "_markov"))).drop("_base", "_markov")
+    base, extra, spans, new = (fresh(docs, x) for x in ("_base", "_markov", "_spans", "_new"))
+    found = find(docs, model, limits, text=text, base=base, extra=extra)
+    found = found.withColumn(spans, F.array_sort(F.concat(base, extra))).drop(base, extra)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -208,17 +210,17 @@ def redact(docs: DataFrame, model: Model, limits: Limits = Limits(), *, text: st
         )
 
     whole = F.aggregate(
-        "_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text))))
+        spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text))))
     )
-    hit = F.size("_spans") > 0
-    result = found.withColumn("_new", F.when(hit, whole).otherwise(F.col(text)))
+    hit = F.size(spans) > 0
+    result = found.withColumn(new, F.when(hit, whole).otherwise(F.col(text)))
     columns = []
     for name in docs.columns:
         if name == text:
-            columns.append(F.col("_new").alias(name))
+            columns.append(F.col(new).alias(name))
         elif name == length:
             kind = docs.schema[name].dataType
-            columns.append(F.when(hit, F.length("_new").cast(kind)).otherwise(F.col(name)).alias(name))
+            columns.append(F.when(hit, F.length(new).cast(kind)).otherwise(F.col(name)).alias(name))
         else:
             columns.append(F.col(name))
     return result.select(*columns)
