@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import load
 
-from . import decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, url_filter, warc_archive
+from . import check_sql, decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, url_filter, warc_archive
 from .common import crc_remainder, stored
 
 
@@ -32,7 +32,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(load(spark, folder, "documents"))
-    return judged.drop("host")
+    return judged.drop("host").withColumn("shrunk_rate", F.round("shrunk_rate", 6))
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,4 +88,9 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_quality_rules": check_sql.QUALITY_RULES,
+    "op5_mixing": check_sql.MIXING,
+    "op8_ngram_join": check_sql.NGRAM_JOIN,
+    "op9_warc": check_sql.WARC,
+}
