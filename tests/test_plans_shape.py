@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from tidemark import plans
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = plans.all_queries()
 
 
 def optimized(df):

@@ -6,10 +6,11 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from tidemark import plans
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = plans.all_queries(), plans.all_oracles()
 
 
 @pytest.fixture(scope="module")
