@@ -26,6 +26,8 @@ MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
 
 _INSIDE = r"A-Za-z0-9+/_=-"
+#: Transitions that the usual next symbol counts for.
+_PRIOR = 5.0
 
 
 @dataclass(frozen=True)
@@ -126,7 +128,8 @@ def word_samples(docs: DataFrame, text: str, doc_id: str, max_docs: int, max_cha
 
 
 def train(random: DataFrame, identifiers: DataFrame) -> Model:
-    """Fit both models from labelled samples (column token): transition counts, add-one smoothed.
+    """Fit both models from labelled samples (column token): transition counts, smoothed by how often the next
+    symbol comes at all, so that a symbol never seen before says as much as what follows it usually does.
 
     Only the counts, at most STATES * STATES of each label, come to the driver. Null and one-letter tokens teach
     nothing; with no sample at all every ratio is 0.
@@ -137,16 +140,18 @@ def train(random: DataFrame, identifiers: DataFrame) -> Model:
         "label",
         F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: a * STATES + b)).alias("pair"),
     )
-    counts = [[1.0] * (STATES * STATES), [1.0] * (STATES * STATES)]
+    counts = [[0.0] * (STATES * STATES), [0.0] * (STATES * STATES)]
     for row in pairs.groupBy("label", "pair").count().collect():
         counts[row["label"]][row["pair"]] += row["count"]
     logs = []
     for table in counts:
+        seen = [sum(table[b::STATES]) + 0.5 for b in range(STATES)]
+        usual = [n / sum(seen) for n in seen]
         log = []
         for a in range(STATES):
             line = table[a * STATES : (a + 1) * STATES]
-            total = math.log(sum(line))
-            log += [math.log(x) - total for x in line]
+            total = sum(line) + _PRIOR
+            log += [math.log((n + _PRIOR * usual[b]) / total) for b, n in enumerate(line)]
         logs.append(log)
     return Model(tuple(round(r - i, 4) for i, r in zip(*logs)))
 
