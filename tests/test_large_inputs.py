@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.clean import duplicate_rows
 from tidemark.operators.joins import keep_members, lookup_join, match_flag, with_group_rows
 from tidemark.operators.quantiles import quantiles
-from tidemark.operators.sizing import broadcast_limit, local_rows, plan_bytes, source_bytes
+from tidemark.operators.outliers import box_stats, histogram, iqr_bounds, outside_share
+from tidemark.operators.sizing import plan_bytes, source_bytes
 from tidemark.sources.tables import small_table
 
 
@@ -42,13 +43,13 @@ def expect(values):
     return [disc(values, p) if m == "disc" else float(np.quantile(values, p)) for _, p, m in SPEC.values()]
 
 
-@pytest.mark.parametrize("strategy,max_hits", [("narrowing", 10_000), ("narrowing", 0), ("counting", 0), ("builtin", 0)])
-def test_quantiles_against_brute_force(spark, strategy, max_hits):
+@pytest.mark.parametrize("strategy", ["narrowing", "counting", "builtin"])
+def test_quantiles_against_brute_force(spark, strategy):
     rows = skewed()
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = quantiles(df, SPEC, (), strategy, max_hits=max_hits).first()
+    got = quantiles(df, SPEC, (), strategy).first()
     assert list(got) == pytest.approx(expect([v for _, v in rows if v is not None]), rel=1e-12)
-    groups = {r["g"]: list(r)[1:] for r in quantiles(df, SPEC, ["g"], strategy, max_hits=max_hits).collect()}
+    groups = {r["g"]: list(r)[1:] for r in quantiles(df, SPEC, ["g"], strategy).collect()}
     assert set(groups) == {"hot", "a", "b", None, "empty"}
     for g, found in groups.items():
         want = expect([v for k, v in rows if k == g and v is not None])
@@ -76,12 +77,58 @@ def final_plan(df):
     return plan[: plan.index("== Initial Plan ==")]
 
 
-def test_narrowing_with_very_many_groups_reads_its_input_once(spark):
+def test_counting_reads_its_input_once(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    out = quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, ["l_returnflag"], "narrowing", max_hits=0)
+    out = quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, ["l_returnflag"], "counting")
     assert final_plan(out).count("FileScan") == 1
 
 
+ODD = [math.nan, math.inf, -math.inf, 0.0, -0.0, 5e-324, -1.5, 1.0, 2.0, 3.0, 1.7976931348623157e308, None]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_ways_agree_on_odd_values(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", None]), rng.choice(ODD)) for _ in range(25)] + [("nan", math.nan), ("none", None)]
+    if seed == 0:
+        rows = [("a", x) for x in (1.0, 2.0, 3.0, math.nan)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("half", F.col("v") / 2)
+    spec = {"d99": ("v", 0.99, "disc"), "d01": ("v", 0.01, "disc"), "h50": ("half", 0.5, "disc"), "m": ("half", 0.5, "linear")}
+    found = {}
+    for way in ("builtin", "counting", "narrowing"):
+        found[way] = sorted(str(tuple(r)) for r in quantiles(df, spec, ["g"], way).collect())
+        found[way].append(str(tuple(quantiles(df, spec, (), way).first())))
+    assert found["builtin"] == found["counting"] == found["narrowing"]
+    if seed == 0:
+        assert quantiles(df, spec, (), "narrowing").first()["d99"] == 3.0
+
+
+def test_ways_follow_the_estimate_of_the_derived_input(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    derived = lines.join(parts, lines.l_partkey == parts.p_partkey).withColumn("x", F.col("l_extendedprice") * F.col("p_size"))
+    spec = {"m": ("x", 0.5, "linear"), "d": ("x", 0.9, "disc")}
+    spark.conf.set("tidemark.smallSourceBytes", str(10 * source_bytes(derived)))
+    try:
+        plan = quantiles(derived, spec)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("tidemark.smallSourceBytes")
+    assert "percentile" not in plan
+    ways = {tuple(quantiles(derived, spec, (), way).first()) for way in ("builtin", "counting", "narrowing")}
+    assert len(ways) == 1
+
+
+def test_missing_groups_keep_their_rows(spark):
+    rows = [(None, 1.0), (None, 2.0), (None, 90.0), ("a", 1.0), ("a", 5.0)] + [(None, 1.5)] * 8
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert {r["g"]: r["n"] for r in box_stats(df, "v", ["g"]).collect()} == {None: 11, "a": 2}
+    assert {r["g"]: r["rows"] for r in outside_share(df, "v", iqr_bounds(df, "v", ["g"]), ["g"]).collect()} == {None: 11, "a": 2}
+    counts = {}
+    for r in histogram(df, "v", 3, by=["g"]).collect():
+        counts[r["g"]] = counts.get(r["g"], 0) + r["n"]
+    assert counts == {None: 11, "a": 2}
+
+
 def test_narrowing_shuffles_only_the_chosen_bands(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
     out = quantiles(df, {"m": ("l_extendedprice", 0.5, "linear")}, (), "narrowing")
@@ -101,41 +148,26 @@ def fact_and_dim(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(fact_and_dim, how):
-    fact, dim = fact_and_dim
-    salted = lookup_join(fact, dim, "k", how, "salted")
-    plain = fact.join(dim, "k", how)
-    assert salted.columns == plain.columns
-    key = lambda r: str(tuple(r))
-    assert sorted(map(key, salted.collect())) == sorted(map(key, plain.collect()))
-
-
-def test_salted_join_spreads_the_hot_key(fact_and_dim):
-    fact, dim = fact_and_dim
-    joined = lookup_join(fact, dim, "k", "inner", "salted").filter("k = 1")
-    plan = lookup_join(fact, dim, "k", "inner", "salted")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" in plan
-    assert joined.count() == fact.filter("k = 1").count()
-
-
-def test_join_choice_follows_the_size_check(spark, fact_and_dim):
-    fact, dim = fact_and_dim
-    assert plan_bytes(dim) < broadcast_limit(spark)
-    assert "_slice" not in lookup_join(fact, dim, "k")._jdf.queryExecution().optimizedPlan().toString()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+@pytest.mark.parametrize("share", [3, 40])
+def test_hot_keys_are_split_by_adaptive_execution(spark, how, share):
+    """A key with a third of the rows, and one that would miss a fixed share of the rows."""
+    hot = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "64",
+    }
+    for name, value in hot.items():
+        spark.conf.set(name, value)
     try:
-        assert "_slice" in lookup_join(fact, dim, "k")._jdf.queryExecution().optimizedPlan().toString()
+        fact = spark.range(0, 60_000, 1, 12).select("id", F.when(F.col("id") % share == 0, 1).otherwise(F.col("id") + 5).alias("k"))
+        dim = spark.range(0, 30_000, 1, 4).select((F.col("id") * 2 + 1).alias("k"), F.col("id").alias("name"))
+        joined = lookup_join(fact, dim, "k", how)
+        assert "skew=true" in final_plan(joined)
+        assert joined.count() == fact.join(F.broadcast(dim), "k", how).count()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-@pytest.mark.parametrize("text,want", [("10485760b", 10485760), ("10MB", 10485760), ("-1", -1), ("2g", 2 << 30)])
-def test_broadcast_limit_units(spark, text, want):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
-    try:
-        assert broadcast_limit(spark) == want
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in hot:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_joins_reject_sides_they_cannot_keep(fact_and_dim):
@@ -146,20 +178,16 @@ def test_joins_reject_sides_they_cannot_keep(fact_and_dim):
 def test_members_never_multiply_rows(spark):
     fact = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, v string")
     members = spark.createDataFrame([(1,), (1,), (None,)], "k int")
-    for strategy in ("plain", "salted"):
-        assert keep_members(fact, members, "k", strategy).count() == 2
-        flags = match_flag(fact, members, "k", "hit", strategy)
-        assert sorted(r["hit"] for r in flags.collect()) == [0, 0, 1, 1]
+    assert keep_members(fact, members, "k").count() == 2
+    assert sorted(r["hit"] for r in match_flag(fact, members, "k", "hit").collect()) == [0, 0, 1, 1]
 
 
-def test_group_rows_beyond_the_bound_take_the_join(spark):
-    df = spark.range(300).select((F.col("id") % 30).alias("g"), "id")
+def test_group_rows_match_missing_keys(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 30 > 0, F.col("id") % 30).alias("g"), "id")
     stats = df.groupBy("g").agg(F.max("id").alias("top"))
-    assert local_rows(stats, 10) is None
-    assert local_rows(stats, 30).count() == 30
-    few = with_group_rows(df, stats, ["g"], max_rows=10)
-    many = with_group_rows(df, stats, ["g"], max_rows=100)
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    got = with_group_rows(df, stats, ["g"])
+    assert got.columns == ["g", "id", "top"] and got.count() == 300
+    assert {r["top"] for r in got.filter("g IS NULL").collect()} == {270}
 
 
 def test_source_size_is_the_sum_of_the_tables(spark):
@@ -169,14 +197,20 @@ def test_source_size_is_the_sum_of_the_tables(spark):
     assert source_bytes(joined) == source_bytes(a) + source_bytes(b) < plan_bytes(joined)
 
 
-@pytest.mark.parametrize("strategy", ["plain", "salted"])
-def test_repeats_of_a_hot_key(spark, strategy):
+def test_repeats_of_a_hot_key(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i}" if i % 5 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, k string")
-    got = sorted(r["id"] for r in duplicate_rows(df, ["k"], ["id"], strategy).collect())
+    got = sorted(r["id"] for r in duplicate_rows(df, ["k"], ["id"]).collect())
     seen, want = set(), []
     for i, k in rows:
         if k in seen:
             want.append(i)
         seen.add(k)
     assert got == want
+
+
+def test_exact_copies_are_repeats(spark):
+    rows = [(1, 10, None), (1, 10, None), (1, 11, "x"), (2, 5, "y"), (None, 1, None), (None, 1, None), (None, 1, None), (3, 7, "a"), (3, 7, "b")]
+    df = spark.createDataFrame(rows, "k int, v int, t string")
+    got = sorted(map(str, map(tuple, duplicate_rows(df, ["k"], ["v"]).collect())))
+    assert got == sorted(map(str, [(1, 10, None), (1, 11, "x"), (None, 1, None), (None, 1, None), (3, 7, "b")]))

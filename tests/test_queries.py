@@ -42,13 +42,16 @@ def large_ways(spark):
     spark.conf.unset("tidemark.smallSourceBytes")
 
 
-@pytest.mark.parametrize(
-    "name",
-    [
-        "re_profile", "plan_completion", "describe_cols", "box_stats", "rounds_per_year", "price_spread",
-        "zero_price_iqr", "dup_rows", "coord_semi_pairs", "tariff_revenue", "ab_conversion", "cashback_top_regions",
-    ],
+PERCENTILES_AND_JOINS = (
+    "re_profile", "re_publish_rank", "re_remove_rank", "re_top_towns", "balcony_box", "balcony_histogram", "balcony_outliers",
+    "rider_age_summary", "ride_summary", "duration_box", "minute_cost_box", "minute_cost_histogram", "box_stats", "describe_cols",
+    "duration_summary", "duration_histogram_by_plan", "rounds_per_year", "funding_summary", "funding_box", "zero_price_summary",
+    "zero_price_iqr", "price_spread", "plan_completion", "dup_rows", "dup_rows_exact", "coord_semi_pairs", "tariff_revenue",
+    "ab_conversion", "ab_covariates", "cashback_top_regions",
 )
+
+
+@pytest.mark.parametrize("name", PERCENTILES_AND_JOINS)
 def test_large_ways_match_sql(spark, duck, large_ways, name):
     got = QUERIES[name](spark, FOLDER).toArrow()
     assert compare(got, duck.sql(ORACLE[name]).to_arrow_table()) == []

@@ -28,11 +28,18 @@ def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     return F.round(F.try_divide(_wide(part) * 100, _wide(whole)), digits).cast("double")
 
 
-def exact_avg(c: Column | str, digits: int = 2, scale: int = 2) -> Column:
-    """Aggregate: average over decimals, rounded half away from zero (SQL ``ROUND(AVG(..), n)``)."""
-    value = money(c, scale)
-    mean = F.try_divide(F.sum(value), F.count(value).cast("decimal(20,0)"))
-    return F.round(mean, digits).cast("double")
+def exact_avg(c: Column | str, digits: int = 2) -> Column:
+    """Aggregate: average rounded half away from zero, once (SQL ``ROUND(AVG(..), n)``).
+
+    The sum is a decimal of ten places, so it does not depend on the order of rows; values beyond what
+    such a sum holds are averaged as doubles.
+    """
+    value = as_col(c)
+    exact = value.try_cast("decimal(38,10)")
+    size = F.max(F.abs(value.cast("double")))
+    mean = F.try_divide(F.try_sum(exact), F.count(value).cast("decimal(20,0)"))
+    rounded = F.round(mean, digits).cast("double")
+    return F.when(size < 1e15, rounded).otherwise(F.round(F.avg(value.cast("double")), digits))
 
 
 def mean(c: Column | str, digits: int = 6) -> Column:
@@ -40,11 +47,6 @@ def mean(c: Column | str, digits: int = 6) -> Column:
     return half_even(F.avg(as_col(c).cast("double")), digits)
 
 
-def half_up(c: Column | str, digits: int = 0) -> Column:
-    """Round half away from zero (SQL style)."""
-    return F.round(as_col(c), digits)
-
-
 def half_even(c: Column | str, digits: int = 0) -> Column:
     """Round a floating value half to even, on the scaled value as pandas does."""
     scale = F.lit(10.0**digits)
@@ -52,11 +54,6 @@ def half_even(c: Column | str, digits: int = 0) -> Column:
     return F.rint(value * scale) / scale if digits else F.rint(value)
 
 
-def to_int_nearest(c: Column | str) -> Column:
-    """Float to integer by rounding half to even; a plain cast would truncate."""
-    return F.rint(as_col(c).cast("double")).cast("int")
-
-
 def flag(condition: Column) -> Column:
     """0/1 indicator in which an unknown condition counts as 0."""
     return F.coalesce(condition, F.lit(False)).cast("int")

@@ -58,8 +58,17 @@ def norm_ppf(p: float) -> float:
 # Stirling series of ln(gamma(x + 1/2) / gamma(x)) - ln(x) / 2 in odd powers of 1 / x.
 _GAMMA_RATIO = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
 _GAMMA_SHIFT = 12
-_STEPS = 4000
+_PANELS = 24
 _DEPTH = 80.0
+# Gauss-Legendre nodes of eight points on [0, 1] with their weights.
+_NODES = tuple(
+    (0.5 + side * x / 2, w / 2)
+    for x, w in (
+        (0.1834346424956498, 0.3626837833783620), (0.5255324099163290, 0.3137066458778873),
+        (0.7966664774136267, 0.2223810344533745), (0.9602898564975363, 0.1012285362903763),
+    )
+    for side in (-1, 1)
+)
 
 
 def _gamma_ratio(x: Column) -> Column:
@@ -74,15 +83,16 @@ def _gamma_ratio(x: Column) -> Column:
     return F.sqrt(big) * F.exp(series) * back
 
 
-def _simpson(f: Callable[[Column], Column], width: Column) -> Column:
-    """Integral of ``f`` from 0 to ``width``."""
-    h = width / F.lit(float(_STEPS))
+def _integral(f: Callable[[Column], Column], width: Column) -> Column:
+    """Integral of a smooth ``f`` from 0 to ``width`` by Gauss-Legendre nodes on equal panels."""
+    h = width / F.lit(float(_PANELS))
 
     def add(total: Column, i: Column) -> Column:
-        weight = F.when((i == 0) | (i == _STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return total + weight * f(i.cast("double") * h)
+        for node, weight in _NODES:
+            total = total + F.lit(weight) * f((i.cast("double") + F.lit(node)) * h)
+        return total
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_STEPS)), F.lit(0.0), add) * h / 3
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_PANELS - 1)), F.lit(0.0), add) * h
 
 
 def t_sf(t: Column | str, df: Column | str) -> Column:
@@ -96,9 +106,9 @@ def t_sf(t: Column | str, df: Column | str) -> Column:
     size = F.abs(t)
     scale = _gamma_ratio(df / 2) / F.sqrt(df * F.lit(math.pi))
     power = (df + 1) / 2
-    centre = scale * _simpson(lambda u: F.exp(-power * F.log1p(u * u / df)), size)
+    centre = scale * _integral(lambda u: F.exp(-power * F.log1p(u * u / df)), size)
     start = F.log1p(size * size / df)
-    body = _simpson(
+    body = _integral(
         lambda d: F.exp(-d * (df - 1) / 2) / F.sqrt(df * F.expm1(start + d)), F.lit(_DEPTH) / df
     )
     tail = scale * F.exp(start - power * start) * df / 2 * body

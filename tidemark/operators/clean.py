@@ -57,24 +57,24 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], strategy: str = "auto"
-) -> DataFrame:
-    """Second and later rows of every key, in the order of columns that tell its rows apart.
+def duplicate_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """Second and later rows of every key, by ``order_by`` and then by the whole row; exact copies count.
 
-    The first row per key comes from a mergeable aggregate; only keys that do repeat are joined back.
-    Missing keys count as equal to each other.
+    Equal rows are counted together first, so n copies of a key's first row give n - 1 rows and n copies
+    of a later one give n. The first row per key comes from a mergeable aggregate; only keys that do
+    repeat are joined back. Missing keys count as equal to each other.
     """
-    code, place = F.struct(*keys), F.struct(*order_by)
+    code = F.struct(*keys)
+    whole = F.struct(*order_by, *[c for c in df.columns if c not in order_by])
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn("_key", code)
     firsts = (
-        df.groupBy(code.alias("_key"))
-        .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-        .filter("_n > 1")
-        .drop("_n")
+        rows.groupBy("_key").agg(F.min(whole).alias("_first"), F.sum("_n").alias("_rows")).filter("_rows > 1").drop("_rows")
     )
-    tagged = df.withColumn("_key", code)
-    joined = lookup_join(tagged, firsts, "_key", "inner", strategy)
-    return joined.filter(place > F.col("_first")).select(*df.columns)
+    joined = lookup_join(rows, firsts, "_key")
+    # null cells make a plain comparison of rows unknown
+    left = F.col("_n") - F.when(whole.eqNullSafe(F.col("_first")), 1).otherwise(0)
+    copies = joined.withColumn("_left", left.cast("int")).filter("_left > 0")
+    return copies.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_left"))).alias("_copy")).drop("_copy")
 
 
 def unique_key_check(df: DataFrame, key: str) -> DataFrame:

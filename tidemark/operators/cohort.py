@@ -43,7 +43,7 @@ def completion_rate(plan: DataFrame, actual: DataFrame, on: Sequence[str], kind:
     """
     planned = plan.select(*on, kind).distinct()
     return (
-        match_flag(planned, actual, on, "done", "plain")
+        match_flag(planned, actual, on, "done")
         .groupBy(kind)
         .agg(F.count("*").alias("planned"), F.sum("done").alias("completed"))
         .withColumn("rate_percent", percent("completed", "planned"))
@@ -69,7 +69,7 @@ def tariff_revenue(
     month and therefore no row.
     """
     usage = monthly_usage(rides, unit, "date", "distance", "duration")
-    priced = lookup_join(lookup_join(usage, users, unit, "inner", "plain"), tariffs, plan, hot_from=users)
+    priced = lookup_join(lookup_join(usage, users, unit), tariffs, plan)
     revenue = (
         F.col("start_ride_price") * F.col("rides")
         + F.col("minute_price") * F.col("total_duration")
@@ -100,7 +100,7 @@ def missing_child_share(
     per_parent = children.groupBy(F.col(child_key).alias(parent_key)).agg(
         F.count_if(F.col(attribute).isNull()).alias("_lacking")
     )
-    joined = lookup_join(parents.select(parent_key, group), per_parent, parent_key, "left", "plain")
+    joined = lookup_join(parents.select(parent_key, group), per_parent, parent_key, "left")
     return (
         joined.filter(F.col(group).isNotNull())
         .groupBy(group)

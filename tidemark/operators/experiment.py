@@ -13,14 +13,14 @@ from .summarize import share_of_total
 
 
 def enroll(
-    fact: DataFrame, participants: DataFrame, unit: str = "user_id", test: str | None = None, strategy: str = "auto"
+    fact: DataFrame, participants: DataFrame, unit: str = "user_id", test: str | None = None
 ) -> DataFrame:
     """Fact rows of the participants of one test, tagged with their group.
 
     A unit listed in both groups keeps both tags, as a join would give it.
     """
     chosen = participants if test is None else participants.filter(F.col("ab_test") == test)
-    return lookup_join(fact, chosen.select(unit, "group").distinct(), unit, "inner", strategy)
+    return lookup_join(fact, chosen.select(unit, "group").distinct(), unit)
 
 
 def units_per_group(df: DataFrame, unit: str, group: str, by: Sequence[str] = ()) -> DataFrame:

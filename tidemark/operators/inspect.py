@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_even, ratio
+from .joins import with_group_rows
 from .quantiles import quantiles
 
 
@@ -61,23 +62,20 @@ def describe(
     by: Sequence[str] = (),
     strategy: str = "auto",
 ) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact percentiles, one row per column (and group)."""
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(by), list(columns), "column_name", "value"
-    )
-    keys = [*by, "column_name"]
-    basic = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    spec = {f"p{round(p * 100)}": ("value", p, "linear") for p in percentiles}
-    points = quantiles(long, spec, keys, strategy)
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
-    return (
-        basic.alias("b")
-        .join(points.alias("q"), same)
-        .select("b.*", *[F.col(f"q.{name}") for name in spec])
-    )
+    """Count, mean, sample deviation, extremes and exact percentiles, one row per column (and group).
+
+    One aggregate over the columns as they are, and one for the percentiles; NaN counts as missing.
+    """
+    names = {p: f"p{round(p * 100)}" for p in percentiles}
+    aggs, spec, rows = [], {}, []
+    for i, c in enumerate(columns):
+        value = F.nanvl(F.col(c).cast("double"), F.lit(None))
+        figures = {
+            "n": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)
+        }
+        aggs += [figure.alias(f"_{name}_{i}") for name, figure in figures.items()]
+        spec |= {f"_{name}_{i}": (c, p, "linear") for p, name in names.items()}
+        cells = [F.col(f"_{name}_{i}").alias(name) for name in (*figures, *names.values())]
+        rows.append(F.struct(F.lit(c).alias("column_name"), *cells))
+    wide = with_group_rows(df.groupBy(*by).agg(*aggs), quantiles(df, spec, by, strategy), by)
+    return wide.select(*by, F.inline(F.array(*rows)))

@@ -1,4 +1,4 @@
-"""Joins that survive a hot key and broadcast only what is known to be small."""
+"""Joins of facts to lookup sides, members, one-row and per-group figures."""
 
 from __future__ import annotations
 
@@ -6,68 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sizing import broadcast_limit, local_rows, plan_bytes
 
-HOT_SHARE = 1 / 200
-SLICES = 64
-
-
-def lookup_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    strategy: str = "auto",
-    hot_from: DataFrame | None = None,
-    hot_share: float = HOT_SHARE,
-    slices: int = SLICES,
-) -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Join a fact table to a lookup side; ``how`` is inner, left, left_semi or left_anti.
 
-    When Catalyst's estimate of ``dim`` is under the session's broadcast threshold, the plain join
-    is left to it. Otherwise keys holding at least ``hot_share`` of the fact rows are found in one
-    narrow scan without a shuffle (at most ``1 / hot_share`` of them) and spread over ``slices``
-    tasks; only their dimension rows are repeated. When ``fact`` is itself the result of joins, pass
-    its base table as ``hot_from`` so that the scan does not repeat them. ``"plain"`` is for facts
-    with a bounded number of rows per key.
+    The plan is Catalyst's own for every size: pruned and filtered scans, a broadcast where the lookup
+    side is under the session's threshold (by estimate, or by its real size at run time), else a sorted
+    join whose hot keys adaptive execution splits on the fact side, where all four kinds allow it. A key
+    is hot by the sizes of the shuffled partitions, not by a share of the rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot keep the unmatched side of {how!r}")
-    keys = [on] if isinstance(on, str) else list(on)
-    if strategy == "auto":
-        small = plan_bytes(dim) <= broadcast_limit(fact.sparkSession)
-        strategy = "plain" if small else "salted"
-    if strategy == "plain":
-        return fact.join(dim, keys, how)
-    if strategy != "salted":
-        raise ValueError(f"unknown strategy {strategy!r}")
-
-    code = F.xxhash64(*keys)
-    hot = (fact if hot_from is None else hot_from).select(code.alias("k")).stat.freqItems(["k"], hot_share)
-    hot = F.broadcast(hot.select(F.col("k_freqItems").alias("_hot")))
-    is_hot = F.array_contains("_hot", code)
-    # The slice follows from the row and its input partition, so a recomputed task repeats it;
-    # exact copies of one row still spread over the partitions they come from.
-    piece = F.pmod(F.xxhash64(*fact.columns, F.spark_partition_id()), F.lit(slices)).cast("int")
-    left = fact.crossJoin(hot).withColumn("_slice", F.when(is_hot, piece).otherwise(0)).drop("_hot")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.crossJoin(hot).withColumn("_slice", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_slice"], how).drop("_slice")
-
-
-def keep_members(fact: DataFrame, members: DataFrame, on: str | Sequence[str], strategy: str = "auto") -> DataFrame:
+    return fact.join(dim, [on] if isinstance(on, str) else list(on), how)
+
+
+def keep_members(fact: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key occurs in ``members`` (SQL ``IN``); never multiplies rows."""
     keys = [on] if isinstance(on, str) else list(on)
-    return lookup_join(fact, members.select(*keys).distinct(), keys, "left_semi", strategy)
+    return lookup_join(fact, members.select(*keys).distinct(), keys, "left_semi")
 
 
-def match_flag(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], name: str = "matched", strategy: str = "auto"
-) -> DataFrame:
+def match_flag(left: DataFrame, right: DataFrame, on: str | Sequence[str], name: str = "matched") -> DataFrame:
     """All left rows with 1 when their key occurs on the right, else 0."""
     keys = [on] if isinstance(on, str) else list(on)
     probe = right.select(*keys).distinct().withColumn("_hit", F.lit(1))
-    joined = lookup_join(left, probe, keys, "left", strategy)
+    joined = lookup_join(left, probe, keys, "left")
     return joined.withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
@@ -76,18 +39,20 @@ def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def with_group_rows(df: DataFrame, stats: DataFrame, by: Sequence[str], max_rows: int = 10_000) -> DataFrame:
-    """Attach per-group statistics to the rows of their group.
+def with_group_rows(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Attach per-group statistics to the rows of their group; missing group keys match each other.
 
-    No ``by``: ``stats`` is one row. Otherwise it is read back once; up to ``max_rows`` groups are
-    broadcast, more go through the hot-key-safe join. Rows of groups without statistics are dropped.
+    No ``by``: ``stats`` is one row. Rows of groups without statistics are dropped, or kept with ``how``
+    left.
     """
     if not by:
         return with_one_row(df, stats)
-    held = local_rows(stats, max_rows)
-    if held is None:
-        return lookup_join(df, stats, list(by), "inner", "salted")
-    return df.join(F.broadcast(held), list(by), "inner")
+    names = {k: f"_{k}_of_group" for k in by}
+    side = stats.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & null_safe(F.col(k), F.col(other))
+    return df.join(side, same, how).drop(*names.values())
 
 
 def align_groups(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -107,5 +72,5 @@ def join_renamed(
 
 
 def null_safe(left: Column, right: Column) -> Column:
-    """Equality that also matches two missing keys, for the rare caller who wants it."""
+    """Equality that also matches two missing keys."""
     return left.eqNullSafe(right)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import half_even
 from .joins import with_group_rows, with_one_row
 from .quantiles import quantiles
-from .sizing import local_rows
 
 
 def percentile_limits(
@@ -91,14 +90,16 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = (), strategy: str
 def histogram(
     df: DataFrame,
     column: str,
-    bins: int,
+    bins: int | None,
     by: Sequence[str] = (),
     lo: float | None = None,
     hi: float | None = None,
 ) -> DataFrame:
     """Equal-width counts with empty bins present; the last bin is closed.
 
-    The range is the data's own (per group) unless given. Rows outside a given range do not count.
+    The range is the data's own (per group) unless given. Rows outside a given range do not count. With
+    ``bins`` None there are as many as the range has whole units (at least one), so that they are about
+    one unit wide. Missing group keys are a group.
     """
     value = F.col(column).cast("double")
     ranges = (
@@ -109,22 +110,21 @@ def histogram(
         )
         .filter("lo IS NOT NULL AND hi IS NOT NULL")
     )
-    if by:
-        ranges = local_rows(ranges) or ranges
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    count = F.lit(bins) if bins is not None else F.greatest(F.ceil(F.col("hi") - F.col("lo")), F.lit(1)).cast("int")
+    width = (F.col("hi") - F.col("lo")) / count
     number = F.when(width == 0, F.lit(0)).otherwise(F.floor((value - F.col("lo")) / width))
     counted = (
         with_group_rows(df.select(*by, column), ranges, by)
         .filter((value >= F.col("lo")) & (value <= F.col("hi")))
-        .withColumn("bin", F.least(number, F.lit(bins - 1)).cast("int"))
+        .withColumn("bin", F.least(number, count - 1).cast("int"))
         .groupBy(*by, "bin")
         .agg(F.count("*").alias("n"))
     )
-    frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), count - 1)))
     frame = frame.withColumns(
         {"bin_lo": F.col("lo") + F.col("bin") * width, "bin_hi": F.col("lo") + (F.col("bin") + 1) * width}
     )
-    return frame.join(counted, [*by, "bin"], "left").select(
+    return with_group_rows(frame, counted, [*by, "bin"], "left").select(
         *by, "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )
 
@@ -147,3 +147,21 @@ def pair_stats(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
+
+
+def pair_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """Rows per cell of an equal-width grid over two numeric columns, for scatter plots; empty cells are left out.
+
+    The ranges are the data's own; the last bin of either side is closed. Rows lacking a value do not count.
+    """
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = df.select(a.alias("_x"), b.alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    ranges = both.agg(*[f(c).alias(f"{c}{n}") for c in ("_x", "_y") for f, n in ((F.min, "_lo"), (F.max, "_hi"))])
+
+    def place(c: str) -> Column:
+        width = (F.col(f"{c}_hi") - F.col(f"{c}_lo")) / F.lit(bins)
+        number = F.when(width == 0, F.lit(0)).otherwise(F.floor((F.col(c) - F.col(f"{c}_lo")) / width))
+        return F.least(number, F.lit(bins - 1)).cast("int")
+
+    cells = with_one_row(both, ranges).select(place("_x").alias("x_bin"), place("_y").alias("y_bin"))
+    return cells.groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))

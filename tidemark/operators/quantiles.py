@@ -1,27 +1,34 @@
 """Exact percentiles for inputs of any size.
 
-``F.percentile`` keeps every distinct value of a group in one task. That is right for small inputs
-and for columns with few distinct values, and fails for a continuous column at scale. The narrowing
-way below never holds a group's values together: it counts rows per coarse band of values, a few
-hundred counts per map task, finds the band of every wanted rank, and looks again only at the values
-in those bands, at a finer resolution and at last value by value.
+Every way gives the same answers: missing values and NaN are left out, infinities are values like any
+other, and -0.0 is 0.0. Spark's percentile aggregates keep every distinct value of a group in one task,
+so they serve only inputs that Catalyst estimates to be small (the estimate of the derived input, not of
+its files). Small tables with a larger estimate, and columns of few values, are counted value by value
+and sorted, which spills where an aggregate's map could not. Large tables are narrowed: rows are counted
+per coarse band of values, only values of the bands that hold a wanted rank are shuffled, and the ranks
+are followed through ever finer bands, so that no step needs more than a few thousand bands or values of
+one group in one task. All plans are lazy.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sizing import is_small, local_rows
+from .sizing import plan_bytes, small_limit, source_bytes
 
 # alias -> (column, probability, "linear" or "disc")
 Spec = Mapping[str, tuple[str, float, str]]
 
+# Steps per power of two of the successive levels. A step holds 4096 of the next level's, and the last
+# one 2 ** 12 different doubles at most.
 _COARSE = 1 << 8
-_FINE = 1 << 20
+_LEVELS = {"fine": 1 << 20, "finer": 1 << 32, "finest": 1 << 40}
 _NO_VALUE = -(1 << 62)
+_INFINITE = 3000.0
 
 
 def disc(column: str, p: float) -> Column:
@@ -34,30 +41,37 @@ def linear(column: str, p: float) -> Column:
     return F.percentile(F.col(column).cast("double"), F.lit(p))
 
 
-def quantiles(
-    df: DataFrame,
-    spec: Spec,
-    by: Sequence[str] = (),
-    strategy: str = "auto",
-    few_values: bool = False,
-    max_hits: int = 10_000,
-) -> DataFrame:
-    """One row (per group) with one column per entry of ``spec``; missing values are ignored.
+def quantiles(df: DataFrame, spec: Spec, by: Sequence[str] = (), strategy: str = "auto", few_values: bool = False) -> DataFrame:
+    """One row (per group) with one column per entry of ``spec``; missing values and NaN are ignored.
 
-    ``auto`` takes Spark's percentile aggregates while the tables read are small. Beyond, it narrows
-    in two scans, or counts every value in one scan when the caller knows that the columns have
-    ``few_values``. ``"builtin"``, ``"narrowing"`` and ``"counting"`` force a way; all are exact.
+    ``auto`` takes Spark's percentile aggregates while the input is estimated to be small; else it counts
+    and sorts the values in one scan, if the tables read are small or the caller knows that the columns
+    have ``few_values``; else it narrows in two scans. ``"builtin"``, ``"counting"`` and ``"narrowing"``
+    force a way; all give the same answers.
     """
     for _, p, method in spec.values():
         if method not in ("linear", "disc") or not 0 <= p <= 1:
             raise ValueError("a percentile is (column, p in [0, 1], 'linear' or 'disc')")
+    by = list(by)
+    places = {c: f"_value_{i}" for i, c in enumerate(dict.fromkeys(c for c, _, _ in spec.values()))}
+    values = df.select(*by, *[_number(c).alias(place) for c, place in places.items()])
+    inner = {alias: (places[c], p, method) for alias, (c, p, method) in spec.items()}
     if strategy == "auto":
-        strategy = "builtin" if is_small(df) else "counting" if few_values else "narrowing"
+        limit = small_limit(df.sparkSession)
+        if plan_bytes(values) <= limit:
+            strategy = "builtin"
+        else:
+            strategy = "counting" if few_values or source_bytes(values) <= limit else "narrowing"
     if strategy == "builtin":
-        return _builtin(df, spec, by)
+        return _builtin(values, inner, by)
     if strategy not in ("narrowing", "counting"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    return _follow_ranks(df, spec, list(by), max_hits, count_first=strategy == "counting")
+    return _by_rank(values, inner, by, narrow=strategy == "narrowing")
+
+
+def _number(column: str) -> Column:
+    """The value as every way sees it: NaN is missing, and there is one zero."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None)) + F.lit(0.0)
 
 
 def _builtin(df: DataFrame, spec: Spec, by: Sequence[str]) -> DataFrame:
@@ -68,8 +82,7 @@ def _builtin(df: DataFrame, spec: Spec, by: Sequence[str]) -> DataFrame:
             shared[column].append(p)
     places = {c: f"_points_{i}" for i, c in enumerate(shared)}
     aggs = [
-        F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(places[c])
-        for c, ps in shared.items()
+        F.percentile(F.col(c), F.array(*[F.lit(p) for p in ps])).alias(places[c]) for c, ps in shared.items()
     ]
     aggs += [disc(c, p).alias(a) for a, (c, p, method) in spec.items() if method == "disc"]
     wide = df.groupBy(*by).agg(*aggs)
@@ -92,7 +105,7 @@ def _band(value: Column, resolution: int) -> Column:
     """
     size = F.abs(value)
     power = F.floor(F.log2(size))
-    position = power + F.lit(1100) + (size / F.pow(F.lit(2.0), power) - 1)
+    position = F.when(size == math.inf, _INFINITE).otherwise(power + F.lit(1100) + (size / F.pow(F.lit(2.0), power) - 1))
     step = F.floor(position * resolution).cast("long")
     zero = F.lit(0).cast("long")
     return F.coalesce(F.when(value == 0, zero).when(value > 0, step).otherwise(-step), F.lit(_NO_VALUE))
@@ -127,39 +140,16 @@ def _targets(spec: Spec, item: Column, n: Column) -> Column:
     return out
 
 
-def _follow_ranks(df: DataFrame, spec: Spec, by: list[str], max_hits: int, count_first: bool) -> DataFrame:
+def _by_rank(df: DataFrame, spec: Spec, by: list[str], narrow: bool) -> DataFrame:
     items = list(dict.fromkeys(c for c, _, _ in spec.values()))
     key = F.struct(*by) if by else F.lit(0)
-    cells = [
-        F.struct(F.lit(c).alias("item"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value"))
-        for c in items
-    ]
+    cells = [F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in items]
     long = df.select(key.alias("key"), F.inline(F.array(*cells)))
-    coarse, fine = _band(F.col("value"), _COARSE).alias("coarse"), _band(F.col("value"), _FINE).alias("fine")
-
-    held = None
-    if not count_first:
-        # A few hundred bands per power of two: the counts shrink to that on the map side.
-        hits = _coarse_hits(long.groupBy("key", "item", coarse).agg(F.count("value").alias("n")), spec)
-        held = local_rows(hits, max_hits) if by else hits
-    if held is not None:
-        # Without groups there are at most two hits per entry of the spec; with groups, the rows read
-        # back show how few they are. Either way only values of the chosen bands are shuffled.
-        hits = held
-        chosen = F.broadcast(hits.select("key", "item", "coarse").distinct())
-        long = long.withColumn("coarse", coarse).join(chosen, ["key", "item", "coarse"], "left_semi")
-        counts = long.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
+    if narrow:
+        hits, found = _narrowed(long, spec, bool(by))
     else:
-        # Few values or very many groups: count every value once, read all levels off that shuffle.
-        counts = long.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
-        bands = counts.groupBy("key", "item", coarse).agg(F.sum("n").alias("n"))
-        hits = _coarse_hits(bands, spec)
-    counts = counts.select("*", coarse, fine)
-
-    wanted = hits.filter("alias IS NOT NULL")
-    steps = counts.groupBy("key", "item", "coarse", "fine").agg(F.sum("n").alias("n"))
-    found = _follow(steps, wanted if by else F.broadcast(wanted), ["coarse"], "fine")
-    found = _follow(counts, found if by else F.broadcast(found), ["coarse", "fine"], "value")
+        hits = _hits(long.groupBy("key", "item", "value").agg(F.count("value").alias("n")), spec, "value")
+        found = hits.filter("alias IS NOT NULL")
     found = found.select("key", "alias", (F.col("weight") * F.col("value")).alias("part"))
 
     answers = [F.sum(F.when(F.col("alias") == a, F.col("part"))).alias(a) for a in spec]
@@ -173,20 +163,39 @@ def _follow_ranks(df: DataFrame, spec: Spec, by: list[str], max_hits: int, count
     return wide.select("key.*", *spec)
 
 
-def _coarse_hits(bands: DataFrame, spec: Spec) -> DataFrame:
-    """The coarse band of every wanted rank, with the number of values below it.
+def _narrowed(long: DataFrame, spec: Spec, grouped: bool) -> tuple[DataFrame, DataFrame]:
+    """The coarse bands that were hit, and the value at each wanted rank."""
+    coarse = _band(F.col("value"), _COARSE).alias("coarse")
+    # A few hundred bands per power of two: the counts shrink to that on the map side.
+    hits = _hits(long.groupBy("key", "item", coarse).agg(F.count("value").alias("n")), spec, "coarse")
+    chosen = hits.select("key", "item", "coarse").distinct()
+    # Without groups there are at most two hits for each entry of the spec.
+    side = (lambda rows: rows) if grouped else F.broadcast
+    near = long.withColumn("coarse", coarse).join(side(chosen), ["key", "item", "coarse"], "left_semi")
+    counts = near.groupBy("key", "item", "value").agg(F.count("value").alias("n"))
+    counts = counts.select("*", coarse, *[_band(F.col("value"), steps).alias(name) for name, steps in _LEVELS.items()])
+    found, on = hits.filter("alias IS NOT NULL"), ["coarse"]
+    for name in _LEVELS:
+        steps = counts.groupBy("key", "item", *on, name).agg(F.sum("n").alias("n"))
+        found = _follow(steps, side(found), on, name)
+        on = [*on, name]
+    return hits, _follow(counts, side(found), on, "value")
+
+
+def _hits(level: DataFrame, spec: Spec, order: str) -> DataFrame:
+    """The row of ``level`` that holds each wanted rank, with the number of values below it.
 
     A group without any value yields one row without an alias.
     """
     group = W.partitionBy("key", "item")
-    running = group.orderBy("coarse").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = group.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     targets = F.when(F.col("total") > 0, _targets(spec, F.col("item"), F.col("total")))
     return (
-        bands.withColumn("upto", F.sum("n").over(running))
+        level.withColumn("upto", F.sum("n").over(running))
         .withColumn("total", F.sum("n").over(group))
         .select("*", F.explode_outer(targets).alias("t"))
         .filter("t IS NULL OR (t.weight > 0 AND t.rank > upto - n AND t.rank <= upto)")
-        .select("key", "item", "coarse", "t.alias", "t.rank", "t.weight", (F.col("upto") - F.col("n")).alias("below"))
+        .select("key", "item", order, "t.alias", "t.rank", "t.weight", (F.col("upto") - F.col("n")).alias("below"))
     )
 
 

@@ -1,24 +1,17 @@
-"""Size checks behind every choice between a small-input and a large-input way."""
+"""Size estimates behind the choice between plans with equal results."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-# Exact percentiles keep a value->count map per group; below this many source bytes the map is
-# bounded by the input and always fits. The session can set another limit under SMALL_SOURCE_KEY.
+# Beyond these limits percentiles take other plans with the same results. The session can set another
+# limit under SMALL_SOURCE_KEY.
 SMALL_SOURCE_BYTES = 128 * 1024 * 1024
 SMALL_SOURCE_KEY = "tidemark.smallSourceBytes"
 
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """The session's own broadcast threshold in bytes (-1 when broadcasting is off)."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", text).groups()
-    return int(number) * _UNITS[unit]
+def small_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(SMALL_SOURCE_KEY, str(SMALL_SOURCE_BYTES)))
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -30,17 +23,3 @@ def source_bytes(df: DataFrame) -> int:
     """Summed size of the tables a DataFrame reads: bounds how many distinct values it can hold."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SMALL_SOURCE_KEY, str(SMALL_SOURCE_BYTES)))
-    return source_bytes(df) <= limit
-
-
-def local_rows(df: DataFrame, max_rows: int = 10_000) -> DataFrame | None:
-    """A result proven to be small, read back once and held as local rows; None when it is larger.
-
-    Meant for aggregated per-group bounds: at most ``max_rows + 1`` rows reach the driver.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import half_even, percent, ratio
-from .joins import with_one_row
+from .joins import with_group_rows, with_one_row
 
 
 def value_counts(df: DataFrame, columns: str | Sequence[str], dropna: bool = True, name: str = "n") -> DataFrame:
@@ -35,8 +35,7 @@ def share_of_total(df: DataFrame, column: str, name: str = "share", within: Sequ
     """
     total = f"_total_{column}"
     totals = df.groupBy(*within).agg(F.sum(column).alias(total))
-    joined = df.join(totals, list(within)) if within else with_one_row(df, totals)
-    return joined.withColumn(name, ratio(column, total)).drop(total)
+    return with_group_rows(df, totals, list(within)).withColumn(name, ratio(column, total)).drop(total)
 
 
 def percent_of_total(df: DataFrame, column: str, name: str = "percent", digits: int = 2) -> DataFrame:
@@ -73,9 +72,9 @@ def condition_share(df: DataFrame, conditions: Mapping[str, Column], by: Sequenc
     )
 
 
-def rate_by_dimension(counts: DataFrame, dimension: DataFrame, on: str, count: str, size: str, digits: int = 2) -> DataFrame:
+def rate_by_dimension(counts: DataFrame, dimension: DataFrame, on: str | Sequence[str], count: str, size: str, digits: int = 2) -> DataFrame:
     """Counts joined to an external size series by key and divided (half-even rounding)."""
-    joined = counts.join(dimension, on, "inner")
+    joined = counts.join(dimension, [on] if isinstance(on, str) else list(on), "inner")
     return joined.withColumn("rate", half_even(ratio(count, size), digits))
 
 

@@ -13,7 +13,7 @@ from ..operators.inspect import null_profile, preview
 from ..operators.joins import keep_members, with_one_row
 from ..operators.summarize import ranked, rate_by_dimension, value_counts
 from ..operators.trend import in_label_order
-from ..sources.tables import small_table
+from ..sources.tables import cast_columns, load, parse_times, reject_counts, small_table
 from . import standins as S
 
 # Experience bins in years.
@@ -71,16 +71,30 @@ def experience_bins(drivers: DataFrame, edges: Sequence[float]) -> DataFrame:
     return counted.select("ord", "years", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def per_100k(accidents: DataFrame, population: DataFrame) -> DataFrame:
-    """Yearly accidents per 100,000 inhabitants; ``population`` has year and hundreds of thousands."""
-    years = accidents.groupBy(F.year("datetime").alias("year")).agg(F.count("*").alias("accidents"))
-    return rate_by_dimension(years, population, "year", "accidents", "population").orderBy("year")
+def per_100k(accidents: DataFrame, population: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Yearly accidents per 100,000 inhabitants (of each region); ``population`` has year, any ``by``
+    columns and hundreds of thousands."""
+    years = accidents.groupBy(*by, F.year("datetime").alias("year")).agg(F.count("*").alias("accidents"))
+    return rate_by_dimension(years, population, [*by, "year"], "accidents", "population").orderBy(*by, "year")
 
 
 def population_table(spark: SparkSession, rows: Sequence[tuple[int, int]]) -> DataFrame:
     return small_table(spark, list(rows), "year int, population int")
 
 
+def parsed_report(orders: DataFrame, pattern: str) -> DataFrame:
+    """Dates and prices read from text, and how many texts each reading rejects."""
+    read = cast_columns(parse_times(orders, {"ordered": pattern}, "date", tolerant=True), {"price": "decimal(12,2)"}, tolerant=True)
+    present = orders.agg(F.count("ordered").alias("dates"), F.count("price").alias("prices"))
+    found = read.agg(
+        F.count("ordered").alias("read_dates"), F.min("ordered").alias("first"), F.max("ordered").alias("last"),
+        F.sum("price").cast("double").alias("total"),
+    )
+    lost = reject_counts(orders, {"price": "decimal(12,2)"}).withColumnRenamed("price", "rejected_prices")
+    return with_one_row(with_one_row(present, found), lost)
+
+
+_REGIONS = (("F", 1996, 70), ("F", 1997, 71), ("O", 1996, 80), ("O", 1997, 82))
 _POPULATION = ((1995, 72), (1996, 73), (1997, 74), (1998, 75), (1999, 76), (2000, 77), (2001, 85))
 
 
@@ -92,6 +106,16 @@ def _raw(s, d) -> DataFrame:
     )
 
 
+def _texts(s, d) -> DataFrame:
+    """Orders as a text file would have them: some dates and prices that aren't any."""
+    orders = load(s, d, "orders")
+    odd = F.col("o_orderkey") % 7 == 0
+    return orders.select(
+        F.when(odd, "n/a").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("ordered"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("1 000,5")).otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string")).alias("price"),
+    )
+
+
 def _line_keys(s, d) -> DataFrame:
     return S.lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -108,10 +132,17 @@ QUERIES = {
     "dup_rows": lambda s, d: duplicate_rows(
         _line_keys(s, d), ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_partkey", "l_suppkey"]
     ),
+    "dup_rows_exact": lambda s, d: duplicate_rows(
+        S.lines(s, d).select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey"], ["l_linenumber"]
+    ),
     "accidents_by_weekday": lambda s, d: by_weekday(S.accidents(s, d)),
     "accidents_by_month": lambda s, d: by_month(S.accidents(s, d)),
     "cut_bins": lambda s, d: experience_bins(S.accident_drivers(s, d), DECADES),
     "cut_bins_fine": lambda s, d: experience_bins(S.accident_drivers(s, d).filter(F.col("role") == "R"), FIVE_YEARS),
+    "parsed_orders": lambda s, d: parsed_report(_texts(s, d), "dd.MM.yyyy"),
+    "rate_by_region": lambda s, d: per_100k(
+        S.accidents(s, d), small_table(s, list(_REGIONS), "category string, year int, population int"), ["category"]
+    ),
     "rate_per_100k": lambda s, d: per_100k(S.accidents(s, d), population_table(s, _POPULATION)),
 }
 
@@ -159,6 +190,21 @@ ORACLE = {
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
   SELECT * FROM k QUALIFY row_number() OVER (
     PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_partkey, l_suppkey) > 1""",
+    "dup_rows_exact": """
+  SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem QUALIFY row_number() OVER (
+    PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) > 1""",
+    "parsed_orders": """
+  WITH t AS (
+    SELECT if(o_orderkey % 7 = 0, NULL, CAST(o_orderdate AS DATE)) AS d, if(o_orderkey % 5 = 0, NULL, CAST(o_totalprice AS DECIMAL(12, 2))) AS p
+    FROM orders)
+  SELECT count(*) AS dates, count(*) AS prices, count(d) AS read_dates, min(d) AS first, max(d) AS last,
+         CAST(sum(p) AS DOUBLE) AS total, count(*) - count(p) AS rejected_prices FROM t""",
+    "rate_by_region": _BASE
+    + """,
+  p AS (SELECT * FROM (VALUES ('F', 1996, 70), ('F', 1997, 71), ('O', 1996, 80), ('O', 1997, 82)) t(category, year, population))
+  SELECT category, CAST(year AS INTEGER) AS year, count(*) AS accidents, any_value(population) AS population,
+         round_even(count(*) / CAST(any_value(population) AS DOUBLE), 2) AS rate
+  FROM (SELECT category, year(datetime) AS year FROM a) JOIN p USING (category, year) GROUP BY ALL""",
     "accidents_by_weekday": _BASE + " SELECT dayname(datetime) AS weekday, count(*) AS accidents FROM a GROUP BY 1",
     "accidents_by_month": _BASE + " SELECT CAST(month(datetime) AS INTEGER) AS month, count(*) AS accidents FROM a GROUP BY 1",
     "cut_bins": _bins(DECADES, ""),

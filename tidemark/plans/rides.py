@@ -12,7 +12,7 @@ from ..functions.numeric import half_even, mean
 from ..operators.clean import duplicate_count, fill_missing, first_per_key
 from ..operators.inspect import describe, null_profile
 from ..operators.joins import keep_members, with_one_row
-from ..operators.outliers import box_stats, histogram, pair_stats
+from ..operators.outliers import box_stats, histogram, pair_bins, pair_stats
 from ..operators.summarize import (
     distinct_values, market_share, ranked, share_of_total, top_k, units_by_category, value_counts,
 )
@@ -208,6 +208,7 @@ QUERIES = {
     "ride_cashback_share": lambda s, d: has_cashback(S.trips(s, d), "loyalty_accrual_rub_amt"),
     "ride_bonus_share": lambda s, d: has_cashback(S.trips(s, d), "loyalty_accrual_bns_amt"),
     "cashback_top_regions": lambda s, d: cashback_in_top_regions(S.rides(s, d)),
+    "pair_bins": lambda s, d: pair_bins(S.trips(s, d), "distance_km", "minute_cost", 20),
     "corr_pairs": lambda s, d: association(S.trips(s, d), _PAIRS),
     "market_share": lambda s, d: market_share(S.lines(s, d), INDUSTRY_RIDES),
     "describe_cols": lambda s, d: _rounded(
@@ -315,7 +316,7 @@ ORACLE = {
   m AS (SELECT count(*) AS n, count(gender) AS g, count(education) AS e, count(age) AS a, count(cashback) AS c,
                count(bonus) AS b, count(marital) AS m FROM r)
   SELECT CAST(6 * n - g - e - a - c - b - m AS BIGINT) AS nulls_before, CAST(n - a AS BIGINT) AS nulls_after,
-         CAST(0 AS BIGINT) AS duplicates FROM m""",
+         (n - (SELECT count(*) FROM (SELECT DISTINCT * FROM r)))::BIGINT AS duplicates FROM m""",
     "share_by_category": _riders("education", "education_level_cd"),
     "share_by_marital": _riders("marital", "marital_status_cd"),
     "share_by_gender": _riders("gender", "gender_cd"),
@@ -374,6 +375,14 @@ ORACLE = {
   top AS (SELECT state FROM r GROUP BY 1 ORDER BY count(DISTINCT party_rk) DESC, state LIMIT 10)
   SELECT state AS lvn_state_nm, round_even(avg(coalesce(cashback, 0)), 6) AS avg_cashback
   FROM r WHERE state IN (SELECT state FROM top) GROUP BY 1""",
+    "pair_bins": _RIDES
+    + """,
+  e AS (SELECT CAST(min(distance_km) AS DOUBLE) AS a, (max(distance_km) - min(distance_km)) / 20e0 AS da,
+               CAST(min(minute_cost) AS DOUBLE) AS b, (max(minute_cost) - min(minute_cost)) / 20e0 AS db
+        FROM t WHERE distance_km IS NOT NULL AND minute_cost IS NOT NULL)
+  SELECT CAST(least(floor((distance_km - a) / da), 19) AS INTEGER) AS x_bin,
+         CAST(least(floor((minute_cost - b) / db), 19) AS INTEGER) AS y_bin, count(*) AS n
+  FROM t, e WHERE distance_km IS NOT NULL AND minute_cost IS NOT NULL GROUP BY ALL""",
     "corr_pairs": _RIDES
     + "\n  UNION ALL ".join(
         [

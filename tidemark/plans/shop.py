@@ -79,10 +79,10 @@ QUERIES = {
 _BASE = """
   WITH parts AS (
     SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS "group",
-           'new_payment_funnel_test_summer_2025' AS ab_test FROM events
+           'payment_test' AS ab_test FROM events
     UNION ALL
     SELECT DISTINCT user_id, 'B', 'recommender_test' FROM events WHERE event_type = 'error' AND value > 100),
-  main AS (SELECT user_id, "group" FROM parts WHERE ab_test = 'new_payment_funnel_test_summer_2025'),
+  main AS (SELECT user_id, "group" FROM parts WHERE ab_test = 'payment_test'),
   firsts AS (SELECT user_id, min(CAST(ts AS DATE)) AS first_date FROM events GROUP BY user_id),
   fresh AS (
     SELECT f.user_id, f.first_date, n_name AS region, c_mktsegment AS device

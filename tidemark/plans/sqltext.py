@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 
-def avg_half_up(x: str, digits: int = 2, scale: int = 2) -> str:
-    """Average of values with ``scale`` decimals, rounded half away from zero, in whole numbers."""
+def avg_half_up(x: str, digits: int = 2, scale: int = 10) -> str:
+    """Average rounded once, half away from zero: the sum counts units of ``10 ** -scale`` in whole numbers."""
     total = f"sum(CAST(round(({x}) * {10**scale}) AS HUGEINT))"
     den = f"nullif({10**scale} * CAST(count({x}) AS HUGEINT), 0)"
     return (

@@ -75,7 +75,7 @@ def flats(spark: SparkSession, folder: str) -> DataFrame:
     )
     parts = _rows(spark, folder, "part", part="p_partkey", type_id="p_type", rooms=F.nullif(F.col("p_size"), F.lit(1)))
     places = _rows(spark, folder, "supplier", supplier="s_suppkey", city_id="s_nationkey")
-    placed = lookup_join(lookup_join(base, parts, "part"), places, "supplier", hot_from=base)
+    placed = lookup_join(lookup_join(base, parts, "part"), places, "supplier")
     return placed.drop("part", "supplier")
 
 
@@ -126,7 +126,7 @@ def vacancy_skills(spark: SparkSession, folder: str) -> DataFrame:
 
 # Shop test ------------------------------------------------------------------------------------
 
-SHOP_TEST = "new_payment_funnel_test_summer_2025"
+SHOP_TEST = "payment_test"
 
 
 def arm() -> Column:
@@ -150,7 +150,7 @@ def new_users(spark: SparkSession, folder: str) -> DataFrame:
     seen = load(spark, folder, "events").groupBy("user_id").agg(F.min(day("ts")).alias("first_date"))
     people = _rows(spark, folder, "customer", user_id="c_custkey", nation="c_nationkey", device="c_mktsegment")
     nations = _rows(spark, folder, "nation", nation="n_nationkey", region="n_name")
-    return lookup_join(lookup_join(seen, people, "user_id", "inner", "plain"), nations, "nation", hot_from=people).drop("nation")
+    return lookup_join(lookup_join(seen, people, "user_id"), nations, "nation").drop("nation")
 
 
 def shop_sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +213,7 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
         age=F.when(balance >= 0, F.floor(balance / 200).cast("int") + 12),
     )
     nations = _rows(spark, folder, "nation", nation="n_nationkey", lvn_state_nm="n_name")
-    return lookup_join(lookup_join(trips(spark, folder), people, "party_rk"), nations, "nation", hot_from=people).drop("nation")
+    return lookup_join(lookup_join(trips(spark, folder), people, "party_rk"), nations, "nation").drop("nation")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:

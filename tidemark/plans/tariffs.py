@@ -58,7 +58,8 @@ def minors_share(users: DataFrame, age: int = ADULT_AGE) -> DataFrame:
     )
 
 
-def age_histogram(users: DataFrame, bins: int) -> DataFrame:
+def age_histogram(users: DataFrame, bins: int | None) -> DataFrame:
+    """Members by age; without a number of bins, one for each year."""
     return histogram(users, "age", bins)
 
 
@@ -76,7 +77,7 @@ def duration_summary(rides: DataFrame, strategy: str = "auto") -> DataFrame:
 def rides_with_plan(rides: DataFrame, users: DataFrame, tariffs: DataFrame) -> DataFrame:
     """Rides with their user's plan and its prices."""
     priced = lookup_join(rides, users.dropDuplicates(), "user_id")
-    return lookup_join(priced, tariffs, "subscription_type", hot_from=users)
+    return lookup_join(priced, tariffs, "subscription_type")
 
 
 def duration_by_plan(joined: DataFrame) -> DataFrame:
@@ -145,6 +146,7 @@ QUERIES = {
     "users_by_plan": lambda s, d: users_by(S.members(s, d), "subscription_type"),
     "minors_share": lambda s, d: minors_share(S.members(s, d)),
     "age_histogram": lambda s, d: _rounded(age_histogram(S.members(s, d), 30)),
+    "age_histogram_by_year": lambda s, d: _rounded(age_histogram(S.members(s, d), None)),
     "duration_summary": lambda s, d: duration_summary(S.member_rides(s, d)),
     "duration_by_plan": lambda s, d: duration_by_plan(_joined(s, d)),
     "duration_histogram_by_plan": lambda s, d: _rounded(
@@ -258,6 +260,12 @@ ORACLE = {
          CAST(round_even(count(*) FILTER (WHERE age < 18) * 100 / CAST(count(*) AS DOUBLE), 0) AS INTEGER) AS minors_percent
   FROM members""",
     "age_histogram": _BASE + "," + _histogram("members", "age", 30),
+    "age_histogram_by_year": _BASE
+    + """,
+  e AS (SELECT CAST(min(age) AS DOUBLE) AS lo, CAST(greatest(ceil(max(age) - min(age)), 1) AS INTEGER) AS k, max(age) - min(age) AS span FROM members)
+  SELECT CAST(i AS INTEGER) AS bin, round_even(lo + i * (span / CAST(k AS DOUBLE)), 6) AS bin_lo, round_even(lo + (i + 1) * (span / CAST(k AS DOUBLE)), 6) AS bin_hi,
+         (SELECT count(*) FROM members WHERE least(floor((age - lo) / (span / CAST(k AS DOUBLE))), k - 1) = i) AS n
+  FROM e, LATERAL (SELECT unnest(range(k)) AS i)""",
     "duration_summary": _BASE
     + """
   SELECT CAST(round_even(avg(duration), 0) AS INTEGER) AS mean, CAST(round_even(stddev_samp(duration), 0) AS INTEGER) AS std,

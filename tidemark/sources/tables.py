@@ -58,12 +58,6 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(data).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
 
 
-def register_views(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> None:
-    """Make the tables of a folder available to ``spark.sql``."""
-    for name in names:
-        load(spark, folder, name).createOrReplaceTempView(name)
-
-
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "errorifexists"
 ) -> None:
