@@ -36,7 +36,7 @@ def run(daily, tmp_path, name):
 def test_daily_sessions(spark, tmp_path):
     sessions, path = arrivals(spark, tmp_path)
     stream = M.read_arrivals(spark, path, sessions.schema, per_trigger=1)
-    out = run(M.daily_sessions(stream, "session_start_ts", "test_group", ["registration_flag"]), tmp_path, "daily")
+    out = run(M.daily_sessions(stream, "session_start_ts", "test_group", ["registration_flag"], lateness="1 day"), tmp_path, "daily")
     got = M.cumulative_sessions(spark, out, "test_group")
     last = got.agg(F.max("date")).first()[0]
     batch = cumulative_daily(sessions.filter(F.col("session_date") <= last), "session_start_ts", "test_group", F.count("*"), "sessions")
@@ -57,7 +57,7 @@ def test_units_and_balance(spark, tmp_path, zone):
 def check_units_and_balance(spark, tmp_path):
     sessions, path = arrivals(spark, tmp_path)
     stream = M.read_arrivals(spark, path, sessions.schema, per_trigger=1)
-    out = run(M.daily_units(stream, "session_start_ts", "user_id", "test_group"), tmp_path, "units")
+    out = run(M.daily_units(stream, "session_start_ts", "user_id", "test_group", lateness="1 day"), tmp_path, "units")
     last = spark.read.parquet(out).agg(F.max("date")).first()[0]
     days = lambda df: rows(df.groupBy("date", "test_group").agg(F.sum("sessions")))
     batch = sessions.groupBy(F.col("session_date").alias("date"), "test_group").agg(F.count("*").alias("sessions"))
@@ -70,6 +70,19 @@ def test_a_restart_adds_nothing_twice(spark, tmp_path):
     sessions, path = arrivals(spark, tmp_path)
     for _ in range(2):
         stream = M.read_arrivals(spark, path, sessions.schema, per_trigger=1)
-        out = run(M.daily_sessions(stream, "session_start_ts", "test_group"), tmp_path, "again")
+        out = run(M.daily_sessions(stream, "session_start_ts", "test_group", lateness="1 day"), tmp_path, "again")
     table = spark.read.parquet(out)
     assert table.count() == table.select("date", "test_group").distinct().count()
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    sessions, _ = arrivals(spark, tmp_path)
+    path = str(tmp_path / "late")
+    for low, high in ((21, 31), (21, 31), (1, 3)):
+        part = sessions.filter(F.dayofmonth("session_date").between(low, high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = M.read_arrivals(spark, path, sessions.schema, per_trigger=1)
+    query = M.append_to(M.daily_sessions(stream, "session_start_ts", "test_group", lateness="1 day"), str(tmp_path / "out"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert M.late_rows(query) > 0
+    assert spark.read.parquet(str(tmp_path / "out")).filter("dayofmonth(date) < 4").count() == 0

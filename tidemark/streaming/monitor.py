@@ -16,8 +16,6 @@ from pyspark.sql.types import StructType
 from ..operators.experiment import group_balance
 from ..operators.trend import running_total
 
-LATENESS = "1 day"
-
 
 def read_arrivals(spark: SparkSession, folder: str, schema: StructType | str, fmt: str = "parquet", per_trigger: int = 1000) -> DataFrame:
     """Files of a folder as a stream, a bounded number per trigger."""
@@ -37,8 +35,8 @@ def _date_of(window: str) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(f"{window}.start") / 86400).cast("int")).alias("date")
 
 
-def daily_sessions(sessions: DataFrame, ts: str, group: str, flags: Sequence[str] = (), lateness: str = LATENESS) -> DataFrame:
-    """Sessions and flagged sessions per day and group."""
+def daily_sessions(sessions: DataFrame, ts: str, group: str, flags: Sequence[str] = (), *, lateness: str) -> DataFrame:
+    """Sessions and flagged sessions per day and group. Rows later than ``lateness`` are dropped; :func:`late_rows` counts them."""
     return (
         _timed(sessions, ts, lateness)
         .groupBy(F.window("_ts", "1 day").alias("_day"), group)
@@ -47,8 +45,8 @@ def daily_sessions(sessions: DataFrame, ts: str, group: str, flags: Sequence[str
     )
 
 
-def daily_units(sessions: DataFrame, ts: str, unit: str, group: str, lateness: str = LATENESS) -> DataFrame:
-    """One row per day, group and unit, the input of the balance and contamination checks."""
+def daily_units(sessions: DataFrame, ts: str, unit: str, group: str, *, lateness: str) -> DataFrame:
+    """One row per day, group and unit, the input of the balance and contamination checks; late rows as there."""
     return (
         _timed(sessions, ts, lateness)
         .groupBy(F.window("_ts", "1 day").alias("_day"), group, unit)
@@ -71,6 +69,11 @@ def append_to(daily: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Partial counts that a query's recent triggers dropped because they came later than the watermark allows."""
+    return sum(op["numRowsDroppedByWatermark"] for trigger in query.recentProgress for op in trigger["stateOperators"])
+
+
 def cumulative_sessions(spark: SparkSession, path: str, group: str) -> DataFrame:
     """Finished days with the running total per group."""
     return running_total(spark.read.parquet(path), "date", "sessions", [group], "cumulative")
