@@ -32,13 +32,15 @@ def trim_percentile(
     null_tolerant: Collection[str] = (),
     strategy: str = "auto",
     few_values: bool = False,
+    limits_from: DataFrame | None = None,
 ) -> DataFrame:
     """Rows strictly inside the percentile limits of every column.
 
-    Limits come from all rows of ``df``. Columns in ``null_tolerant`` also keep missing values. A
+    Limits come from all rows of ``df``, or of ``limits_from``: the same rows before joins that the bounded
+    columns don't need. Columns in ``null_tolerant`` also keep missing values. A
     strict comparison drops every row at the maximum when a limit equals it.
     """
-    limits = percentile_limits(df, bounds, method, strategy, few_values)
+    limits = percentile_limits(df if limits_from is None else limits_from, bounds, method, strategy, few_values)
     keep = F.lit(True)
     for column, (lo, hi) in bounds.items():
         inside = F.lit(True)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels as L
 from ..functions.dates import WEEKDAYS, minutes_between
 from ..functions.numeric import half_even, mean
 from ..operators.clean import duplicate_count, fill_missing, first_per_key
-from ..operators.inspect import describe, null_profile
+from ..operators.inspect import describe
 from ..operators.joins import keep_members, with_one_row
 from ..operators.outliers import box_stats, histogram, pair_bins, pair_stats
 from ..operators.summarize import (
@@ -44,11 +44,17 @@ def age_group(c: str = "age"):
 
 def quality(rides: DataFrame) -> DataFrame:
     """Missing cells in all, before and after filling, and repeated rows."""
-    def cells(df: DataFrame, name: str) -> DataFrame:
-        return null_profile(df).agg(F.sum("nulls").alias(name))
+    raw = {c: f"_raw_{c}" for c in FILLS}
+    both = cleaned(rides.withColumns({name: F.col(c) for c, name in raw.items()}))
 
-    both = with_one_row(cells(rides, "nulls_before"), cells(cleaned(rides), "nulls_after"))
-    return with_one_row(both, duplicate_count(rides).select("duplicates"))
+    def missing(columns: Sequence[str]) -> Column:
+        return sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+
+    nulls = both.agg(
+        missing([raw.get(c, c) for c in rides.columns]).cast("long").alias("nulls_before"),
+        missing(rides.columns).cast("long").alias("nulls_after"),
+    )
+    return with_one_row(nulls, duplicate_count(rides).select("duplicates"))
 
 
 def riders_by(rides: DataFrame, column: str, k: int | None = None) -> DataFrame:

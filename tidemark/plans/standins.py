@@ -65,7 +65,8 @@ def performed_donations(spark: SparkSession, folder: str) -> DataFrame:
 # Real estate ----------------------------------------------------------------------------------
 
 
-def flats(spark: SparkSession, folder: str) -> DataFrame:
+def measured_flats(spark: SparkSession, folder: str) -> DataFrame:
+    """All flats, before their place is looked up."""
     base = _rows(
         spark, folder, "lineitem", id="l_orderkey", part="l_partkey", supplier="l_suppkey",
         total_area="l_quantity",
@@ -74,9 +75,12 @@ def flats(spark: SparkSession, folder: str) -> DataFrame:
         floors_total=F.col("l_linenumber") * 3,
     )
     parts = _rows(spark, folder, "part", part="p_partkey", type_id="p_type", rooms=F.nullif(F.col("p_size"), F.lit(1)))
+    return lookup_join(base, parts, "part").drop("part")
+
+
+def flats(spark: SparkSession, folder: str) -> DataFrame:
     places = _rows(spark, folder, "supplier", supplier="s_suppkey", city_id="s_nationkey")
-    placed = lookup_join(lookup_join(base, parts, "part"), places, "supplier")
-    return placed.drop("part", "supplier")
+    return lookup_join(measured_flats(spark, folder), places, "supplier", "left").drop("supplier")
 
 
 def advertisements(spark: SparkSession, folder: str) -> DataFrame:
