@@ -118,13 +118,12 @@ def word_samples(docs: DataFrame, text: str, doc_id: str, max_docs: int, max_cha
     """
     total = docs.count()
     part = min(1.0, max_docs / total) if total else 1.0
-    chosen = docs.where(
-        F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("words")), F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1)
-    ).limit(2 * max_docs)
-    plain = F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars)
+    chosen = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("words")), F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1)
+    pieces = docs.where(chosen).select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars).alias("piece")).limit(2 * max_docs)
+    plain = F.col("piece")
     for pattern in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, pattern, " ")
-    return chosen.select(F.explode(F.regexp_extract_all(plain, F.lit(f"[{_INSIDE}]{{3,}}+"), F.lit(0))).alias("token"))
+    return pieces.select(F.explode(F.regexp_extract_all(plain, F.lit(f"[{_INSIDE}]{{3,}}+"), F.lit(0))).alias("token"))
 
 
 def train(random: DataFrame, identifiers: DataFrame) -> Model:
