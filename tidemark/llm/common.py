@@ -43,11 +43,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a Python worker gets at a time while a table is stored.
+BATCH_ROWS = 500
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table in the shared folder and read from there: it survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written once as a table in the shared folder and read from there: it survives lost executors.
+
+    Python functions in df get batches of BATCH_ROWS rows, so that workers stay small with long texts. The
+    session's own setting is back afterwards.
+    """
+    spark = df.sparkSession
+    path, key = new_folder(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -30,7 +30,7 @@ class Settings:
     scan_cost: float = 4.0
     hot_list: int = 200_000
     hot_count: int = 16
-    tally: int = 3_000_000
+    tally: int = 2_000_000
     block: int = 1024
     max_broadcast_rows: int = 500_000
 
