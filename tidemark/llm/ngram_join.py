@@ -201,22 +201,21 @@ def inverted_lists(listed: DataFrame, boundary: int, s: Settings) -> DataFrame:
 
     Of lists with the same members one stays; times says how many they are.
     """
-    rows = listed.where(F.col("pair") == 0)
+    rows = listed.where(F.col("pair") == 0).select("token", "key", "n")
+    # of most shingles only that one set has them is ever known: two keys are all that is summed for them
+    several = rows.groupBy("token").agg(F.min("key").alias("_k0"), F.max("key").alias("_k1")).where("_k0 != _k1").select(F.col("token").alias("_token"))
+    members = stored(rows.join(several, F.col("token") == F.col("_token")).select("token", "key", "n").distinct(), "members")
     named = F.xxhash64("key")
     lists = (
-        rows.select("token", "key", "n").groupBy("token")
+        members.groupBy("token")
         .agg(
-            F.min("key").alias("_k0"), F.max("key").alias("_k1"), F.max("n").alias("_n1"),
-            # exact copies are listed more than once; min, max and these two sums name the members only if they count once
-            F.count(F.lit(1)).alias("_rows"), F.bit_xor(named).alias("_x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 32)).alias("_s"),
+            F.min("key").alias("_k0"), F.max("key").alias("_k1"), F.max("n").alias("_n1"), F.count(F.lit(1)).alias("size"),
+            F.bit_xor(named).alias("_x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 32)).alias("_s"),
         )
-        .where((F.col("_k0") != F.col("_k1")) & (F.col("_n1") > boundary))
+        .where(F.col("_n1") > boundary)
     )
-    chosen = lists.groupBy("_k0", "_k1", "_n1", "_rows", "_x", "_s").agg(F.min("token").alias("_token"), F.count(F.lit(1)).alias("times"))
-    members = rows.join(chosen.select("_token", "times"), F.col("token") == F.col("_token")).select("token", "key", "n", "times").distinct()
-    members = stored(members, "members")
-    sizes = members.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("size"))
-    return stored(members.join(sizes, F.col("token") == F.col("_token")).drop("_token"), "lists")
+    chosen = lists.groupBy("_k0", "_k1", "size", "_x", "_s").agg(F.min("token").alias("_token"), F.count(F.lit(1)).alias("times"))
+    return stored(members.join(chosen.select("_token", "size", "times"), F.col("token") == F.col("_token")).drop("_token"), "lists")
 
 
 def star_pairs(lists: DataFrame, s: Settings) -> DataFrame:
