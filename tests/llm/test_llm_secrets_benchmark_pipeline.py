@@ -131,6 +131,18 @@ def test_copies_and_changed_parameters_are_found(spark):
     assert kept.columns == df.columns and {3, 4, 5, 6, 10} <= {r.doc_id for r in kept.collect()} and not {1, 2, 8, 9, 11} & {r.doc_id for r in kept.collect()}
 
 
+def test_copies_in_other_case_or_lines_are_found(spark):
+    wrapped = QUESTION
+    for word in ("Paris", "Lyon", "hours", "km"):
+        wrapped = wrapped.replace(f" {word}", f"\n  {word}")
+    other = wrapped.replace("Paris", "Leeds").replace("Lyon", "York").replace("3.5", "7").replace("120", "95")
+    rows = [(1, QUESTION.lower()), (2, QUESTION.upper()), (3, wrapped), (4, QUESTION.title()), (5, other), (6, QUESTION.replace(" ", "\u00a0")), (7, QUESTION.lower().replace("120", "95"))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, QUESTION)], BENCH)
+    assert found(df, bench) == [(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, True), (5, 1, False), (6, 1, True), (7, 1, False)]
+    assert {r.share for r in decontaminate.matches(df, bench).collect()} == {1.0}
+    assert decontaminate.clean(df, bench).count() == 0
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string"), spark.createDataFrame([(1, QUESTION)], BENCH)
     assert found(docs.limit(0), bench) == [] and found(docs, bench.limit(0)) == []

@@ -23,6 +23,8 @@ NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
 
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*+"
 _MEASURE = _NUMBER + r"\x20?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
+#: White space other than one blank.
+_SPACES = r"[\s\p{Z}]{2,}+|[\s\p{Z}&&[^\x20]]"
 #: A capitalised word inside a sentence: a word, a comma or the like stands before it.
 _NAME = r"(?<=[\p{L}\p{M},;:)]\x20{1,2})\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
 
@@ -44,12 +46,23 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def template(text: Column) -> Column:
-    """Template tokens: lower-case words, and placeholders for numbers, units behind them and names."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
-    numbered = F.regexp_replace(F.regexp_replace(plain, _MEASURE, f" {NUMBER} {UNIT} "), _NUMBER, f" {NUMBER} ")
-    named = F.regexp_replace(numbered, _NAME, NAME)
-    return _split(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}{MARK}]++", " "))
+def marked(text: Column) -> Column:
+    """The tokens of both keys, joined by blanks: lower-case words, those of names with NAME before them, and
+    placeholders for numbers and units behind them. Any white space is as good as a blank."""
+    spaced = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" ")), _SPACES, " ")
+    numbered = F.regexp_replace(F.regexp_replace(spaced, _MEASURE, f" {NUMBER} {UNIT} "), _NUMBER, f" {NUMBER} ")
+    named = F.regexp_replace(numbered, _NAME, f"{NAME}$0")
+    return F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}{MARK}]++", " ")
+
+
+def template(line: Column) -> Column:
+    """Template tokens of a marked text: names are placeholders."""
+    return _split(F.regexp_replace(line, rf"{NAME}[\p{{L}}\p{{M}}]++", NAME))
+
+
+def words(line: Column) -> Column:
+    """Tokens of the second key of a marked text, which no capital letter changes: names are words."""
+    return _split(F.replace(line, F.lit(NAME), F.lit("")))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -74,12 +87,13 @@ def _blocks(coded: str, last: Column, size: int, step: int) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame, limits: Limits, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item_template, item_raw and size (window, or all tokens of a shorter item), stored.
+    """item_id, item_template, item_words, item_raw and size (window, or all tokens of a shorter item), stored.
 
     Null, empty and too short items are left out; repeated items count once.
     """
     named = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("_text")).distinct()
-    items = named.select("item_id", template(F.col("_text")).alias("item_template"), raw_tokens(F.col("_text")).alias("item_raw"))
+    named = named.select("item_id", marked(F.col("_text")).alias("_line"), raw_tokens(F.col("_text")).alias("item_raw"))
+    items = named.select("item_id", template(F.col("_line")).alias("item_template"), words(F.col("_line")).alias("item_words"), "item_raw")
     items = items.where(F.size("item_template") >= limits.min_tokens)
     return stored(items.withColumn("size", F.least(F.size("item_template"), F.lit(limits.window))), "items")
 
@@ -90,24 +104,31 @@ def _lookup(small: DataFrame, limits: Limits) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, _key, item_id, offset (document place less item place) where a document's block of template tokens is in an item.
+    """doc_id, _key, item_id, offset (document place less item place) where a document's block of tokens, by either key, is in an item.
 
     The documents' blocks stand one behind another, the items' at every place, so each shared window holds one of them.
     """
-    blocks = items.select("item_id", "item_template", block_size(F.col("size")).alias("block"))
+    blocks = items.select("item_id", "item_template", "item_words", block_size(F.col("size")).alias("block"))
     widths = [r["block"] for r in blocks.select("block").distinct().collect()]  # a few: half of the sizes up to `window`
-    coded = docs.withColumn("_template", template(F.col("_text"))).withColumn("_coded", _coded(F.col("_template")))
-    # the size keeps the hashes a column of their own, so that they are made once for each text
-    coded = coded.select("doc_id", "_key", "_coded", F.size("_coded").alias("_n"))
+    keys = ("_named", "_plain")
+    coded = docs.select("doc_id", "_key", marked(F.col("_text")).alias("_line"))
+    coded = coded.select("doc_id", "_key", _coded(template(F.col("_line"))).alias("_named"), _coded(words(F.col("_line"))).alias("_plain"))
+    # the size keeps the hashes columns of their own, so that they are made once for each text
+    coded = coded.select("doc_id", "_key", *keys, F.size("_named").alias("_n"))
+
+    def both(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str) -> DataFrame:
+        """A row for each block and key; blocks without a name have one hash for both."""
+        pair = F.zip_with(*[_blocks(k, last, size, step) for k in keys], lambda a, b: F.array_distinct(F.array(a, b)))
+        return frame.select(*columns, F.posexplode(pair).alias(place, "_pair")).select(*columns, place, F.explode("_pair").alias(to))
+
     found = None
     for width in widths:
-        own = blocks.where(F.col("block") == width).withColumn("_coded", _coded(F.col("item_template")))
-        own = own.select("item_id", "_coded", F.size("_coded").alias("_n")).where(F.col("_n") >= width)
-        own = own.select("item_id", F.posexplode(_blocks("_coded", F.col("_n") - width, width, 1)).alias("_place", "_h"))
+        own = blocks.where(F.col("block") == width)
+        own = own.select("item_id", _coded(F.col("item_template")).alias("_named"), _coded(F.col("item_words")).alias("_plain"))
+        own = own.select("item_id", *keys, F.size("_named").alias("_n")).where(F.col("_n") >= width)
+        own = both(own, ["item_id"], F.col("_n") - width, width, 1, "_place", "_h")
         whole = F.floor(F.col("_n") / width).cast("int")
-        theirs = coded.where(F.col("_n") >= width).select(
-            "doc_id", "_key", F.posexplode(_blocks("_coded", whole - 1, width, width)).alias("_block", "_g")
-        )
+        theirs = both(coded.where(F.col("_n") >= width), ["doc_id", "_key"], whole - 1, width, width, "_block", "_g")
         hits = theirs.join(_lookup(stored(own.distinct(), "blocks"), limits), F.col("_g") == F.col("_h")).select(
             "doc_id", "_key", "item_id", (F.col("_block") * width - F.col("_place")).alias("offset")
         )
@@ -120,9 +141,10 @@ def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold benchmark items: doc_id, _key, item_id, n_windows, share, n_slots, exact.
 
-    Blocks of template tokens are joined by hash, and at each offset that they give, document and item are laid side by
-    side. A window matches if all of its template tokens are equal. The windows at one offset are consistent if their
-    slots map one to one: equal values of the item stand for equal ones in the document, and different ones for different
+    Blocks of tokens are joined by hash, and at each offset that they give, document and item are laid side by side.
+    A window matches if all of its tokens are equal by one of two keys: templates with names as placeholders, or words
+    without case. The share is the larger one of the two: of the windows that tell something as templates, and of those
+    that do as words, which must match as words. The windows at one offset are consistent if their slots map one to one: equal values of the item stand for equal ones in the document, and different ones for different
     ones. exact says that all slots hold the item's own values. _key tells apart texts of one doc_id; rows that agree
     in doc_id and text give one result. Null and empty texts hold nothing; empty tables give an empty result.
     """
@@ -133,26 +155,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
     hit = runs.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
     again = named.join(_lookup(hit, limits), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
     again = again.dropDuplicates(["doc_id", "_key"]).select(
-        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), template(F.col("_text")).alias("doc_template"), raw_tokens(F.col("_text")).alias("doc_raw")
+        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), marked(F.col("_text")).alias("_line"), raw_tokens(F.col("_text")).alias("doc_raw")
     )
-    own = items.withColumnRenamed("item_id", "_i")
+    again = again.select("_d", "_k", template(F.col("_line")).alias("doc_template"), words(F.col("_line")).alias("doc_words"), "doc_raw")
+    starts = F.sequence(F.lit(0), F.size("item_template") - F.col("size"))
+
+    def telling(tokens: str) -> Column:
+        part = lambda p: F.slice(tokens, p + 1, F.col("size"))
+        plain = lambda p: F.size(F.filter(part(p), lambda t: ~t.startswith(MARK))) >= F.least(F.lit(limits.min_plain), F.col("size"))
+        told = F.filter(starts, plain)
+        return F.when(F.size(told) > 0, told).otherwise(starts)
+
+    own = items.withColumnRenamed("item_id", "_i").withColumn("_starts", telling("item_template")).withColumn("_word_starts", telling("item_words"))
     aligned = runs.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).join(
         _lookup(own, limits), F.col("item_id").eqNullSafe(F.col("_i"))
     )
-    starts = F.sequence(F.lit(0), F.size("item_template") - F.col("size"))
-    part = lambda p: F.slice("item_template", p + 1, F.col("size"))
-    plain = lambda p: F.size(F.filter(part(p), lambda t: ~t.startswith(MARK))) >= F.least(F.lit(limits.min_plain), F.col("size"))
-    telling = F.filter(starts, plain)
-    counted = aligned.withColumn("_telling", telling).withColumn("_starts", F.when(F.size("_telling") > 0, F.col("_telling")).otherwise(starts))
-    same = F.transform(
-        F.sequence(F.lit(0), F.size("item_template") - 1),
-        lambda p: (p + F.col("offset") >= 0) & (F.get("item_template", p) == F.coalesce(F.get("doc_template", F.greatest(p + F.col("offset"), F.lit(0))), F.lit(""))),
-    )
-    counted = counted.withColumn("_same", same).withColumn(
-        "places", F.filter("_starts", lambda p: F.forall(F.slice("_same", p + 1, F.col("size")), lambda x: x))
-    )
-    counted = counted.where(F.size("places") > 0).withColumn(
-        "_covered", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))
+
+    def same(item: str, doc: str) -> Column:
+        """Whether the tokens at each place of the item are equal."""
+        return F.transform(
+            F.sequence(F.lit(0), F.size(item) - 1),
+            lambda p: (p + F.col("offset") >= 0) & (F.get(item, p) == F.coalesce(F.get(doc, F.greatest(p + F.col("offset"), F.lit(0))), F.lit(""))),
+        )
+
+    whole = lambda flags, p: F.forall(F.slice(flags, p + 1, F.col("size")), lambda x: x)
+    counted = aligned.withColumn("_same", same("item_template", "doc_template")).withColumn("_same_words", same("item_words", "doc_words"))
+    counted = counted.withColumn("_word_places", F.filter(starts, lambda p: whole("_same_words", p)))
+    counted = counted.withColumn("_places", F.filter(starts, lambda p: whole("_same", p) | whole("_same_words", p)))
+    counted = counted.withColumn("places", F.array_intersect("_places", "_starts")).withColumn("word_places", F.array_intersect("_word_places", "_word_starts"))
+    counted = counted.where((F.size("places") > 0) | (F.size("word_places") > 0)).withColumn(
+        "_covered",
+        F.array_distinct(F.flatten(F.transform(F.array_union("places", "word_places"), lambda p: F.sequence(p, p + F.col("size") - 1)))),
     )
     slot = lambda p: F.struct(
         F.get("item_template", p).alias("kind"), F.get("item_raw", p).alias("theirs"), F.get("doc_raw", p + F.col("offset")).alias("ours")
@@ -162,15 +195,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
         (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["theirs"])))))
         & (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["ours"])))))
     )
+    number = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
     return (
         checked.groupBy("doc_id", "_key", "item_id")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
+            number("places").alias("_n"),
+            number("word_places").alias("_n_words"),
             F.max(F.size("_starts")).alias("_of"),
+            F.max(F.size("_word_starts")).alias("_of_words"),
             F.max(F.size("_slots")).cast("long").alias("n_slots"),
             F.min(F.forall("_slots", lambda s: s["theirs"] == s["ours"])).alias("exact"),
         )
-        .withColumn("share", F.col("n_windows") / F.col("_of"))
+        .withColumn("_by_words", F.col("_n_words") / F.col("_of_words") > F.col("_n") / F.col("_of"))
+        .withColumn("n_windows", F.when(F.col("_by_words"), F.col("_n_words")).otherwise(F.col("_n")))
+        .withColumn("share", F.col("n_windows") / F.when(F.col("_by_words"), F.col("_of_words")).otherwise(F.col("_of")))
         .where(F.col("share") >= limits.min_share)
         .select("doc_id", "_key", "item_id", "n_windows", "share", "n_slots", "exact")
     )
