@@ -143,6 +143,16 @@ def test_copies_in_other_case_or_lines_are_found(spark):
     assert decontaminate.clean(df, bench).count() == 0
 
 
+def test_one_conflicting_slot_spoils_its_own_windows_only(spark):
+    apples = "Ann has 2 red apples and then buys 4 green pears at the old market. How many more pears than apples has Ann?"
+    equal = apples.replace("2", "6").replace("4", "6").replace("Ann", "Bob")
+    rows = [(1, QUESTION.replace("before Paris", "before Berlin")), (2, equal), (3, apples.replace("has Ann", "has Bob"))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, QUESTION), (2, apples)], BENCH)
+    assert found(df, bench) == [(1, 1, True), (2, 2, False), (3, 2, False)]
+    assert {r.doc_id: r.n_windows for r in decontaminate.matches(df, bench).collect()}[1] == 8  # of 16: all that don't hold Berlin
+    assert decontaminate.clean(df, bench).count() == 0
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string"), spark.createDataFrame([(1, QUESTION)], BENCH)
     assert found(docs.limit(0), bench) == [] and found(docs, bench.limit(0)) == []

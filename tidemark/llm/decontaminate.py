@@ -144,8 +144,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
     Blocks of tokens are joined by hash, and at each offset that they give, document and item are laid side by side.
     A window matches if all of its tokens are equal by one of two keys: templates with names as placeholders, or words
     without case. The share is the larger one of the two: of the windows that tell something as templates, and of those
-    that do as words, which must match as words. The windows at one offset are consistent if their slots map one to one: equal values of the item stand for equal ones in the document, and different ones for different
-    ones. exact says that all slots hold the item's own values. _key tells apart texts of one doc_id; rows that agree
+    that do as words, which must match as words.
+
+    A slot that holds the item's own value is always right. Another value conflicts if the same value of the item stands
+    for several ones in the document at this offset, or if it stands for several units or names of the item (numbers
+    chosen anew may happen to be equal). Windows that hold a conflicting slot don't count; all others do. exact says
+    that all slots of the windows that count hold the item's own values. _key tells apart texts of one doc_id; rows that agree
     in doc_id and text give one result. Null and empty texts hold nothing; empty tables give an empty result.
     """
     items = benchmark_items(benchmark, limits, item_id=item_id, text=item_text)
@@ -180,20 +184,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
 
     whole = lambda flags, p: F.forall(F.slice(flags, p + 1, F.col("size")), lambda x: x)
     counted = aligned.withColumn("_same", same("item_template", "doc_template")).withColumn("_same_words", same("item_words", "doc_words"))
-    counted = counted.withColumn("_word_places", F.filter(starts, lambda p: whole("_same_words", p)))
-    counted = counted.withColumn("_places", F.filter(starts, lambda p: whole("_same", p) | whole("_same_words", p)))
-    counted = counted.withColumn("places", F.array_intersect("_places", "_starts")).withColumn("word_places", F.array_intersect("_word_places", "_word_starts"))
-    counted = counted.where((F.size("places") > 0) | (F.size("word_places") > 0)).withColumn(
-        "_covered",
-        F.array_distinct(F.flatten(F.transform(F.array_union("places", "word_places"), lambda p: F.sequence(p, p + F.col("size") - 1)))),
-    )
+    counted = counted.withColumn("_found", F.filter(starts, lambda p: whole("_same", p) | whole("_same_words", p))).where(F.size("_found") > 0)
+    covered = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1))))
     slot = lambda p: F.struct(
         F.get("item_template", p).alias("kind"), F.get("item_raw", p).alias("theirs"), F.get("doc_raw", p + F.col("offset")).alias("ours")
     )
-    slots = F.array_distinct(F.transform(F.filter("_covered", lambda p: F.get("item_template", p).startswith(MARK)), slot))
-    checked = counted.withColumn("_slots", slots).where(
-        (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["theirs"])))))
-        & (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["ours"])))))
+    slots = lambda places: F.transform(F.filter(covered(places), lambda p: F.get("item_template", p).startswith(MARK)), lambda p: F.struct(p.alias("at"), slot(p).alias("slot")))
+    counted = counted.withColumn("_slots", slots(F.col("_found")))
+    counted = counted.withColumn("_values", F.array_distinct(F.transform("_slots", lambda s: s["slot"])))
+
+    def conflicts(x: Column) -> Column:
+        several = lambda v: (v["theirs"] == x["theirs"]) & (v["ours"] != x["ours"])
+        fallen = lambda v: (v["theirs"] != x["theirs"]) & (v["ours"] == x["ours"]) & (x["kind"] != NUMBER)
+        return (x["theirs"] != x["ours"]) & F.exists("_values", lambda v: (v["kind"] == x["kind"]) & (several(v) | fallen(v)))
+
+    counted = counted.withColumn("_wrong", F.filter("_values", conflicts))
+    odd = F.transform(F.filter("_slots", lambda s: F.array_contains("_wrong", s["slot"])), lambda s: s["at"])
+    counted = counted.withColumn("_odd", odd).withColumn(
+        "_good", F.filter("_found", lambda p: ~F.exists("_odd", lambda at: (at >= p) & (at < p + F.col("size"))))
+    )
+    counted = counted.withColumn("places", F.array_intersect("_good", "_starts")).withColumn(
+        "word_places", F.array_intersect(F.filter("_good", lambda p: whole("_same_words", p)), "_word_starts")
+    )
+    checked = counted.where((F.size("places") > 0) | (F.size("word_places") > 0)).withColumn(
+        "_held", F.array_distinct(F.transform(slots(F.array_union("places", "word_places")), lambda s: s["slot"]))
     )
     number = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
     return (
@@ -203,8 +217,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
             number("word_places").alias("_n_words"),
             F.max(F.size("_starts")).alias("_of"),
             F.max(F.size("_word_starts")).alias("_of_words"),
-            F.max(F.size("_slots")).cast("long").alias("n_slots"),
-            F.min(F.forall("_slots", lambda s: s["theirs"] == s["ours"])).alias("exact"),
+            F.max(F.size("_held")).cast("long").alias("n_slots"),
+            F.min(F.forall("_held", lambda s: s["theirs"] == s["ours"])).alias("exact"),
         )
         .withColumn("_by_words", F.col("_n_words") / F.col("_of_words") > F.col("_n") / F.col("_of"))
         .withColumn("n_windows", F.when(F.col("_by_words"), F.col("_n_words")).otherwise(F.col("_n")))
