@@ -153,6 +153,17 @@ def test_one_conflicting_slot_spoils_its_own_windows_only(spark):
     assert decontaminate.clean(df, bench).count() == 0
 
 
+def test_a_long_run_of_a_long_item_is_found(spark):
+    rng = random.Random(4)
+    item = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(500)]
+    numbers = ["12" if i % 2 else w for i, w in enumerate(item)]
+    rows = [(1, item[200:350]), (2, ["before", *item[40:53], "behind"]), (3, item[40:52]), (4, [*item[40:50], "between", *item[50:60]]), (5, numbers[200:213]), (6, numbers[201:216])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(numbers))], BENCH)
+    assert found(df, bench) == [(1, 1, True), (2, 1, True), (5, 2, True), (6, 2, True)]
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {3, 4}
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string"), spark.createDataFrame([(1, QUESTION)], BENCH)
     assert found(docs.limit(0), bench) == [] and found(docs, bench.limit(0)) == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,12 +34,14 @@ _NAME = r"(?<=[\p{L}\p{M},;:)]\x20{1,2})\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
 class Limits:
     """window: template tokens to a window. A window of the benchmark counts if min_plain of its tokens are plain words
     (if none has as many, all of the item's do). Items of fewer than min_tokens tokens can't be told from common
-    speech and are left out. A document holds an item if consistent windows are min_share of the item's."""
+    speech and are left out. A document holds an item if consistent windows are min_share of the item's, or if min_run of
+    them stand one behind another (13 tokens) with plain words in the proportion that a window needs."""
 
     window: int = 8
     min_plain: int = 4
     min_tokens: int = 5
     min_share: float = 0.3
+    min_run: int = 6
     max_broadcast_rows: int = 500_000
 
 
@@ -198,14 +201,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
         fallen = lambda v: (v["theirs"] != x["theirs"]) & (v["ours"] == x["ours"]) & (x["kind"] != NUMBER)
         return (x["theirs"] != x["ours"]) & F.exists("_values", lambda v: (v["kind"] == x["kind"]) & (several(v) | fallen(v)))
 
-    counted = counted.withColumn("_wrong", F.filter("_values", conflicts))
+    # two references to _wrong and _odd keep them columns of their own, so that they are made once for each alignment
+    none = F.array().cast("array<int>")
     odd = F.transform(F.filter("_slots", lambda s: F.array_contains("_wrong", s["slot"])), lambda s: s["at"])
-    counted = counted.withColumn("_odd", odd).withColumn(
-        "_good", F.filter("_found", lambda p: ~F.exists("_odd", lambda at: (at >= p) & (at < p + F.col("size"))))
-    )
-    counted = counted.withColumn("places", F.array_intersect("_good", "_starts")).withColumn(
-        "word_places", F.array_intersect(F.filter("_good", lambda p: whole("_same_words", p)), "_word_starts")
+    good = F.filter("_found", lambda p: ~F.exists("_odd", lambda at: (at >= p) & (at < p + F.col("size"))))
+    counted = counted.withColumn("_wrong", F.filter("_values", conflicts)).withColumn("_odd", F.when(F.size("_wrong") > 0, odd).otherwise(none))
+    counted = counted.withColumn("_good", F.when(F.size("_odd") > 0, good).otherwise(F.col("_found")))
+    span = limits.window + limits.min_run - 1
+    needed = math.ceil(span * limits.min_plain / limits.window)
+
+    def run(places: Column, tokens: str) -> Column:
+        """Whether min_run places (sorted) follow one another, with enough plain words in their tokens."""
+        last = F.size(places) - limits.min_run
+        plain = lambda p: F.size(F.filter(F.slice(tokens, p + 1, span), lambda t: ~t.startswith(MARK))) >= needed
+        follows = lambda i: (F.get(places, i + limits.min_run - 1) == F.get(places, i) + limits.min_run - 1) & plain(F.get(places, i))
+        return F.when(last >= 0, F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), follows)).otherwise(False)
+
+    counted = counted.withColumn("_good_words", F.filter("_good", lambda p: whole("_same_words", p))).withColumn(
+        "_run", run(F.col("_good"), "item_template") | run(F.col("_good_words"), "item_words")
     )
+    counted = counted.withColumn("places", F.array_intersect("_good", "_starts")).withColumn("word_places", F.array_intersect("_good_words", "_word_starts"))
     checked = counted.where((F.size("places") > 0) | (F.size("word_places") > 0)).withColumn(
         "_held", F.array_distinct(F.transform(slots(F.array_union("places", "word_places")), lambda s: s["slot"]))
     )
@@ -217,13 +232,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
             number("word_places").alias("_n_words"),
             F.max(F.size("_starts")).alias("_of"),
             F.max(F.size("_word_starts")).alias("_of_words"),
+            F.max("_run").alias("_run"),
             F.max(F.size("_held")).cast("long").alias("n_slots"),
             F.min(F.forall("_held", lambda s: s["theirs"] == s["ours"])).alias("exact"),
         )
         .withColumn("_by_words", F.col("_n_words") / F.col("_of_words") > F.col("_n") / F.col("_of"))
         .withColumn("n_windows", F.when(F.col("_by_words"), F.col("_n_words")).otherwise(F.col("_n")))
         .withColumn("share", F.col("n_windows") / F.when(F.col("_by_words"), F.col("_of_words")).otherwise(F.col("_of")))
-        .where(F.col("share") >= limits.min_share)
+        .where((F.col("share") >= limits.min_share) | F.col("_run"))
         .select("doc_id", "_key", "item_id", "n_windows", "share", "n_slots", "exact")
     )
 
