@@ -120,9 +120,10 @@ def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     coded = coded.select("doc_id", "_key", *keys, F.size("_named").alias("_n"))
 
     def both(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str) -> DataFrame:
-        """A row for each block and key; blocks without a name have one hash for both."""
-        pair = F.zip_with(*[_blocks(k, last, size, step) for k in keys], lambda a, b: F.array_distinct(F.array(a, b)))
-        return frame.select(*columns, F.posexplode(pair).alias(place, "_pair")).select(*columns, place, F.explode("_pair").alias(to))
+        """A row for each block and key."""
+        hashes = F.concat(*[_blocks(k, last, size, step) for k in keys])
+        rows = frame.withColumn("_of", last + 1).select(*columns, "_of", F.posexplode(hashes).alias("_at", to))
+        return rows.select(*columns, F.pmod("_at", "_of").cast("int").alias(place), to)
 
     found = None
     for width in widths:
