@@ -95,3 +95,43 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM p
 """
+
+_SHARE = "1 + (1000000000 * (n::HUGEINT + 2)) // (total::HUGEINT + 2 * kept)"
+
+SOURCE_AUDIT = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents
+), w AS (
+  SELECT rid, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT rid, lang, source, unnest(found) AS t FROM d)
+), v AS (
+  SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10
+), langs AS (
+  SELECT l.lang, count(v.term) AS kept FROM (SELECT DISTINCT lang FROM d) AS l LEFT JOIN v USING (lang) GROUP BY l.lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT s.lang, s.source, kept, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) AS s JOIN langs USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, n, ({_SHARE})::HUGEINT AS p
+  FROM (SELECT g.*, v.term, coalesce(c.n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term))
+), q AS (
+  SELECT lang, term, ({_SHARE})::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN langs USING (lang) JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY ALL) USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source AS one, b.source AS other, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) AS s ON s.lang = a.lang AND s.one = a.source AND s.other = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+) WHERE part = 'pair' OR rank <= 10
+"""
