@@ -3,10 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import source_audit
-from tidemark.llm.common import stored
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,11 +67,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("entries", [150_000, 7])
-def test_audit_matches_plain_python(spark, monkeypatch, entries):
-    monkeypatch.setattr(source_audit, "TABLE_ENTRIES", entries)
-    monkeypatch.setattr(source_audit, "CELLS", 40)
-    monkeypatch.setattr(source_audit, "TILE", 2)
+@pytest.mark.parametrize("small", [False, True])
+def test_audit_matches_plain_python(spark, monkeypatch, small):
+    if small:  # many partial sums, blocks of terms and tiles of sources
+        for name, value in (("TEXT_BYTES", 200), ("COUNTS", 3), ("BATCH_ROWS", 2), ("CELLS", 40), ("TILE", 2)):
+            monkeypatch.setattr(source_audit, name, value)
     rows = corpus()
     got = source_audit.audit(spark.createDataFrame(rows, DOC).repartition(5)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
@@ -79,28 +79,31 @@ def test_audit_matches_plain_python(spark, monkeypatch, entries):
 
 
 def test_rare_chunks_keep_their_documents_and_common_ones_do_not(spark):
-    docs = spark.createDataFrame([(i, f"all a{i}a a", "en", "s", 1) for i in range(12)], DOC).repartition(4)
+    docs = spark.createDataFrame([(i, f"all a{i}a a", "en", "s", 1) for i in range(12)], DOC).coalesce(1)
     counts = {bytes(r.chunk): r for r in source_audit.chunk_counts(docs).collect()}
-    assert counts[b"all"].docs == 12 and counts[b"all"].some is None
+    assert (counts[b"all"].docs, counts[b"all"].some) == (12, [])
     assert counts[b"a3a"].n == 1 and len(counts[b"a3a"].some) == 1
 
 
 def test_each_distinct_chunk_is_split_once(spark):
+    splitter = source_audit._Splitter()
+    arrow = lambda *chunks: pa.array([c.encode() for c in chunks], type=pa.binary())
+    assert [x.to_pylist() for x in splitter.terms(arrow("1", "Ab,ab;AB", "x"))[1:]] == [["ab", "ab", "ab", "x"]]
+    place, words = splitter.terms(arrow("x", "yÉ"))
+    assert (place.tolist(), words.to_pylist(), splitter.n_split) == ([0, 1], ["x", "yÉ"], 4)
     docs = spark.createDataFrame([(i, "Ab,ab;AB x", lang, s, 1) for i, (lang, s) in enumerate([("en", "s"), ("de", "t")] * 3)], DOC)
-    split = source_audit.terms_of_chunks(source_audit.chunk_counts(docs)).collect()
-    assert sorted((bytes(r.chunk), r.term, r.k) for r in split) == [(b"Ab,ab;AB", "ab", 3), (b"x", "x", 1)]
+    sums = source_audit.term_counts(source_audit.chunk_counts(docs.coalesce(1))).collect()
+    assert sorted((r.lang, r.term, r.n, r.low) for r in sums) == [("de", "ab", 9, 3), ("de", "x", 3, 3), ("en", "ab", 9, 3), ("en", "x", 3, 3)]
 
 
-def test_terms_are_kept_by_distinct_documents_not_by_chunks(spark):
-    # nine documents with many chunks of one term each, and ten with one
+@pytest.mark.parametrize("parts", [1, 7])
+def test_terms_are_kept_by_distinct_documents_not_by_chunks(spark, parts):
+    # nine documents with many chunks of one term each, and ten with one, spread over two sources
     rows = [(i, " ".join(f"dense{k}{i}" for k in range(5)), "en", "s", 1) for i in range(9)]
-    rows += [(20 + i, f"wide{i}", "en", "t", 1) for i in range(10)]
-    counts = stored(source_audit.chunk_counts(spark.createDataFrame(rows, DOC)), "test")
-    split = source_audit.terms_of_chunks(counts)
-    from pyspark.sql import functions as F
-
-    summed = counts.join(split, "chunk").groupBy("lang", "source", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high"))
-    assert [r.term for r in source_audit.kept_terms(counts, split, summed).collect()] == ["wide"]
+    rows += [(20 + i, f"wide{i}", "en", "st"[i % 2], 1) for i in range(10)]
+    counts = source_audit.chunk_counts(spark.createDataFrame(rows, DOC).repartition(parts))
+    kept = source_audit.kept_counts(source_audit.term_counts(counts)).collect()
+    assert sorted((r.term, r.n) for r in kept) == [("wide", 5), ("wide", 5)]
 
 
 def test_empty_and_odd_tables(spark):

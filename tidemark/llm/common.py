@@ -47,16 +47,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 BATCH_ROWS = 500
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """df, written once as a table in the shared folder and read from there: it survives lost executors.
 
-    Python functions in df get batches of BATCH_ROWS rows, so that workers stay small with long texts. The
-    session's own setting is back afterwards.
+    Python functions in df get batches of `batch_rows` rows, so that workers stay small with long texts (Spark
+    bounds a batch's bytes besides). The session's own setting is back afterwards.
     """
     spark = df.sparkSession
     path, key = new_folder(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
     try:
         df.write.parquet(path)
     finally:
