@@ -37,13 +37,13 @@ TOP_TERMS = 10
 
 #: Bytes of texts and counts of chunks that a task sums at once, rows of its batches, cells of a task's matrix of
 #: terms by sources, and sources whose pairs one task adds up. They bound memory and change no result.
-TEXT_BYTES = 10 << 20
+TEXT_BYTES = 20 << 20
 COUNTS = 400_000
 BATCH_ROWS = 4000
 CELLS = 1 << 20
 TILE = 512
 
-CHUNKS = "chunk binary, lang string, source_key long, n long, docs int, some array<long>"
+CHUNKS = "chunk binary, lang string, source_key long, n long, some binary"
 TERMS = "lang string, source_key long, term string, n long, low int, some array<long>"
 
 
@@ -56,9 +56,21 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), type=pa.int32()), pa.array(values, type=pa.int64()))
 
 
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """So many of the values for each row, as eight bytes each."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, dtype=np.int64))])
+
+
+def _unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's values begin (and the last one's end), and all values."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return ends // 8, np.frombuffer(column.buffers()[2] or b"", dtype=np.int64, count=ends[-1] // 8)
+
+
 def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     coded = column.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def _together(batches: list[pa.RecordBatch]) -> dict[str, pa.Array]:
@@ -69,23 +81,31 @@ def _together(batches: list[pa.RecordBatch]) -> dict[str, pa.Array]:
 def _summed_chunks(batches: list[pa.RecordBatch], least: int) -> pa.RecordBatch:
     """Counts of the chunks of some documents for each (chunk, lang, source)."""
     docs = _together(batches)
-    split = pc.ascii_split_whitespace(docs["text"])
-    words, doc = split.flatten(), pc.list_parent_indices(split)
-    real = pc.greater(pc.binary_length(words), 0)
-    words, doc = words.filter(real), doc.filter(real).to_numpy(zero_copy_only=False).astype(np.int64)
-    chunk, chunks = _codes(words)
     lang, langs = _codes(docs["lang"])
     source, sources = _codes(docs["source_key"])
-    pair, group = np.unique(lang * len(sources) + source, return_inverse=True)
+    pair, group = np.unique(lang.astype(np.int64) * len(sources) + source, return_inverse=True)
+    split = pc.ascii_split_whitespace(docs["text"])
+    words, doc = split.flatten(), pc.list_parent_indices(split).cast(pa.int32())
+    del split
+    real = pc.greater(pc.binary_length(words), 0)
+    words, doc = words.filter(real), doc.filter(real).to_numpy(zero_copy_only=False)
+    keys, chunks = _codes(words)
+    del words, real
     # one sort brings the occurrences in the order of (chunk, group, document)
-    keys = (chunk * len(pair) + group[doc]) * len(group) + doc
+    keys = keys.astype(np.int64)
+    keys *= len(pair)
+    keys += group[doc]
+    keys *= len(group)
+    keys += doc
     keys.sort()
     at = _starts(keys)
     times = np.diff(np.append(at, len(keys)))
     each, doc = np.divmod(keys[at], max(len(group), 1))
+    del keys, at
     first = _starts(each)
     n_docs = np.diff(np.append(first, len(each)))
     chunk, group = np.divmod(each[first], max(len(pair), 1))
+    del each
     few = n_docs < least
     some = docs["doc"].to_numpy(zero_copy_only=False)[doc[np.repeat(few, n_docs)]]
     return pa.RecordBatch.from_arrays(
@@ -94,15 +114,14 @@ def _summed_chunks(batches: list[pa.RecordBatch], least: int) -> pa.RecordBatch:
             langs.take(pa.array(pair[group] // max(len(sources), 1))),
             sources.take(pa.array(pair[group] % max(len(sources), 1))),
             pa.array(np.add.reduceat(times, first) if len(first) else times, type=pa.int64()),
-            pa.array(n_docs, type=pa.int32()),
-            _lists(some, np.where(few, n_docs, 0)),
+            _packed(some, np.where(few, n_docs, 0)),
         ],
-        names=["chunk", "lang", "source_key", "n", "docs", "some"],
+        names=["chunk", "lang", "source_key", "n", "some"],
     )
 
 
 def chunk_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """Counts per task: chunk, lang, source_key, n, docs and, where docs < least, the documents (`some`)."""
+    """Counts per task: chunk, lang, source_key, n, and the documents if fewer than `least` (`some`, else empty)."""
     plain = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")}
     texts = docs.select(
         plain["lang"].alias("lang"),
@@ -157,6 +176,7 @@ def _summed_terms(batches: list[pa.RecordBatch], splitter: _Splitter, least: int
     row_chunk, chunks = _codes(counts["chunk"])
     place, words = splitter.terms(chunks)
     term, terms = _codes(words)
+    term = term.astype(np.int64)
     # (chunk, term, k), in the order of the chunks
     keys = place * max(len(terms), 1) + term
     keys.sort()
@@ -172,18 +192,17 @@ def _summed_terms(batches: list[pa.RecordBatch], splitter: _Splitter, least: int
     entry = begin[row_chunk[row]] + inner
     lang, langs = _codes(counts["lang"])
     source, sources = _codes(counts["source_key"])
-    group = (lang * max(len(sources), 1) + source)[row] * max(len(terms), 1) + term[entry]
+    group = (lang.astype(np.int64) * max(len(sources), 1) + source)[row] * max(len(terms), 1) + term[entry]
     order = np.argsort(group, kind="stable")
     group, row, entry = group[order], row[order], entry[order]
     first = _starts(group)
     owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
     n = counts["n"].to_numpy(zero_copy_only=False)[row] * k[entry]
-    docs = counts["docs"].to_numpy(zero_copy_only=False)[row].astype(np.int64)
-    some_of = np.where(docs < least, docs, 0)
+    offsets, known = _unpacked(counts["some"])
+    some_of = np.diff(offsets)[row]
+    docs = np.where(some_of > 0, some_of, least)
 
     # distinct documents of each sum, as far as they are known one by one
-    offsets = counts["some"].offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    known = counts["some"].values.to_numpy(zero_copy_only=False)
     spot = np.repeat(offsets[row], some_of) + np.arange(some_of.sum()) - np.repeat(np.cumsum(some_of) - some_of, some_of)
     ids, code = np.unique(known[spot], return_inverse=True)
     seen = np.unique(np.repeat(owner, some_of) * max(len(ids), 1) + code)
