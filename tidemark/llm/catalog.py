@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import load
 
-from . import check_sql, decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, source_audit, toxicity, url_filter, warc_archive
+from . import check_sql, decontaminate, language_id, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, source_audit, toxicity, url_filter, warc_archive
 from .common import crc_remainder, stored
 
 
@@ -75,6 +75,11 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(load(spark, folder, "documents"), load(spark, folder, "benchmark")).drop("_key")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.trie(load(spark, folder, "conversations"))
+
+
 def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence of each (lang, source) from the other sources of its language, and its most distinctive terms."""
     return source_audit.audit(load(spark, folder, "documents"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_source_audit": op13_source_audit,
 }
 
@@ -99,5 +105,6 @@ ORACLE = {
     "op5_mixing": check_sql.MIXING,
     "op8_ngram_join": check_sql.NGRAM_JOIN,
     "op9_warc": check_sql.WARC,
+    "op11_prefix_trie": check_sql.PREFIX_TRIE,
     "op13_source_audit": check_sql.SOURCE_AUDIT,
 }

@@ -135,3 +135,40 @@ SELECT * FROM (
   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
 ) WHERE part = 'pair' OR rank <= 10
 """
+
+# crc32 of a number's decimal text, byte by byte and bit by bit
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)), "
+    "lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"
+)
+
+PREFIX_TRIE = rf"""
+WITH t AS (
+  SELECT conv_id, md5(length(r) || ':' || r || x) AS id, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT c, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id AS c FROM t)
+), r AS (
+  SELECT c, 0 AS own, i, id, w FROM c JOIN t ON t.conv_id = c - c % 20 AND i <= h
+  UNION ALL SELECT c, 1, i, id, w FROM c JOIN t ON t.conv_id = c AND i > h
+), s AS (
+  SELECT c.c, coalesce(ids, []) AS ids, coalesce(ws, []) AS ws
+  FROM c LEFT JOIN (SELECT c, list(id ORDER BY own, i) AS ids, list(w ORDER BY own, i) AS ws FROM r GROUP BY c) AS g ON g.c = c.c
+), n AS (
+  SELECT p, len(p) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ids) = len(p)), '')) AS ends_sha256
+  FROM (SELECT c, ids, list_slice(ids, 1, d) AS p, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM s, unnest(range(len(ids) + 1)) AS u(d))
+  GROUP BY p
+), k AS (
+  SELECT p[:-2] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), e AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)
+), under AS (
+  SELECT list_slice(p, 1, a) AS p, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT e.*, unnest(range(depth + 1)) AS a FROM e) GROUP BY 1
+)
+SELECT e.conv_id, e.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, e.ends_sha256
+FROM e JOIN under USING (p) LEFT JOIN n AS up ON e.depth > 0 AND up.p = e.p[:-2]
+"""

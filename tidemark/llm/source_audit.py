@@ -40,7 +40,7 @@ TOP_TERMS = 10
 TEXT_BYTES = 20 << 20
 COUNTS = 400_000
 BATCH_ROWS = 4000
-CELLS = 1 << 20
+CELLS = 1 << 16
 TILE = 512
 
 CHUNKS = "chunk binary, lang string, source_key long, n long, some binary"
