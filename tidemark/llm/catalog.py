@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import load
 
-from . import check_sql, decontaminate, language_id, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, source_audit, toxicity, url_filter, warc_archive
+from . import check_sql, decontaminate, html_extract, language_id, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, source_audit, toxicity, url_filter, warc_archive
 from .common import crc_remainder, stored
 
 
@@ -80,6 +80,12 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(load(spark, folder, "conversations"))
 
 
+def op12_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = load(spark, folder, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence of each (lang, source) from the other sources of its language, and its most distinctive terms."""
     return source_audit.audit(load(spark, folder, "documents"))
@@ -97,6 +103,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_html_extract": op12_html_extract,
     "op13_source_audit": op13_source_audit,
 }
 
