@@ -19,7 +19,9 @@ are ignored whatever their names. Pages of any length are read whole, some thous
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import math
 import random
 import re
 import zlib
@@ -218,15 +220,9 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
-_buckets: dict[str, int] = {}
-
-
+@functools.lru_cache(200_000)
 def _bucket(word: str) -> int:
-    if word not in _buckets:
-        if len(_buckets) > 200_000:
-            _buckets.clear()
-        _buckets[word] = zlib.crc32(word.encode("utf-8", "replace")) % WORD_BUCKETS
-    return _buckets[word]
+    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_BUCKETS
 
 
 def vectors(some: Sequence[Block], first: int, total: int) -> np.ndarray:
@@ -235,23 +231,28 @@ def vectors(some: Sequence[Block], first: int, total: int) -> np.ndarray:
     raw = b"".join(b.path.to_bytes(PATH_BITS // 8, "little") + b.own.to_bytes(OWN_BITS // 8, "little") for b in some)
     bits = np.frombuffer(raw, dtype=np.uint8).reshape(len(some), -1)
     out[:, : PATH_BITS + OWN_BITS] = np.unpackbits(bits, axis=1, bitorder="little")
+    codes: list[int] = []
+    sizes = []
     for i, b in enumerate(some):
-        words = b.text.split()
-        hashed = np.bincount([_bucket(w) for w in words], minlength=WORD_BUCKETS)
-        out[i, PATH_BITS + OWN_BITS : PATH_BITS + OWN_BITS + WORD_BUCKETS] = 0.3 * hashed / np.sqrt((hashed * hashed).sum())
-        n = len(b.text)
+        words, n, tail = b.text.split(), len(b.text), b.text[-200:]
+        codes += map(_bucket, words)
+        sizes.append(len(words))
         out[i, -COUNTS:] = (
-            np.log1p(n) / 8,
-            np.log1p(len(words)) / 6,
+            math.log1p(n) / 8,
+            math.log1p(len(words)) / 6,
             b.links / n,
-            b.text[-1] in ".!?…。",
+            tail[-1] in ".!?…。",
             min(1.0, b.text.count(",") / len(words)),
-            sum(map(str.isdigit, b.text[-200:])) / min(n, 200),
+            sum(map(tail.count, "0123456789")) / len(tail),
             b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
             (first + i) / total,
             1 - (first + i) / total,
-            np.log1p(b.depth) / 4,
+            math.log1p(b.depth) / 4,
         )
+    cells = np.repeat(np.arange(len(some)), sizes) * WORD_BUCKETS + np.array(codes, dtype=np.int64)
+    hashed = np.bincount(cells, minlength=len(some) * WORD_BUCKETS).reshape(len(some), WORD_BUCKETS)
+    norms = np.sqrt((hashed * hashed).sum(axis=1, keepdims=True))
+    out[:, PATH_BITS + OWN_BITS : PATH_BITS + OWN_BITS + WORD_BUCKETS] = 0.3 * hashed / norms
     return out
 
 
@@ -520,9 +521,12 @@ def examples(pages: Sequence[str], how: Training) -> list[tuple[np.ndarray, np.n
 def train(pages: DataFrame, how: Training = Training()) -> Network | None:
     """Network from a sample of the pages; None where no page has any block."""
     named = F.lower("html").rlike(r"<(article|main)[\s>]")
-    usable = pages.select("html", (~named).cast("int").alias("other"), F.xxhash64("html").alias("at")).filter(F.length("html").between(1, how.chars))
-    # the smallest hashes of whole texts: the same pages whatever the order of the table
-    sample = usable.orderBy("other", "at", "html").limit(how.pages).select("html").collect()
+    usable = pages.select("html", F.xxhash64("html").alias("at")).filter(F.length("html").between(1, how.chars))
+    # the smallest hashes of whole texts: the same pages whatever the order of the table, copies once; the texts
+    # themselves are read when their hashes are known, so that no more than the sample reaches the driver
+    hashes = usable.select((~named).cast("int").alias("other"), "at").distinct().orderBy("other", "at").limit(how.pages).collect()
+    chosen = usable.filter(F.col("at").isin([r["at"] for r in hashes])).groupBy("at").agg(F.min("html").alias("html"))
+    sample = sorted(chosen.collect(), key=lambda r: r["at"])
     found = examples([r.html for r in sample], how)
     return fit(found, how) if found else None
 
