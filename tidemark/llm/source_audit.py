@@ -37,9 +37,9 @@ TOP_TERMS = 10
 
 #: Bytes of texts and counts of chunks that a task sums at once, rows of its batches, cells of a task's matrix of
 #: terms by sources, and sources whose pairs one task adds up. They bound memory and change no result.
-TEXT_BYTES = 20 << 20
-COUNTS = 400_000
-BATCH_ROWS = 4000
+TEXT_BYTES = 12 << 20
+COUNTS = 300_000
+BATCH_ROWS = 2000
 CELLS = 1 << 16
 TILE = 512
 
@@ -139,6 +139,7 @@ def chunk_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
             if size >= most:
                 yield _summed_chunks(held, least)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if sum(len(b) for b in held):
             yield _summed_chunks(held, least)
 
@@ -236,6 +237,7 @@ def term_counts(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
             if size >= most:
                 yield _summed_terms(held, splitter, least)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if size:
             yield _summed_terms(held, splitter, least)
 
