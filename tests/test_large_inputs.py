@@ -2,17 +2,22 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from oracle import compare, connect
+
+from tidemark import plans
+from tidemark.operators import joins
 from tidemark.operators.clean import duplicate_rows
-from tidemark.operators.joins import keep_members, lookup_join, match_flag, with_group_rows
+from tidemark.operators.joins import join_renamed, keep_members, lookup_join, match_flag, with_group_rows
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.outliers import box_stats, histogram, iqr_bounds, outside_share
-from tidemark.operators.sizing import plan_bytes, source_bytes
+from tidemark.operators.sizing import distinct_bytes, plan_bytes, source_bytes
 from tidemark.sources.tables import small_table
 
 
@@ -170,6 +175,116 @@ def test_hot_keys_are_split_by_adaptive_execution(spark, how, share):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+GROUPED = {
+    "members": lambda fact, dim: keep_members(fact, dim, "k"),
+    "flag": lambda fact, dim: match_flag(fact, dim, "k"),
+    "repeats": lambda fact, dim: duplicate_rows(fact, ["k"], ["id"]),
+    "figures": lambda fact, dim: lookup_join(fact, dim.groupBy("k").agg(F.count("*").alias("n")), "k", "left", grouped=True),
+}
+
+
+@pytest.mark.parametrize("form", GROUPED)
+@pytest.mark.parametrize("share, partitions", [(2, 64), (250, 400)])
+def test_hot_keys_are_split_before_sides_grouped_by_the_key(spark, form, share, partitions):
+    """A key with half of the rows, and one with 0.4 % of them."""
+    fact = spark.range(0, 60_000, 1, 12).select("id", F.when(F.col("id") % share == 0, 1).otherwise(F.col("id") + 5).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    dim = spark.range(0, 30_000, 1, 4).select((F.col("id") * 2 + 1).alias("k"))
+    want = sorted(map(str, GROUPED[form](fact, dim).collect()))
+    for name, value in {**SPLIT, "spark.sql.shuffle.partitions": str(partitions)}.items():
+        spark.conf.set(name, value)
+    try:
+        joined = GROUPED[form](fact, dim)
+        assert "skew=true" in final_plan(joined)
+        assert sorted(map(str, joined.collect())) == want
+    finally:
+        for name in SPLIT:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+HOT_QUERIES = ("coord_semi", "coord_semi_pairs", "cashback_top_regions", "dup_rows", "dup_rows_exact", "bonus_effect", "plan_completion")
+
+
+@pytest.mark.parametrize("name", HOT_QUERIES)
+def test_queries_with_split_keys_match_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    for key, value in SPLIT.items():
+        spark.conf.set(key, value)
+    try:
+        got = plans.all_queries()[name](spark, folder).toArrow()
+    finally:
+        for key in SPLIT:
+            spark.conf.unset(key)
+    con = connect(folder)
+    assert compare(got, con.sql(plans.all_oracles()[name]).to_arrow_table()) == []
+    con.close()
+
+
+def test_few_group_figures_leave_the_rows_where_they_are(spark):
+    rows = spark.range(0, 300_000, 1, 8).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plans_of = {
+        "box": box_stats(rows, "v", ["g"]),
+        "outside": outside_share(rows, "v", rows.groupBy("g").agg(F.min("v").alias("lower"), F.max("v").alias("upper")), ["g"]),
+        "histogram": histogram(rows, "v", 5, ["g"]),
+    }
+    for name, df in plans_of.items():
+        plan = final_plan(df)
+        final = plan.split("Initial Plan")[0]
+        assert "BroadcastNestedLoopJoin" in final or "BroadcastHashJoin" in final, name
+        # what is exchanged by the group are partial aggregates, never the rows with their values
+        assert "SortMergeJoin" not in final, name
+        lines = final.splitlines()
+        for line, below in zip(lines, lines[1:]):
+            if re.search(r" Exchange hashpartitioning\(g#\d+L, \d+\)", line):
+                assert "HashAggregate" in below, (name, below)
+
+
+def test_many_group_figures_are_shuffled(spark, monkeypatch):
+    rows = spark.range(0, 5000, 1, 4).select(F.when(F.col("id") % 500 > 0, F.col("id") % 500).alias("g"), "id")
+    stats = rows.groupBy("g").agg(F.max("id").alias("top"))
+    want = sorted(map(str, with_group_rows(rows, stats, ["g"]).collect()))
+    assert len(want) == 5000
+    for limit, value in (("GROUP_ROWS", 20), ("GROUP_BYTES", 100)):
+        monkeypatch.setattr(joins, limit, value)
+        assert sorted(map(str, with_group_rows(rows, stats, ["g"]).collect())) == want
+        left = with_group_rows(rows, stats.filter("g > 250"), ["g"], "left")
+        assert left.count() == 5000 and left.filter("top IS NULL").count() == 2510
+        monkeypatch.undo()
+
+
+def test_distinct_values_are_bounded_by_the_table_they_come_from(spark):
+    a = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    b = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    joined = a.join(b, a.l_partkey == b.p_partkey).filter("l_quantity > 3")
+    size = a.select("l_tax")._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).stats().sizeInBytes()
+    part = b._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).stats().sizeInBytes()
+    one, two, both = joined.select(F.col("l_tax") * 2, (F.col("p_size") + 1).alias("s"), F.col("l_tax") * F.col("p_size")).transform(distinct_bytes)
+    assert (one, two, both) == (size, part, None)
+    assert plan_bytes(joined) > size + part
+    summed = joined.groupBy("p_size").agg(F.sum("l_tax").alias("t"))
+    assert distinct_bytes(summed.select("t")) == [part]
+    assert distinct_bytes(joined.groupBy("p_size", "l_tax").agg(F.max("l_quantity").alias("t")).select("t")) == [None]
+    assert distinct_bytes(joined.select(F.rand())) == [None]
+    assert distinct_bytes(a.select("l_tax").union(b.select("p_size"))) == [None]
+
+
+def test_missing_keys_match_on_request(spark):
+    left = spark.createDataFrame([(None, 1), (2, 2)], "a int, v int")
+    right = spark.createDataFrame([(None, "x"), (2, "y")], "b int, w string")
+    assert [r.w for r in join_renamed(left, right, "a", "b").orderBy("v").collect()] == [None, "y"]
+    assert [r.w for r in join_renamed(left, right, "a", "b", null_keys=True).orderBy("v").collect()] == ["x", "y"]
+
+
+def test_infinities_lie_in_no_bin(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double")
+    assert [(r["bin"], r.bin_lo, r.n) for r in histogram(df, "v", 3).orderBy("bin").collect()] == [(0, 0.0, 3), (1, 3.0, 3), (2, 6.0, 4)]
+
+
 def test_joins_reject_sides_they_cannot_keep(fact_and_dim):
     with pytest.raises(ValueError):
         lookup_join(*fact_and_dim, "k", "full_outer")

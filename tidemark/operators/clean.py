@@ -70,7 +70,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str])
     firsts = (
         rows.groupBy("_key").agg(F.min(whole).alias("_first"), F.sum("_n").alias("_rows")).filter("_rows > 1").drop("_rows")
     )
-    joined = lookup_join(rows, firsts, "_key")
+    joined = lookup_join(rows, firsts, "_key", grouped=True)
     # null cells make a plain comparison of rows unknown
     left = F.col("_n") - F.when(whole.eqNullSafe(F.col("_first")), 1).otherwise(0)
     copies = joined.withColumn("_left", left.cast("int")).filter("_left > 0")

@@ -100,7 +100,7 @@ def missing_child_share(
     per_parent = children.groupBy(F.col(child_key).alias(parent_key)).agg(
         F.count_if(F.col(attribute).isNull()).alias("_lacking")
     )
-    joined = lookup_join(parents.select(parent_key, group), per_parent, parent_key, "left")
+    joined = lookup_join(parents.select(parent_key, group), per_parent, parent_key, "left", grouped=True)
     return (
         joined.filter(F.col(group).isNotNull())
         .groupBy(group)

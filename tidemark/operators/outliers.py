@@ -7,7 +7,7 @@ from collections.abc import Collection, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import half_even
-from .joins import with_group_rows, with_one_row
+from .joins import join_groups, with_group_rows, with_one_row
 from .quantiles import quantiles
 
 
@@ -126,7 +126,7 @@ def histogram(
     frame = frame.withColumns(
         {"bin_lo": F.col("lo") + F.col("bin") * width, "bin_hi": F.col("lo") + (F.col("bin") + 1) * width}
     )
-    return with_group_rows(frame, counted, [*by, "bin"], "left").select(
+    return join_groups(frame, counted, [*by, "bin"], "left").select(
         *by, "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )
 

@@ -2,8 +2,8 @@
 
 Every way gives the same answers: missing values and NaN are left out, infinities are values like any
 other, and -0.0 is 0.0. Spark's percentile aggregates keep every distinct value of a group in one task,
-so they serve only inputs that Catalyst estimates to be small (the estimate of the derived input, not of
-its files). Small tables with a larger estimate, and columns of few values, are counted value by value
+so they serve only inputs that Catalyst estimates to be small, and columns whose values all come from one
+small table, whatever a join multiplies its rows to. Small tables with a larger estimate, and columns of few values, are counted value by value
 and sorted, which spills where an aggregate's map could not. Large tables are narrowed: rows are counted
 per coarse band of values, only values of the bands that hold a wanted rank are shuffled, and the ranks
 are followed through ever finer bands, so that no step needs more than a few thousand bands or values of
@@ -18,7 +18,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sizing import plan_bytes, small_limit, source_bytes
+from .sizing import distinct_bytes, plan_bytes, small_limit, source_bytes
 
 # alias -> (column, probability, "linear" or "disc")
 Spec = Mapping[str, tuple[str, float, str]]
@@ -44,8 +44,8 @@ def linear(column: str, p: float) -> Column:
 def quantiles(df: DataFrame, spec: Spec, by: Sequence[str] = (), strategy: str = "auto", few_values: bool = False) -> DataFrame:
     """One row (per group) with one column per entry of ``spec``; missing values and NaN are ignored.
 
-    ``auto`` takes Spark's percentile aggregates while the input is estimated to be small; else it counts
-    and sorts the values in one scan, if the tables read are small or the caller knows that the columns
+    ``auto`` takes Spark's percentile aggregates while the input is estimated to be small, or each column's
+    distinct values are bounded by one small table; else it counts and sorts the values in one scan, if the tables read are small or the caller knows that the columns
     have ``few_values``; else it narrows in two scans. ``"builtin"``, ``"counting"`` and ``"narrowing"``
     force a way; all give the same answers.
     """
@@ -58,7 +58,8 @@ def quantiles(df: DataFrame, spec: Spec, by: Sequence[str] = (), strategy: str =
     inner = {alias: (places[c], p, method) for alias, (c, p, method) in spec.items()}
     if strategy == "auto":
         limit = small_limit(df.sparkSession)
-        if plan_bytes(values) <= limit:
+        sizes = distinct_bytes(values.select(*places.values())) if plan_bytes(values) > limit else []
+        if all(size is not None and size <= limit for size in sizes):
             strategy = "builtin"
         else:
             strategy = "counting" if few_values or source_bytes(values) <= limit else "narrowing"
