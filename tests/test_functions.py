@@ -1,6 +1,7 @@
 """Rounding, dates, labels and probabilities on hand-made values."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,39 @@ def test_verdict_is_strict_and_unknown_cannot_reject(spark):
 def test_alternative_is_checked():
     with pytest.raises(ValueError):
         P.norm_p(F.lit(1.0), "larger")
+
+
+def test_gamma_tail_matches_reference_values(spark):
+    """Against sums in exact fractions: for whole a, Q(a, x) = exp(-x) * sum of x^k / k! below a."""
+    from fractions import Fraction
+
+    from tidemark.functions.probability import chi2_sf, norm_sf
+
+    cases = [(a, x) for a in (1, 2, 5, 30, 400) for x in (0.25, 1.0, 3.5, 8.0, 29.0, 31.5, 60.0, 380.0, 470.0, 700.0)]
+    df = spark.createDataFrame([(2.0 * a, 2.0 * x) for a, x in cases], "k double, x double")
+    for (a, x), row in zip(cases, df.select(chi2_sf("x", "k").alias("p")).collect()):
+        total, term = Fraction(0), Fraction(1)
+        for k in range(a):
+            total += term
+            term = term * Fraction(x) / (k + 1)
+        want = math.exp(math.log(total.numerator) - math.log(total.denominator) - x)
+        assert row.p == pytest.approx(want, rel=1e-9), (a, x)
+    odd = spark.createDataFrame([(0.3,), (1.0,), (4.0,), (25.0,), (100.0,), (400.0,)], "x double")
+    for row in odd.select(chi2_sf("x", F.lit(1)).alias("p"), (2 * norm_sf(F.sqrt("x"))).alias("q")).collect():
+        assert row.p == pytest.approx(row.q, rel=1e-9)
+    edge = spark.createDataFrame([(0.0, 3.0), (None, 3.0), (1.0, 0.0), (-1.0, 2.0)], "x double, k double")
+    assert [r.p for r in edge.select(chi2_sf("x", "k").alias("p")).collect()] == [1.0, None, None, 1.0]
+
+
+def test_solved_sizes_have_the_wanted_power(spark):
+    from tidemark.operators.experiment import detectable_effect, solve_arm_size, two_tailed_power
+
+    one = spark.range(1)
+    assert one.select(F.round(solve_arm_size(0.03), 2).alias("n")).first().n == 17441.91
+    for effect, alpha, power, ratio_b in ((0.03, 0.05, 0.8, 1.0), (0.5, 0.3, 0.35, 1.0), (-0.2, 0.01, 0.95, 3.0), (1.5, 0.05, 0.06, 0.5)):
+        n = F.lit(one.select(solve_arm_size(effect, alpha, power, ratio_b).alias("n")).first().n)
+        row = one.select(two_tailed_power(F.lit(effect), n, alpha, ratio_b).alias("p"), detectable_effect(n, alpha, power, ratio_b).alias("e")).first()
+        assert row.p == pytest.approx(power, abs=1e-10) and row.e == pytest.approx(abs(effect), rel=1e-9)
+    assert one.select(solve_arm_size(F.lit(0.0)).alias("n"), detectable_effect(F.lit(0)).alias("e")).first().n is None
+    with pytest.raises(ValueError):
+        solve_arm_size(0.1, 0.5, 0.4)

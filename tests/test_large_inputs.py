@@ -263,8 +263,8 @@ def test_distinct_values_are_bounded_by_the_table_they_come_from(spark):
     joined = a.join(b, a.l_partkey == b.p_partkey).filter("l_quantity > 3")
     size = a.select("l_tax")._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).stats().sizeInBytes()
     part = b._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).stats().sizeInBytes()
-    one, two, both = joined.select(F.col("l_tax") * 2, (F.col("p_size") + 1).alias("s"), F.col("l_tax") * F.col("p_size")).transform(distinct_bytes)
-    assert (one, two, both) == (size, part, None)
+    values = joined.select(F.col("l_tax") * 2, (F.col("p_size") + 1).alias("s"), F.col("l_tax") * F.col("p_size"))
+    assert distinct_bytes(values) == [size, part, None]
     assert plan_bytes(joined) > size + part
     summed = joined.groupBy("p_size").agg(F.sum("l_tax").alias("t"))
     assert distinct_bytes(summed.select("t")) == [part]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -358,3 +359,72 @@ def test_market_share(spark):
     assert A.market_share(spark.range(396749), {"a": 211_700_000, "b": 100_300_000}).select(
         F.round("a", 2), F.round("b", 2)
     ).first()[:] == (0.19, 0.4)
+
+
+def test_sketches_unite_and_intersect(spark, tmp_path):
+    from tidemark.operators import sketches as K
+    from tidemark.sources.tables import write_table
+
+    rows = spark.range(0, 60_000, 1, 6).select(
+        (F.col("id") * 7919 % 20_000).alias("user"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("d"),
+        F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("g"),
+    )
+    path = str(tmp_path / "sketches")
+    write_table(K.daily_sketches(rows.unionByName(rows.limit(50).withColumn("user", F.lit(None).cast("long"))), F.col("d"), "user", ["g"]), path, partition_by=("date",))
+    stored = spark.read.parquet(path)
+    bound = K.relative_error(sigmas=4)
+    exact = {r.g: r.n for r in rows.groupBy("g").agg(F.countDistinct("user").alias("n")).collect()}
+    got = {r.g: r.units for r in K.units_in_span(stored, ["g"]).collect()}
+    assert all(abs(got[g] - n) <= bound * n for g, n in exact.items())
+    # below the sketch's size counts are exact, in any span
+    first, last = dt.date(2024, 1, 3), dt.date(2024, 1, 6)
+    want = rows.filter(F.col("d").between(first, last)).select("user").distinct().count()
+    assert want < 2**K.LG_K and K.units_in_span(stored, (), first, last).first().units == want
+    assert K.units_in_span(stored, (), dt.date(2030, 1, 1)).first().units == 0
+    both = K.shared_units(stored, "g", "A", "B").first()
+    a, b = ({r.user for r in rows.filter(F.col("g") == x).collect()} for x in "AB")
+    assert both.units_both == pytest.approx(len(a & b), rel=4 * bound)
+    last_days = {(r["date"], r.g): r.last_3_days for r in K.running_units(stored, ["g"], 3).collect()}
+    day = dt.date(2024, 1, 10)
+    want = rows.filter((F.col("g") == "A") & F.col("d").between(day - dt.timedelta(2), day)).select("user").distinct().count()
+    assert last_days[day, "A"] == want
+
+
+def test_ratio_test(spark):
+    from tidemark.operators.experiment import ratio_test
+
+    rows = [(i, "A" if i % 10 < 6 else "B", "x") for i in range(1000)] + [(1, "A", "x")] * 50 + [(5000 + i, "C", "x") for i in range(9)] + [(7, "A", "y")]
+    df = spark.createDataFrame(rows, "u long, g string, s string")
+    one = ratio_test(df, "u", "g", {"A": 0.5, "B": 0.5}, ["s"]).collect()
+    by = {r.s: r for r in one}
+    assert (by["x"].units, by["x"].statistic, by["x"].verdict) == (1000, pytest.approx(40.0), "accept H1")
+    assert by["x"].p_value == pytest.approx(2.539629e-10, rel=1e-5)
+    assert (by["y"].units, by["y"].statistic) == (1, pytest.approx(1.0))
+    three = ratio_test(df, "u", "g", {"A": 6, "B": 4, "C": 0.09}).first()
+    assert three.df == 2 and three.units == 1010 and three.verdict == "cannot reject H0"
+    empty = ratio_test(df.limit(0), "u", "g", {"A": 1, "B": 1}).first()
+    assert (empty.units, empty.statistic is None or empty.statistic == 0, empty.verdict) == (0, True, "cannot reject H0")
+    with pytest.raises(ValueError):
+        ratio_test(df, "u", "g", {"A": 1})
+
+
+def test_density_matches_direct_sums(spark):
+    from tidemark.operators.outliers import density
+
+    rng = random.Random(4)
+    values = {"a": [rng.gauss(0, 1) for _ in range(400)] + [5.0] * 30, None: [rng.uniform(-3, 9) for _ in range(200)], "same": [2.0] * 9, "one": [1.0]}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("a", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = density(df, "v", 400, ["g"]).collect()
+    assert {r.g for r in got} == {"a", None} and len(got) == 800
+    for g in ("a", None):
+        curve = sorted((r.x, r.density) for r in got if r.g == g)
+        vs = values[g]
+        n, mean = len(vs), sum(vs) / len(vs)
+        h = math.sqrt(sum((v - mean) ** 2 for v in vs) / (n - 1)) * n**-0.2
+        for x, d in curve:
+            want = sum(math.exp(-(((x - v) / h) ** 2) / 2) for v in vs) / (n * h * math.sqrt(2 * math.pi))
+            assert d == pytest.approx(want, abs=2e-4)
+        area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(curve, curve[1:]))
+        assert area == pytest.approx(1, abs=5e-3)
+    assert density(df.limit(0), "v").count() == 0

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import half_even, ratio
-from ..functions.probability import norm_ppf
+from ..functions.probability import bound, chi2_sf, norm_ppf, norm_sf, verdict
 from .joins import align_groups, lookup_join
 from .summarize import share_of_total
 
@@ -36,6 +36,28 @@ def group_balance(df: DataFrame, unit: str, group: str, a: str, b: str, by: Sequ
     return both.withColumn("gap_percent", half_even(gap, 2))
 
 
+def ratio_test(df: DataFrame, unit: str, group: str, expected: Mapping[str, float], by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Sample ratio mismatch: chi-square test of the groups' distinct units against the expected shares.
+
+    ``expected`` gives each group's weight; groups that aren't named do not count, named ones without units
+    count as empty. One row (per ``by``): ``units``, ``statistic``, ``df``, ``p_value`` and ``verdict``, where
+    accepting H1 means that the split is not the expected one.
+    """
+    if len(expected) < 2 or min(expected.values()) <= 0:
+        raise ValueError("the ratio needs two groups or more with positive weights")
+    total = float(sum(expected.values()))
+    sizes = units_per_group(df.filter(F.col(group).isin(list(expected))), unit, group, by)
+    seen = {label: F.coalesce(F.sum(F.when(F.col(group) == label, F.col("units"))), F.lit(0)) for label in expected}
+    wide = sizes.groupBy(*by).agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), *[c.alias(f"_seen_{k}") for k, c in enumerate(seen.values())])
+    statistic = F.lit(0.0)
+    for k, weight in enumerate(expected.values()):
+        wanted = F.col("units").cast("double") * F.lit(weight / total)
+        statistic = statistic + F.try_divide((F.col(f"_seen_{k}").cast("double") - wanted) * (F.col(f"_seen_{k}").cast("double") - wanted), wanted)
+    out = wide.select(*by, "units", statistic.alias("statistic"), F.lit(len(expected) - 1).cast("long").alias("df"))
+    out = out.withColumn("p_value", chi2_sf("statistic", "df"))
+    return out.withColumn("verdict", verdict("p_value", alpha))
+
+
 def contaminated_units(df: DataFrame, unit: str, group: str) -> DataFrame:
     """Units seen in more than one group (two mergeable extremes per unit, no distinct sets)."""
     spread = df.groupBy(unit).agg(F.min(group).alias("first_group"), F.max(group).alias("last_group"))
@@ -91,6 +113,55 @@ def arm_size(effect: Column | float, alpha: float = 0.05, power: float = 0.8) ->
     return F.try_divide(F.lit(2 * z * z), e * e)
 
 
+_HALVINGS = 100
+
+
+def _root(f: Callable[[Column], Column], top: Column) -> Column:
+    """Where a growing function of a number in (0, top] reaches zero, by halving a bracket; for result rows."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+        above = f(middle) >= 0
+        return F.struct(F.when(above, s["lo"]).otherwise(middle).alias("lo"), F.when(above, middle).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), top.cast("double").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), start, halve, lambda s: s["hi"])
+
+
+def two_tailed_power(effect: Column, n_a: Column, alpha: float = 0.05, ratio_b: float = 1.0) -> Column:
+    """Power of a two-sided z-test of a standardised effect, with ``n_a`` and ``ratio_b * n_a`` units; both tails count."""
+    crit = norm_ppf(1 - alpha / 2)
+    shift = F.abs(effect) * F.sqrt(n_a * F.lit(ratio_b / (1 + ratio_b)))
+    return bound(lambda shift: norm_sf(F.lit(crit) - shift) + norm_sf(F.lit(crit) + shift), shift)
+
+
+def solve_arm_size(effect: Column | float, alpha: float = 0.05, power: float = 0.8, ratio_b: float = 1.0) -> Column:
+    """Units of the first arm at which the two-tailed power is reached; the second has ``ratio_b`` times as many.
+
+    A real number; NULL for no effect. Needs ``alpha < power``. The closed form of one tail bounds it from above.
+    """
+    _check_power(alpha, power, ratio_b)
+    e = effect if isinstance(effect, Column) else F.lit(float(effect))
+    z = norm_ppf(1 - alpha / 2) + norm_ppf(power)
+    top = F.try_divide(F.lit(z * z * (1 + 1 / ratio_b)), e * e)
+    solved = bound(lambda e, top: _root(lambda n: two_tailed_power(e, n, alpha, ratio_b) - F.lit(power), top), e, top)
+    return F.when(top.isNotNull(), solved)
+
+
+def detectable_effect(n_a: Column, alpha: float = 0.05, power: float = 0.8, ratio_b: float = 1.0) -> Column:
+    """Smallest standardised effect that ``n_a`` and ``ratio_b * n_a`` units show with the given power; NULL without units."""
+    _check_power(alpha, power, ratio_b)
+    z = norm_ppf(1 - alpha / 2) + norm_ppf(power)
+    top = F.sqrt(F.try_divide(F.lit(z * z * (1 + 1 / ratio_b)), n_a.cast("double")))
+    solved = bound(lambda n, top: _root(lambda e: two_tailed_power(e, n, alpha, ratio_b) - F.lit(power), top), n_a.cast("double"), top)
+    return F.when(n_a > 0, solved)
+
+
+def _check_power(alpha: float, power: float, ratio_b: float) -> None:
+    if not 0 < alpha < power < 1 or ratio_b <= 0:
+        raise ValueError("needs 0 < alpha < power < 1 and a positive ratio")
+
+
 def cohen_h(base: Column, lift: float) -> Column:
     """Standardised distance between a baseline share and the share ``lift`` above it."""
     angle = lambda p: 2 * F.asin(F.sqrt(p))

@@ -12,7 +12,7 @@ from ..functions.numeric import half_even, mean
 from ..operators.clean import duplicate_count, fill_missing, first_per_key
 from ..operators.inspect import describe
 from ..operators.joins import keep_members, with_one_row
-from ..operators.outliers import box_stats, histogram, pair_bins, pair_stats
+from ..operators.outliers import box_stats, density, histogram, pair_bins, pair_stats
 from ..operators.summarize import (
     distinct_values, market_share, ranked, share_of_total, top_k, units_by_category, value_counts,
 )
@@ -207,6 +207,10 @@ QUERIES = {
     "duration_box": lambda s, d: _rounded(box_stats(with_duration(S.trips(s, d)), "duration_min"), _BOX),
     "minute_cost_box": lambda s, d: _rounded(box_stats(S.trips(s, d), "minute_cost", ["transport_model"]), _BOX),
     "distance_histogram": lambda s, d: _rounded(histogram(S.trips(s, d), "distance_km", 50, hi=8), _EDGES),
+    "distance_density": lambda s, d: _rounded(density(S.trips(s, d), "distance_km", 120), ["x", "density"], 9),
+    "minute_cost_density": lambda s, d: _rounded(
+        density(S.trips(s, d), "minute_cost", 80, ["transport_model"]), ["x", "density"], 9
+    ),
     "minute_cost_histogram": lambda s, d: _rounded(
         histogram(S.trips(s, d), "minute_cost", 50, by=["transport_model"]), _EDGES
     ),
@@ -277,6 +281,21 @@ def _summary(table: str, columns: dict[str, str], points: Sequence[float]) -> st
     return "\n  UNION ALL ".join(parts)
 
 
+def _density(table: str, x: str, points: int, by: str = "") -> str:
+    """Direct sum over all rows: each is shared out between its two neighbours on the grid."""
+    key, group, on = (f"{by},", f"GROUP BY {by}", f"v.{by} = g.{by}") if by else ("", "", "TRUE")
+    return f"""
+  m AS (SELECT {key} count({x}) AS n, stddev_samp(CAST({x} AS DOUBLE)) * pow(count({x}), -0.2e0) AS h, min({x}) AS a, max({x}) AS b FROM {table} {group}),
+  g AS (SELECT *, a - 3 * h AS lo, (b - a + 6 * h) / {points - 1}e0 AS step FROM m WHERE h > 0),
+  d AS (SELECT g.*, floor((v.{x} - lo) / step) AS k, (v.{x} - lo) / step - floor((v.{x} - lo) / step) AS f
+        FROM {table} AS v JOIN g ON {on} WHERE v.{x} IS NOT NULL),
+  p AS (SELECT * FROM d, range({points}) AS r(i))
+  SELECT {key} CAST(i AS INTEGER) AS point, round_even(max(lo) + i * max(step), 9) AS x,
+         round_even(sum((1 - f) * exp(-pow((i - k) * step / h, 2) / 2) + f * exp(-pow((i - k - 1) * step / h, 2) / 2))
+                    / (max(n) * max(h) * sqrt(2 * pi())), 9) AS density
+  FROM p GROUP BY {key} i"""
+
+
 def _box(table: str, x: str, by: str = "") -> str:
     key, on = (f"{by},", f"b.{by} = v.{by}") if by else ("", "TRUE")
     group = f"GROUP BY {by}" if by else ""
@@ -364,6 +383,8 @@ ORACLE = {
     "duration_box": _RIDES + "," + _box("t", "duration_min"),
     "minute_cost_box": _RIDES + "," + _box("t", "minute_cost", "transport_model"),
     "distance_histogram": _RIDES + "," + _hist("t", "distance_km", 50, hi="8"),
+    "distance_density": _RIDES + "," + _density("t", "distance_km", 120),
+    "minute_cost_density": _RIDES + "," + _density("t", "minute_cost", 80, "transport_model"),
     "minute_cost_histogram": _RIDES + "," + _hist("t", "minute_cost", 50, by="transport_model"),
     "cashback_share": """
   WITH c AS (SELECT l_discount > 0 AS has_cashback, count(*) AS n FROM lineitem GROUP BY 1)
