@@ -86,3 +86,41 @@ def test_late_rows_are_counted(spark, tmp_path):
     query.awaitTermination()
     assert M.late_rows(query) > 0
     assert spark.read.parquet(str(tmp_path / "out")).filter("dayofmonth(date) < 4").count() == 0
+
+
+def test_first_seen_survives_restarts_and_counts_units_once(spark, tmp_path):
+    from tidemark.streaming import units as U
+
+    rows = [(u, f"2024-01-{d:02d} 10:00:00", "AB"[u % 2]) for d in range(1, 30) for u in range(d % 5, 40, 3)]
+    rows += [(7, "2024-01-15 12:00:00", "A"), (None, "2024-01-15 12:00:00", "A"), (8, "2024-01-15 12:00:00", None)]
+    df = spark.createDataFrame(rows, "user long, t string, g string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    seen = U.replayed(df, "t", "user", "g", ((1, 10), (11, 20), (21, 31)), "2 days")
+    assert seen.count() < len(rows) * 0.9
+    got = U.contamination(seen, "user", "g").first()
+    assert (got.units, got.mixed_units) == (len({r[0] for r in rows if r[0] is not None}), 1)
+    times = {}
+    for r in seen.collect():
+        times.setdefault(r.user, []).append(str(r.seen_at))
+    assert all(min(ts) in {t for v, t, _ in rows if v == u and t < "2024-01-11"} for u, ts in times.items())
+
+
+def test_state_expires_and_repeats_do_not_count_twice(spark):
+    from tidemark.streaming import units as U
+
+    rows = [(1, f"2024-01-{d:02d} 00:00:00", "A") for d in (1, 2, 12, 13, 25)] + [(2, f"2024-01-{d:02d} 00:00:00", "B") for d in range(1, 29)]
+    df = spark.createDataFrame(rows, "user long, t string, g string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    seen = U.replayed(df, "t", "user", "g", ((1, 5), (6, 15), (16, 31)), "1 day")
+    times = sorted(str(r.seen_at)[8:10] for r in seen.filter("user = 1").collect())
+    assert times[0] == "01" and len(times) == 3  # state was gone before the 12th and the 25th
+    assert U.balance_so_far(seen, "user", "g").first().units_a == 1
+
+
+@pytest.mark.parametrize("name", ["stream_contamination", "stream_balance"])
+def test_registered_streams_match_sql(spark, name):
+    from oracle import compare, connect
+
+    from tidemark.streaming import units as U
+
+    con = connect("/root/testdata/sf0.01")
+    got = U.QUERIES[name](spark, "/root/testdata/sf0.01").toArrow()
+    assert compare(got, con.sql(U.ORACLE[name]).to_arrow_table()) == []

@@ -9,6 +9,7 @@ from ..operators import experiment as X, hypothesis as H
 from ..operators.inspect import table_profile
 from ..operators.summarize import ranked, share_of_total, units_by_category
 from ..operators.trend import cumulative_daily, cumulative_units
+from ..sources.tables import accepted, parse_lines, reject_summary, rejected
 from . import standins as S
 from .sqltext import normal_two_sided
 
@@ -64,7 +65,17 @@ def _enrolled(fact):
     return lambda s, d: (fact(s, d), S.participants(s, d), S.SHOP_TEST)
 
 
+def customer_file(lines: DataFrame) -> DataFrame:
+    """The customers' file with its broken lines told apart."""
+    return parse_lines(lines, "line", S.CUSTOMER_FILE, header="user_id,region,revenue,seen")
+
+
 QUERIES = {
+    "csv_rejects": lambda s, d: reject_summary(customer_file(S.customer_lines(s, d))),
+    "csv_accepted": lambda s, d: accepted(customer_file(S.customer_lines(s, d))),
+    "csv_broken_lines": lambda s, d: rejected(customer_file(S.customer_lines(s, d))).groupBy("_reason").agg(
+        F.count("*").alias("rows"), F.min("_line").alias("first_line")
+    ),
     "ab_profile": lambda s, d: table_profile(S.new_users(s, d)),
     "ab_participants": lambda s, d: participants_per_test(S.participants(s, d)),
     "ab_group_balance": lambda s, d: balance(S.participants(s, d)),
@@ -107,7 +118,21 @@ def _daily(source: str, date: str) -> str:
     )
 
 
+_FILE = """
+  WITH c AS (SELECT c_custkey % 40 AS kind, c_custkey AS user_id, c_mktsegment || ', "' || c_nationkey || '"' AS region, c_acctbal AS revenue,
+                    DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS seen FROM customer)"""
+_REASONS = ["bad value: seen", "too few fields", "too many fields", "open quote", "bad value: user_id"]
+_REASON = "CASE kind " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(_REASONS, 1)) + " ELSE 'accepted' END"
+
 ORACLE = {
+    "csv_rejects": _FILE + f" SELECT {_REASON} AS reason, count(*) AS rows FROM c GROUP BY 1",
+    "csv_accepted": _FILE + " SELECT * EXCLUDE (kind) FROM c WHERE kind NOT BETWEEN 1 AND 5",
+    "csv_broken_lines": _FILE + f""",
+  l AS (SELECT {_REASON} AS _reason, '"' || CASE kind WHEN 4 THEN '"' ELSE '' END || CASE kind WHEN 5 THEN 'x1' ELSE CAST(user_id AS VARCHAR) END
+          || '","' || replace(region, '"', '""') || '","' || revenue || CASE kind WHEN 2 THEN '"' ELSE '","'
+          || CASE kind WHEN 1 THEN '2024-02-31' ELSE CAST(seen AS VARCHAR) END || '"' END || CASE kind WHEN 3 THEN ',more' ELSE '' END AS _line
+        FROM c WHERE kind BETWEEN 1 AND 5)
+  SELECT _reason, count(*) AS rows, min(_line) AS first_line FROM l GROUP BY 1""",
     "ab_profile": _BASE
     + """
   SELECT column_name, non_null, nulls, distinct_values, type_name FROM (

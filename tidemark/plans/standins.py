@@ -150,6 +150,29 @@ def participants(spark: SparkSession, folder: str) -> DataFrame:
     return first.unionByName(second).distinct()
 
 
+CUSTOMER_FILE = "user_id bigint, region string, revenue double, seen date"
+
+
+def customer_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as lines of a CSV file, some of them broken, with the file's header and blank lines between."""
+    row = F.struct(
+        F.col("c_custkey").alias("user_id"), F.concat(F.col("c_mktsegment"), F.lit(", \""), F.col("c_nationkey"), F.lit('"')).alias("region"),
+        F.col("c_acctbal").alias("revenue"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("c_custkey", F.lit(300)).cast("int")).alias("seen"),
+    )
+    sound = F.to_csv(row, {"escape": '"', "quoteAll": "true"})
+    kind = F.pmod("c_custkey", F.lit(40))
+    line = (
+        F.when(kind == 1, F.regexp_replace(sound, r'"[^"]*"$', '"2024-02-31"'))
+        .when(kind == 2, F.regexp_replace(sound, r',"[^"]*"$', ""))
+        .when(kind == 3, F.concat(sound, F.lit(",more")))
+        .when(kind == 4, F.concat(F.lit('"'), sound))
+        .when(kind == 5, F.regexp_replace(sound, '^"[^"]*"', '"x1"'))
+        .otherwise(sound)
+    )
+    more = F.when(kind == 0, F.array(F.lit("user_id,region,revenue,seen"), F.lit("  "), line)).otherwise(F.array(line))
+    return load(spark, folder, "customer").select(F.explode(more).alias("line"))
+
+
 def new_users(spark: SparkSession, folder: str) -> DataFrame:
     seen = load(spark, folder, "events").groupBy("user_id").agg(F.min(day("ts")).alias("first_date"))
     people = _rows(spark, folder, "customer", user_id="c_custkey", nation="c_nationkey", device="c_mktsegment")
