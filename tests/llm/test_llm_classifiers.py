@@ -210,3 +210,18 @@ def test_longest_rule_wins_and_viterbi_is_optimal(spark):
             return [[]] if not t else [[t[:k], *rest] for k in range(1, len(t) + 1) for rest in splits(t[k:])]
 
         assert price(url_filter.best_split(text, parts, -9.0)) == pytest.approx(max(map(price, splits(text))))
+
+
+def test_every_language_of_the_table_can_be_learned(spark):
+    """More languages than a fixed limit would keep, the rarest with one document."""
+    rows = [(i, f"word{i % 230} text of it", f"l{i % 230:03d}") for i in range(460)] + [(999, "only one here", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = language_id.Training(sample_per_language=3, cuts=1, epochs=0)
+    _, languages = language_id.labelled_sample(docs, F.lit(True), language_id.Shape(), training, text="text", lang="lang", doc_id="doc_id")
+    assert len(set(languages)) == 231 and "rare" in languages
+
+
+def test_empty_tables_of_the_classifiers(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, extra int")
+    assert language_id.train(none, F.lit(True)) is None
+    assert none.select(language_id.predict(F.col("text"), None).alias("p")).collect() == []

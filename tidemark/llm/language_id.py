@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UNKNOWN = "und"
 
 
@@ -190,26 +192,29 @@ def labelled_sample(docs: DataFrame, may_learn: Column, shape: Shape, training:
     """Pieces of text and their languages, a bounded number for each language.
 
     The choice is by hash of the doc_id, at a rate that follows from the number of documents of each language, so
-    no language is left out and one pass over the texts is enough.
+    no language is left out, however many there are, and one more pass over the texts is enough. The sample on the
+    driver and the network's last layer grow with the number of languages, and with nothing else.
     """
     labelled = docs.where(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(200).collect()}
-    if not sizes:
+    sizes = stored(labelled.groupBy(F.col(lang).alias("y")).agg(F.count("*").alias("n")), "languages")
+    languages = sizes.count()
+    if not languages:
         return [], []
-    steps = 1_000_000
-    rate = F.lit(0)
-    for name, n in sizes.items():
-        rate = F.when(F.col(lang) == name, F.lit(min(steps, training.sample_per_language * steps // n + 1))).otherwise(rate)
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(steps)) < rate)
     pieces = []
     for k in range(training.cuts):
         room = F.greatest(F.length(text) - shape.window, F.lit(0)) + 1
         at = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(k)), room) + 1
         pieces.append(F.substring(F.col(text), at.cast("int"), F.lit(shape.window)))
+    steps = 1_000_000
+    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(steps))
+    rate = F.least(F.lit(steps), F.floor(F.lit(training.sample_per_language * steps) / F.col("n")) + 1)
+    cut = labelled.select(F.col(lang).alias("y"), place.alias("place"), F.array(*pieces).alias("pieces"))
     rows = (
-        chosen.select(F.col(lang).alias("y"), F.explode(F.array(*pieces)).alias("x"))
+        cut.join(sizes, "y")
+        .where(F.col("place") < rate)
+        .select("y", F.explode("pieces").alias("x"))
         .where(F.col("x").rlike(r"\p{L}"))
-        .limit(2 * training.cuts * training.sample_per_language * len(sizes))
+        .limit(2 * training.cuts * training.sample_per_language * languages)
         .toPandas()
         .sort_values(["y", "x"])
     )
@@ -225,7 +230,9 @@ def train(docs: DataFrame, may_learn: Column, shape: Shape = Shape(), training:
 def predict(text: Column, net: Network | None) -> Column:
     """Struct of lang_pred and score for every whole text.
 
-    Null, empty and letterless texts, and all texts without a network, are `und` with score 0. Only the text is looked at.
+    Null, empty and letterless texts, and all texts without a network, are `und` with score 0. Only the text is looked at:
+    repeated rows get the same answer, other columns and their names don't matter. Of equal scores the language that comes
+    first by name wins. Very long texts are read whole, some windows at a time.
     """
 
     @F.pandas_udf("lang_pred string, score double")
