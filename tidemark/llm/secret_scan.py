@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.probability import bound
+
 from .common import fresh
 
 #: Characters the models tell apart; all others are one further symbol (fixed value).
@@ -39,7 +41,7 @@ class Model:
 
 @dataclass(frozen=True)
 class Limits:
-    """A string of at least min_length characters with a letter and a digit is a secret if its log-likelihood ratio is at
+    """A string of at least min_length characters with a letter is a secret if its log-likelihood ratio is at
     least min_total, and at least min_mean for each transition."""
 
     min_length: int = 16
@@ -48,8 +50,8 @@ class Limits:
 
 
 def candidate_pattern(limits: Limits) -> str:
-    """Whole runs of the alphabet with a digit and a letter."""
-    return rf"(?<![{_INSIDE}])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{_INSIDE}]{{{limits.min_length},}}+"
+    """Whole runs of the alphabet with a letter; what they are made of otherwise is for the models to judge."""
+    return rf"(?<![{_INSIDE}])(?=[0-9+/_=-]*+[A-Za-z])[{_INSIDE}]{{{limits.min_length},}}+"
 
 
 def _codes(token: Column) -> Column:
@@ -77,11 +79,30 @@ def _spans(text: Column, pattern: str, kind: str, keep: Callable[[Column], Colum
         span = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"), kept.alias("kept"))
         # the last part is the text behind the last match
         return F.struct(
-            F.coalesce(end, state["at"]).alias("at"),
+            F.coalesce(end, begin).alias("at"),
             F.when(part["m"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(span))).alias("found"),
         )
 
-    every = F.aggregate(parts, start, step, lambda s: s["found"])
+    # A growing list is copied at every step. With n matches, lists of sqrt(n) are grown side by side from 0 on, and
+    # moved to their places afterwards: the work is n * sqrt(n) where one list would take n * n.
+    def places(parts: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        runs = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / wide).cast("int")), lambda k: F.aggregate(F.slice(parts, k * wide + 1, wide), start, step)
+        )
+        return bound(moved, runs)
+
+    def moved(runs: Column) -> Column:
+        origin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            runs, origin,
+            lambda s, run: F.struct((s["at"] + run["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
+            lambda s: s["starts"],
+        )
+        shift = lambda span, by: F.struct((span["start"] + by).alias("start"), span["order"], (span["end"] + by).alias("end"), span["kept"])
+        return F.flatten(F.zip_with(runs, starts, lambda run, by: F.transform(run["found"], lambda span: shift(span, by))))
+
+    every = bound(places, parts)
     kept = F.transform(F.filter(every, lambda s: s["kept"]), lambda s: F.struct(s["start"], s["order"], s["end"]))
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,order:int,end:int>>"))
 
@@ -181,10 +202,26 @@ def find(docs: DataFrame, model: Model, limits: Limits = Limits(), *, text: str
 
     found = docs.withColumn(base, base_spans(F.col(text)))
     random = _spans(F.coalesce(F.col(text), F.lit("")), candidate_pattern(limits), "markov", secret)
-    return found.withColumn(
-        extra,
-        F.filter(random, lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-    )
+    return found.withColumn(extra, bound(_clear_of, random, F.col(base), F.length(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _clear_of(spans: Column, others: Column, length: Column) -> Column:
+    """The spans that overlap none of the others. The text is cut into about as many stretches as the square root of the
+    others' number, and a span is held against those of its own stretches only."""
+
+    def kept(spans: Column, others: Column, wide: Column, count: Column) -> Column:
+        near = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda k: F.filter(others, lambda b: (b["start"] < (k + 1) * wide) & (b["end"] > k * wide))
+        )
+        return bound(lambda spans, wide, near: F.filter(spans, lambda s: ~hit(s, wide, near)), spans, wide, near)
+
+    def hit(s: Column, wide: Column, near: Column) -> Column:
+        first, last = F.floor(s["start"] / wide).cast("int"), F.floor((s["end"] - 1) / wide).cast("int")
+        return F.exists(F.slice(near, first + 1, last - first + 1), lambda some: F.exists(some, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    count = F.greatest(F.ceil(F.sqrt(F.size(others))), F.lit(1)).cast("int")
+    wide = F.floor(length / count).cast("int") + 1
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(bound(kept, spans, others, wide, count))
 
 
 def spans_text(spans: Column) -> Column:
