@@ -145,3 +145,60 @@ def test_bounds_of_the_join():
     assert choose_boundary({}, Settings()) == 0
     assert choose_boundary({n: 1000 for n in range(1, 9)}, Settings(scan_cost=100)) > choose_boundary({n: 1000 for n in range(1, 9)}, Settings(scan_cost=0.01))
     assert ngram_join.sizes_linked_to(4, 75) == range(3, 6)
+
+
+def near_misses(n, common=84, own=16):
+    """Documents that share a passage, each two of them just below the threshold."""
+    shared = [f"s{k}" for k in range(common)]
+    return [(i, " ".join(shared + [f"d{i}w{k}" for k in range(own)])) for i in range(n)]
+
+
+def test_near_misses_make_rows_for_documents_not_for_pairs(spark, monkeypatch):
+    rows = near_misses(300)
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows[:2]]
+    share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert 0.7 < share < 0.75
+    written = {}
+    real = ngram_join.stored
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i) for i, _ in rows}
+    assert written["near-members"] >= 300 and written["rest-links"] == 0
+    # lists are as many as shared shingles; no table grows with the pairs (44,850)
+    assert written["near-members"] <= 300 * 30 and written["near"] <= 300 * 30 and written["sets"] <= 600
+
+
+@pytest.mark.parametrize("block, block_bytes", [(1024, 16 << 20), (7, 16 << 20), (1024, 4000)])
+def test_links_among_near_misses_are_found(spark, block, block_bytes):
+    rows = near_misses(60)
+    rows += [(100 + i, f"{t} tail") for i, t in rows[:20]]
+    rows += [(200 + i, t.replace("s0 ", f"z{i} ").replace("s83", f"y{i}")) for i, t in rows[20:30]]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Settings(block=block, block_bytes=block_bytes)).collect()}
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    want = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                    want[a] = want[b] = min(want[a], want[b])
+                    changed = True
+    assert got == want
+
+
+def test_intersections_by_columns(monkeypatch):
+    rng = random.Random(8)
+    sets = [np.array(sorted(rng.sample(range(90), rng.randrange(0, 40))), dtype=np.uint64) for _ in range(30)] + [np.array([10**15], dtype=np.uint64)]
+    monkeypatch.setattr(ngram_join, "_COLUMNS", 16)
+    got = ngram_join._common(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(set(x.tolist()) & set(y.tolist()))

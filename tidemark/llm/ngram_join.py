@@ -21,7 +21,8 @@ class Settings:
     """Two sets link if 100 * intersection >= percent * union.
 
     hot_list bounds the broadcast list of frequent shingles. The list only orders shingles: whichever are on it, the
-    join finds the same links. A list of documents longer than `block` is compared block by block.
+    join finds the same links. A list of more than `block` documents, or whose sets may take more than `block_bytes`, is
+    compared block by block.
     """
 
     words: int = 5
@@ -32,6 +33,7 @@ class Settings:
     hot_count: int = 16
     tally: int = 2_000_000
     block: int = 1024
+    block_bytes: int = 16 << 20
     max_broadcast_rows: int = 500_000
 
 
@@ -256,10 +258,9 @@ def _may_link(sizes: np.ndarray, differing: np.ndarray, percent: int) -> np.ndar
     return differing * (100 + percent) <= sizes * (100 - percent)
 
 
-def verified(near: DataFrame, docs: DataFrame, profiled: DataFrame, s: Settings, *, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; only the sets in pairs are made again from their texts."""
-    near = stored(near, "near")
-    wanted = near.select(F.col("a").alias("_w")).union(near.select(F.col("b").alias("_w"))).distinct()
+def sets_of(keys: DataFrame, docs: DataFrame, profiled: DataFrame, s: Settings, *, doc_id: str, text: str) -> DataFrame:
+    """The whole sets (key, tokens) of the given keys, made again from the text of one document each."""
+    wanted = keys.select(F.col("key").alias("_w")).distinct()
     owners = (
         profiled.where(F.col("n") > 0).join(wanted, F.col("key") == F.col("_w"), "left_semi")
         .groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o"))
@@ -277,7 +278,13 @@ def verified(near: DataFrame, docs: DataFrame, profiled: DataFrame, s: Settings,
     given = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k"), F.col(text).alias("text"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_text_key"))
     chosen = given.join(F.broadcast(owners) if small else owners, same, "left_semi").select("text")
-    made = stored(chosen.mapInPandas(sets, "key long, tokens binary"), "sets").dropDuplicates(["key"])
+    return stored(chosen.mapInPandas(sets, "key long, tokens binary"), "sets").dropDuplicates(["key"])
+
+
+def verified(near: DataFrame, docs: DataFrame, profiled: DataFrame, s: Settings, *, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; only the sets in pairs are made again from their texts."""
+    near = stored(near, "near")
+    made = sets_of(near.select(F.col("a").alias("key")).union(near.select("b")), docs, profiled, s, doc_id=doc_id, text=text)
     percent = s.percent
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,22 +301,29 @@ def verified(near: DataFrame, docs: DataFrame, profiled: DataFrame, s: Settings,
     return stored(near.join(left, "a").join(right, "b").mapInPandas(linked, "a long, b long"), "links")
 
 
-def rest_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of each list whose members aren't in one component yet and whose parities don't rule a link out.
+def rest_links(
+    lists: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, profiled: DataFrame, s: Settings, *, doc_id: str, text: str
+) -> DataFrame:
+    """Links (a, b) between members of a list that aren't in one component yet, enough of them to join what links.
 
-    A list comes as one row, a longer one as a row for each two of its blocks, and is compared within that row, so no
-    pair becomes a row that isn't near.
+    A list comes as one group, a longer one as a group for each two of its blocks. First the parities tell which
+    members may link at all with one of another component; only their whole sets come to the group, which compares
+    them and hands on the links that join two components of its own. So rows follow the members, however many pairs
+    of them come close without a link.
     """
     known = labels.select(F.col("key").alias("_key"), "component")
-    rows = lists.join(known, F.col("key") == F.col("_key"), "left").select("token", "key", "size", F.coalesce("component", "key").alias("component"))
+    rows = lists.join(known, F.col("key") == F.col("_key"), "left").select("token", "key", "n", "size", F.coalesce("component", "key").alias("component"))
     rows = stored(rows, "labelled")
     mixed = (
-        rows.groupBy(F.col("token").alias("_token")).agg(F.min("component").alias("_c0"), F.max("component").alias("_c1")).where(F.col("_c0") != F.col("_c1"))
+        rows.groupBy(F.col("token").alias("_token"))
+        .agg(F.min("component").alias("_c0"), F.max("component").alias("_c1"), F.max("n").alias("_most"))
+        .where(F.col("_c0") != F.col("_c1"))
     )
-    blocks = F.greatest(F.ceil(F.col("size") / s.block), F.lit(1)).cast("int")
+    by_size, by_bytes = F.ceil(F.col("size") / s.block), F.ceil(F.col("size") * F.col("_most") * 8 / s.block_bytes)
+    blocks = F.least(F.greatest(by_size, by_bytes, F.lit(1)), F.col("size")).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")
     dealt = (
-        rows.join(mixed, F.col("token") == F.col("_token"), "left_semi")
+        rows.join(mixed, F.col("token") == F.col("_token"))
         .withColumn("_blocks", blocks)
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -321,32 +335,41 @@ def rest_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, s: Setti
         .groupBy("token", "i", "j")
         .agg(F.collect_list(F.struct("key", "component", "n", "bits")).alias("members"))
         .where(F.size("members") > 1)
-        .select("members")
     )
     percent = s.percent
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = set()
-            for members in batch["members"]:
-                found |= _cross_pairs(members, percent)
-            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            for token, i, j, members in zip(batch["token"], batch["i"], batch["j"], batch["members"]):
+                found = _near_members(members, percent)
+                if found:
+                    yield pd.DataFrame({"token": token, "i": i, "j": j, "key": [m["key"] for m in found], "component": [m["component"] for m in found]})
+
+    near = stored(groups.mapInPandas(may_link, "token long, i int, j int, key long, component long"), "near-members")
+    made = sets_of(near, docs, profiled, s, doc_id=doc_id, text=text).withColumnRenamed("key", "_key")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(t, dtype=np.uint64) for t in group["tokens"]]
+        found = _joining_links(group["key"].to_numpy(), group["component"].to_numpy(), sets, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return groups.mapInPandas(compared, "a long, b long").distinct()
+    with_sets = near.join(made, F.col("key") == F.col("_key")).select("token", "i", "j", "key", "component", "tokens")
+    return stored(with_sets.groupBy("token", "i", "j").applyInPandas(compared, "a long, b long").distinct(), "rest-links")
 
 
-def _cross_pairs(members: list, percent: int) -> set[tuple[int, int]]:
-    """Near pairs of different components among the members, by size, each against those of fitting size behind it."""
+def _near_members(members: list, percent: int) -> list:
+    """The members whose parities don't rule out a link with a member of another component."""
     members = sorted(members, key=lambda m: m["n"])
-    keys = [m["key"] for m in members]
     sizes = np.array([m["n"] for m in members], dtype=np.int64)
     parts = np.array([m["component"] for m in members], dtype=np.int64)
-    found = set()
     raw = [np.frombuffer(m["bits"], dtype=np.uint8) for m in members]
     lengths = np.array([len(r) for r in raw])
+    found = np.zeros(len(members), dtype=bool)
     for i in range(len(members) - 1):
         top = int(np.searchsorted(sizes, 100 * sizes[i] // percent, side="right"))
         other = np.flatnonzero(parts[i + 1 : top] != parts[i]) + i + 1
+        if found[i]:
+            other = other[~found[other]]  # what is known already needs no other witness
         if len(other) < 4:
             near = [j for j in other if _may_link(sizes[i] + sizes[j], np.int64(parity_distance(members[i]["bits"], members[j]["bits"])), percent)]
         else:
@@ -359,7 +382,48 @@ def _cross_pairs(members: list, percent: int) -> set[tuple[int, int]]:
                     table = np.bitwise_xor.reduce(table.reshape(len(those), -1, len(mine)), axis=1)
                 differing = np.bitwise_count(table ^ mine).sum(axis=1, dtype=np.int64)
                 near += those[_may_link(sizes[i] + sizes[those], differing, percent)].tolist()
-        found |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in near}
+        if len(near):
+            found[i] = True
+            found[near] = True
+    return [m for m, hit in zip(members, found) if hit]
+
+
+#: Shared shingles that a matrix of members holds at once.
+_COLUMNS = 2048
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets. Shingles of one set only are left out; the others are columns of a
+    matrix of zeros and ones, some at a time, whose products add up (exactly: counts stay far below 2^24)."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + _COLUMNS])
+        rows, places = np.unique(owner[lo:hi], return_inverse=True)
+        table = np.zeros((len(rows), _COLUMNS), dtype=np.float32)
+        table[places, column[lo:hi] - first] = 1
+        out[np.ix_(rows, rows)] += table @ table.T
+    return out
+
+
+def _joining_links(keys: np.ndarray, components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs that join two components of the group, until no link is left between components."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    common = _common(sets)
+    parts = np.unique(components, return_inverse=True)[1]
+    found = []
+    for i in range(len(sets) - 1):
+        both = common[i, i + 1 :].astype(np.int64)
+        linked = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)) + i + 1
+        for j in linked:
+            if parts[j] != parts[i]:
+                parts[parts == parts[j]] = parts[i]
+                found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
     return found
 
 
@@ -409,7 +473,7 @@ def join(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", t
     heavy = verified(near_pairs(star_pairs(lists, s), classes, s), docs, profiled, s, doc_id=doc_id, text=text)
     links = light.union(heavy)
     labels = stored(components(links), "labels")
-    rest = verified(rest_pairs(lists, labels, classes, s), docs, profiled, s, doc_id=doc_id, text=text)
+    rest = rest_links(lists, labels, classes, docs, profiled, s, doc_id=doc_id, text=text)
     if not rest.isEmpty():
         labels = stored(components(labels.select(F.col("key").alias("a"), F.col("component").alias("b")).union(rest)), "labels")
     named = classes.select("key", "smallest").join(labels.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
