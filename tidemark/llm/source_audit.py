@@ -37,8 +37,8 @@ TOP_TERMS = 10
 
 #: Bytes of texts and counts of chunks that a task sums at once, rows of its batches, cells of a task's matrix of
 #: terms by sources, and sources whose pairs one task adds up. They bound memory and change no result.
-TEXT_BYTES = 12 << 20
-COUNTS = 300_000
+TEXT_BYTES = 16 << 20
+COUNTS = 200_000
 BATCH_ROWS = 2000
 CELLS = 1 << 16
 TILE = 512
