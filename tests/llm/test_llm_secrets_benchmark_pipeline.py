@@ -202,6 +202,93 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 1 and decontaminate.clean(docs, bench).count() == 0
 
 
+def brute_matches(docs, bench, limits):
+    """All offsets, windows and slots in plain Python, over the token lists of both texts."""
+    held, mark = set(), decontaminate.MARK
+    for d, (doc_named, doc_words, doc_raw) in docs.items():
+        for i, (named, words, raw) in bench.items():
+            n = len(named)
+            if n < limits.min_tokens:
+                continue
+            size = min(n, limits.window)
+            starts = list(range(n - size + 1))
+            plain = lambda tokens: sum(not t.startswith(mark) for t in tokens)
+            tell = lambda tokens: [p for p in starts if plain(tokens[p : p + size]) >= min(limits.min_plain, size)] or starts
+            told, told_words = set(tell(named)), set(tell(words))
+            n_named, n_words, run = set(), set(), False
+            for off in range(-n + 1, len(doc_named)):
+                at = lambda tokens, p: tokens[p + off] if 0 <= p + off < len(tokens) else None
+                eq = lambda mine, theirs, p: all(mine[q] == at(theirs, q) for q in range(p, p + size))
+                found = [p for p in starts if eq(named, doc_named, p) or eq(words, doc_words, p)]
+                slots = {q: (named[q], raw[q], at(doc_raw, q)) for p in found for q in range(p, p + size) if named[q].startswith(mark)}
+                odd = {
+                    q for q, (k, a, b) in slots.items()
+                    if a != b and any(k == k2 and ((a2 == a and b2 != b) or (a2 != a and b2 == b and k != decontaminate.NUMBER)) for k2, a2, b2 in slots.values())
+                }
+                good = [p for p in found if not odd & set(range(p, p + size))]
+                good_words = [p for p in good if eq(words, doc_words, p)]
+                if not (told & set(good) or told_words & set(good_words)):
+                    continue
+                n_named |= told & set(good)
+                n_words |= told_words & set(good_words)
+                span = limits.window + limits.min_run - 1
+                for places, tokens in ((set(good), named), (set(good_words), words)):
+                    run |= any(
+                        all(p + k in places for k in range(limits.min_run)) and 8 * plain(tokens[p : p + span]) >= 4 * span for p in places
+                    )
+            if run or max(len(n_named) / len(told), len(n_words) / len(told_words)) >= limits.min_share:
+                held.add((d, i))
+    return held
+
+
+def test_windows_and_slots_match_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["has", "two", "red", "Ann", "Bob", "Lyon", "3", "12", "7 km", "9 kg", "5", "apples", "are", "and"]
+    make = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = {i: make(rng.choice([5, 6, 7, 8, 12, 20])) for i in range(12)} | {20: "has two 1 2 3 4 red apples", 21: "1 2 3 4 5 6 7 8 9", 22: "two red 5 6 7 8 are and has 1 2 3 4 two two two two"}
+    swap = {"3": "44", "12": "9", "Ann": "Eve", "Lyon": "Rome", "km": "mi", "5": "3"}
+    texts = {}
+    for d in range(90):
+        words = rng.choice(list(items.values())).split()
+        lo = rng.randint(0, len(words) // 2)
+        words = [swap.get(w, w) if rng.random() < 0.4 else w for w in words[lo : lo + rng.randint(5, 20)]]
+        texts[d] = " ".join([make(rng.randint(0, 5)), *words, make(rng.randint(0, 5))]).strip()
+    texts |= {100: " ".join(str(i) for i in range(60)), 101: "has two 9 8 7 6 red apples", 102: "x " + " ".join(items[22].split()[:8]).upper()}
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows.items()), schema)
+    line = decontaminate.marked(F.col("text"))
+
+    def tokens(rows):
+        parsed = frame(rows, "k long, text string").select("k", decontaminate.template(line), decontaminate.words(line), decontaminate.raw_tokens(F.col("text")))
+        return {r[0]: (r[1], r[2], r[3]) for r in parsed.collect()}
+
+    limits = decontaminate.Limits()
+    want = brute_matches(tokens(texts), tokens(items), limits)
+    got = decontaminate.matches(frame(texts, "doc_id long, text string"), frame(items, BENCH), limits)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 30 and (101, 20) in want
+
+
+def test_lists_of_numbers_make_few_candidates(spark):
+    item = QUESTION + " The times were 1 2 3 4 5 6 7 8 9 10 11 12 in this order of the trains."
+    docs = spark.createDataFrame([(1, " ".join(str(i) for i in range(8000)))], "doc_id long, text string")
+    named = docs.select("doc_id", F.col("text").alias("_text"), F.lit(1).cast("long").alias("_key"))
+    limits = decontaminate.Limits()
+    items = decontaminate.benchmark_items(spark.createDataFrame([(1, item)], BENCH), limits)
+    assert decontaminate.candidates(named, items, limits).count() < 20
+    copy = spark.createDataFrame([(2, item.replace("1 2 3 4 5 6 7 8 9 10 11 12", " ".join(str(i) for i in range(31, 43))))], "doc_id long, text string")
+    assert found(docs.union(copy), spark.createDataFrame([(1, item)], BENCH)) == [(2, 1, False)]
+
+
+def test_unspaced_scripts_and_short_items(spark):
+    bench = spark.createDataFrame([(1, "小明有三个红苹果和12个梨他一共有多少个水果"), (2, "Who is Zorba?"), (3, "yes"), (4, "Two. Three. Four")], BENCH)
+    rows = [
+        (1, "开始小明有三个红苹果和12个梨他一共有多少个水果结束"), (2, "一个完全不同的句子在这里没有任何共同的词"), (3, "Hello there. who is  zorba! And so on"),
+        (4, "I know who is Zorba and you"), (5, "yes"), (6, "two, three four\nnext"), (7, "小明有三个红苹果和99个梨他一共有多少个水果"), (8, None), (9, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, bench) == [(1, 1, True), (3, 2, True), (6, 4, True), (7, 1, False)]
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {2, 4, 5, 8, 9}
+
+
 def test_shuffled_way_is_the_same(spark):
     docs, bench = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     a = decontaminate.matches(docs, bench).drop("_key")

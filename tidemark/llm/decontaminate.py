@@ -24,6 +24,10 @@ NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
 
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*+"
 _MEASURE = _NUMBER + r"\x20?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
+#: Letters of scripts that put no blanks between words; each is a token, with the marks that follow it.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&\p{L}]\p{M}*+"
+#: Ends of lines and sentences.
+_LINE, _SENTENCE = r"[\n\r\u2028\u2029]+", r"[\n\r\u2028\u2029.!?\u2026\u3002\uff01\uff1f]+"
 #: White space other than one blank.
 _SPACES = r"[\s\p{Z}]{2,}+|[\s\p{Z}&&[^\x20]]"
 #: A capitalised word inside a sentence: a word, a comma or the like stands before it.
@@ -33,26 +37,36 @@ _NAME = r"(?<=[\p{L}\p{M},;:)]\x20{1,2})\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
 @dataclass(frozen=True)
 class Limits:
     """window: template tokens to a window. A window of the benchmark counts if min_plain of its tokens are plain words
-    (if none has as many, all of the item's do). Items of fewer than min_tokens tokens can't be told from common
-    speech and are left out. A document holds an item if consistent windows are min_share of the item's, or if min_run of
-    them stand one behind another (13 tokens) with plain words in the proportion that a window needs."""
+    (if none has as many, all of the item's do). A document holds an item if consistent windows are min_share of the
+    item's, or if min_run of them stand one behind another (13 tokens) with plain words in the proportion that a window
+    needs. Items of fewer than min_tokens tokens are held where they are a whole line or sentence; those of fewer than
+    min_line_tokens can't be told from common speech and are left out. Sides of joins are broadcast up to
+    max_broadcast_rows rows and max_broadcast_bytes bytes (of their text form)."""
 
     window: int = 8
     min_plain: int = 4
     min_tokens: int = 5
+    min_line_tokens: int = 3
     min_share: float = 0.3
     min_run: int = 6
     max_broadcast_rows: int = 500_000
+    max_broadcast_bytes: int = 64 << 20
 
 
 def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def _parted(text: Column) -> Column:
+    """Blanks around the letters of unspaced scripts; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _UNSPACED, " $0 ")
+
+
 def marked(text: Column) -> Column:
     """The tokens of both keys, joined by blanks: lower-case words, those of names with NAME before them, and
-    placeholders for numbers and units behind them. Any white space is as good as a blank."""
-    spaced = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" ")), _SPACES, " ")
+    placeholders for numbers and units behind them. Any white space is as good as a blank; letters of scripts without
+    blanks are words of their own."""
+    spaced = F.regexp_replace(F.replace(_parted(text), F.lit(MARK), F.lit(" ")), _SPACES, " ")
     numbered = F.regexp_replace(F.regexp_replace(spaced, _MEASURE, f" {NUMBER} {UNIT} "), _NUMBER, f" {NUMBER} ")
     named = F.regexp_replace(numbered, _NAME, f"{NAME}$0")
     return F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}{MARK}]++", " ")
@@ -70,7 +84,7 @@ def words(line: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """The text's own words and numbers (without separators), lower-case, one for each template token."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{N})[.,](?=\p{N})", "")
+    joined = F.regexp_replace(_parted(text), r"(?<=\p{N})[.,](?=\p{N})", "")
     return _split(F.regexp_replace(F.lower(F.regexp_replace(joined, r"\p{N}+", " $0 ")), r"[^\p{L}\p{M}\p{N}]++", " "))
 
 
@@ -83,35 +97,91 @@ def _coded(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _blocks(coded: str, last: Column, size: int, step: int) -> Column:
-    """Hashes of the blocks of so many tokens that begin at 0, step, 2 * step and so on, up to the block `last`."""
-    block = lambda i: F.xxhash64(*[F.get(F.col(coded), i * step + k) for k in range(size)])
+def _plain(token: Column) -> Column:
+    """Whether a coded token is a word: no placeholder, and there at all."""
+    return token.isNotNull() & ~token.isin(*[F.xxhash64(F.lit(m)) for m in (NUMBER, UNIT, NAME)])
+
+
+def _wordless(coded: str, first: Column, size: int) -> Column:
+    """Whether the coded tokens from `first` on are placeholders only."""
+    none = F.lit(True)
+    for k in range(size):
+        none = none & ~_plain(F.get(F.col(coded), first + k))
+    return none
+
+
+def _blocks(coded: str, last: Column, size: int, step: int, skip: Column | None = None) -> Column:
+    """Hashes of the blocks of so many tokens that begin at 0, step, 2 * step and so on, up to the block `last`; where
+    `skip` holds, blocks without a word have none."""
+    hashed = lambda i: F.xxhash64(*[F.get(F.col(coded), i * step + k) for k in range(size)])
+    block = hashed if skip is None else lambda i: F.when(~(skip & _wordless(coded, i * step, size)), hashed(i))
     return F.transform(F.sequence(F.lit(0), last), block)
 
 
+def _anchored(coded: str, last: Column, size: int, step: int) -> Column:
+    """The blocks without a word, hashed together with the word right before or right behind them, if one is there."""
+    token = lambda i: F.get(F.col(coded), i)
+    hashed = lambda side, first: F.xxhash64(F.lit(side), *[token(first + k) for k in range(size + 1)])
+
+    def both(b: Column) -> Column:
+        before = F.when(_plain(token(b * step - 1)), hashed("before", b * step - 1))
+        behind = F.when(_plain(token(b * step + size)), hashed("behind", b * step))
+        return F.array(*[F.struct(b.alias("_b"), h.alias("_anchor")) for h in (before, behind)])
+
+    return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), last), lambda b: _wordless(coded, b * step, size)), both))
+
+
+def _telling(tokens: str, limits: Limits) -> Column:
+    """Starts of an item's windows that hold enough words."""
+    starts = F.sequence(F.lit(0), F.size("item_template") - F.col("size"))
+    words_in = lambda p: F.size(F.filter(F.slice(tokens, p + 1, F.col("size")), lambda t: ~t.startswith(MARK)))
+    return F.filter(starts, lambda p: words_in(p) >= F.least(F.lit(limits.min_plain), F.col("size")))
+
+
 def benchmark_items(benchmark: DataFrame, limits: Limits, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, item_template, item_words, item_raw and size (window, or all tokens of a shorter item), stored.
 
-    Null, empty and too short items are left out; repeated items count once.
+    Null, empty and too short items are left out; repeated items count once. `anchored` items are those whose windows
+    that count all have a word next to any block without one.
     """
     named = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("_text")).distinct()
     named = named.select("item_id", marked(F.col("_text")).alias("_line"), raw_tokens(F.col("_text")).alias("item_raw"))
     items = named.select("item_id", template(F.col("_line")).alias("item_template"), words(F.col("_line")).alias("item_words"), "item_raw")
     items = items.where(F.size("item_template") >= limits.min_tokens)
-    return stored(items.withColumn("size", F.least(F.size("item_template"), F.lit(limits.window))), "items")
+    items = items.withColumn("size", F.least(F.size("item_template"), F.lit(limits.window)))
+    # a block leaves half of a window; if all of that must be words, one is next to a block that has none
+    close = F.lit(limits.min_plain >= limits.window // 2) & (F.size(_telling("item_template", limits)) > 0)
+    return stored(items.withColumn("anchored", close), "items")
 
 
 def _lookup(small: DataFrame, limits: Limits) -> DataFrame:
-    """The side of a join as a broadcast one if it has been counted to be small; else the join shuffles."""
-    return F.broadcast(small) if small.count() <= limits.max_broadcast_rows else small
+    """The side of a join as a broadcast one if its rows and bytes have been counted to be few; else the join shuffles."""
+    size = small.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))).alias("bytes")).first()
+    return F.broadcast(small) if size.n <= limits.max_broadcast_rows and (size.bytes or 0) <= limits.max_broadcast_bytes else small
+
+
+def short_items(docs: DataFrame, benchmark: DataFrame, limits: Limits, *, item_id: str, text: str) -> DataFrame:
+    """doc_id, _key, item_id where a short item is a whole line or sentence; case, signs and white space play no part."""
+    line = lambda t: F.array_join(raw_tokens(t), " ")
+    short = benchmark.select(F.col(item_id).alias("item_id"), line(F.col(text)).alias("_item"))
+    number = F.size(_split(F.col("_item")))
+    short = stored(short.where((number >= limits.min_line_tokens) & (number < limits.min_tokens)).distinct(), "short-items")
+    if short.isEmpty():
+        return docs.limit(0).join(short).select("doc_id", "_key", "item_id")
+    whole = F.coalesce(F.col("_text"), F.lit(""))
+    lines = docs.select("doc_id", "_key", F.explode(F.array_union(F.split(whole, _LINE), F.split(whole, _SENTENCE))).alias("_line"))
+    lines = lines.select("doc_id", "_key", line(F.col("_line")).alias("_line"))
+    return lines.join(_lookup(short, limits), F.col("_line") == F.col("_item")).select("doc_id", "_key", "item_id").distinct()
 
 
 def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, _key, item_id, offset (document place less item place) where a document's block of tokens, by either key, is in an item.
+    """doc_id, _key, item_id, _n (the item's tokens), offset (document place less item place) where a document's block of
+    tokens, by either key, is in an item.
 
     The documents' blocks stand one behind another, the items' at every place, so each shared window holds one of them.
+    Blocks of placeholders only, which lists of numbers are full of, meet together with the word next to them.
     """
-    blocks = items.select("item_id", "item_template", "item_words", block_size(F.col("size")).alias("block"))
+    blocks = items.select("item_id", "item_template", "item_words", "anchored", block_size(F.col("size")).alias("block"))
     widths = [r["block"] for r in blocks.select("block").distinct().collect()]  # a few: half of the sizes up to `window`
     keys = ("_named", "_plain")
     coded = docs.select("doc_id", "_key", marked(F.col("_text")).alias("_line"))
@@ -119,26 +189,34 @@ def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     # the size keeps the hashes columns of their own, so that they are made once for each text
     coded = coded.select("doc_id", "_key", *keys, F.size("_named").alias("_n"))
 
-    def both(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str) -> DataFrame:
+    def both(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str, skip: Column | None = None) -> DataFrame:
         """A row for each block and key."""
-        hashes = F.concat(*[_blocks(k, last, size, step) for k in keys])
+        hashes = F.concat(*[_blocks(k, last, size, step, skip) for k in keys])
         rows = frame.withColumn("_of", last + 1).select(*columns, "_of", F.posexplode(hashes).alias("_at", to))
         return rows.select(*columns, F.pmod("_at", "_of").cast("int").alias(place), to)
 
     found = None
     for width in widths:
         own = blocks.where(F.col("block") == width)
-        own = own.select("item_id", _coded(F.col("item_template")).alias("_named"), _coded(F.col("item_words")).alias("_plain"))
-        own = own.select("item_id", *keys, F.size("_named").alias("_n")).where(F.col("_n") >= width)
-        own = both(own, ["item_id"], F.col("_n") - width, width, 1, "_place", "_h")
+        own = own.select("item_id", "anchored", _coded(F.col("item_template")).alias("_named"), _coded(F.col("item_words")).alias("_plain"))
+        own = own.select("item_id", "anchored", *keys, F.size("_named").alias("_n")).where(F.col("_n") >= width)
         whole = F.floor(F.col("_n") / width).cast("int")
-        theirs = both(coded.where(F.col("_n") >= width), ["doc_id", "_key"], whole - 1, width, width, "_block", "_g")
-        hits = theirs.join(_lookup(stored(own.distinct(), "blocks"), limits), F.col("_g") == F.col("_h")).select(
-            "doc_id", "_key", "item_id", (F.col("_block") * width - F.col("_place")).alias("offset")
-        )
+        offset = (F.col("_block") * width - F.col("_place")).alias("offset")
+        texts = coded.where(F.col("_n") >= width)
+        places = both(own, ["item_id", "_n"], F.col("_n") - width, width, 1, "_place", "_h", F.col("anchored")).where("_h IS NOT NULL")
+        theirs = both(texts, ["doc_id", "_key"], whole - 1, width, width, "_block", "_g")
+        hits = theirs.join(_lookup(stored(places.distinct(), "blocks"), limits), F.col("_g") == F.col("_h"))
+        hits = hits.select("doc_id", "_key", "item_id", "_n", offset)
         found = hits if found is None else found.union(hits)
+        anchors = own.where("anchored").select("item_id", "_n", F.inline(F.concat(*[_anchored(k, F.col("_n") - width, width, 1) for k in keys])))
+        anchors = stored(anchors.where("_anchor IS NOT NULL").toDF("item_id", "_n", "_place", "_h").distinct(), "anchors")
+        if not anchors.isEmpty():
+            theirs = texts.select("doc_id", "_key", F.inline(F.concat(*[_anchored(k, whole - 1, width, width) for k in keys])))
+            theirs = theirs.where("_anchor IS NOT NULL").toDF("doc_id", "_key", "_block", "_g")
+            found = found.union(theirs.join(_lookup(anchors, limits), F.col("_g") == F.col("_h")).select("doc_id", "_key", "item_id", "_n", offset))
     if found is None:
-        found = docs.limit(0).join(items.select("item_id").limit(0)).select("doc_id", "_key", "item_id", F.lit(0).alias("offset"))
+        nothing = [F.lit(0).alias("_n"), F.lit(0).alias("offset")]
+        found = docs.limit(0).join(items.select("item_id").limit(0)).select("doc_id", "_key", "item_id", *nothing)
     return stored(found.distinct(), "candidates")
 
 
@@ -154,7 +232,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
     for several ones in the document at this offset, or if it stands for several units or names of the item (numbers
     chosen anew may happen to be equal). Windows that hold a conflicting slot don't count; all others do. exact says
     that all slots of the windows that count hold the item's own values. _key tells apart texts of one doc_id; rows that agree
-    in doc_id and text give one result. Null and empty texts hold nothing; empty tables give an empty result.
+    in doc_id and text give one result. A short item that is a whole line or sentence counts as one window without slots.
+    Null and empty texts hold nothing; empty tables give an empty result.
     """
     items = benchmark_items(benchmark, limits, item_id=item_id, text=item_text)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
@@ -167,31 +246,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
     )
     again = again.select("_d", "_k", template(F.col("_line")).alias("doc_template"), words(F.col("_line")).alias("doc_words"), "doc_raw")
     starts = F.sequence(F.lit(0), F.size("item_template") - F.col("size"))
-
-    def telling(tokens: str) -> Column:
-        part = lambda p: F.slice(tokens, p + 1, F.col("size"))
-        plain = lambda p: F.size(F.filter(part(p), lambda t: ~t.startswith(MARK))) >= F.least(F.lit(limits.min_plain), F.col("size"))
-        told = F.filter(starts, plain)
-        return F.when(F.size(told) > 0, told).otherwise(starts)
-
-    own = items.withColumnRenamed("item_id", "_i").withColumn("_starts", telling("item_template")).withColumn("_word_starts", telling("item_words"))
-    aligned = runs.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).join(
-        _lookup(own, limits), F.col("item_id").eqNullSafe(F.col("_i"))
+    counting = lambda told: F.when(F.size(told) > 0, told).otherwise(starts)
+    own = items.withColumnsRenamed({"item_id": "_i"}).withColumns(
+        {"_of_n": F.size("item_template"), "_starts": counting(_telling("item_template", limits)), "_word_starts": counting(_telling("item_words", limits))}
     )
+    # of a document, each alignment takes only the tokens beside the item
+    beside = lambda doc: F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda p: F.get(doc, p + F.col("offset"))).alias(doc)
+    laid = runs.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    laid = laid.select("doc_id", "_key", "item_id", "_n", *[beside(c) for c in ("doc_template", "doc_words", "doc_raw")])
+    aligned = laid.join(_lookup(own, limits), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("_n") == F.col("_of_n"))).drop("_n")
 
     def same(item: str, doc: str) -> Column:
         """Whether the tokens at each place of the item are equal."""
-        return F.transform(
-            F.sequence(F.lit(0), F.size(item) - 1),
-            lambda p: (p + F.col("offset") >= 0) & (F.get(item, p) == F.coalesce(F.get(doc, F.greatest(p + F.col("offset"), F.lit(0))), F.lit(""))),
-        )
+        return F.transform(F.sequence(F.lit(0), F.size(item) - 1), lambda p: F.get(item, p) == F.coalesce(F.get(doc, p), F.lit("")))
 
     whole = lambda flags, p: F.forall(F.slice(flags, p + 1, F.col("size")), lambda x: x)
     counted = aligned.withColumn("_same", same("item_template", "doc_template")).withColumn("_same_words", same("item_words", "doc_words"))
     counted = counted.withColumn("_found", F.filter(starts, lambda p: whole("_same", p) | whole("_same_words", p))).where(F.size("_found") > 0)
     covered = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1))))
     slot = lambda p: F.struct(
-        F.get("item_template", p).alias("kind"), F.get("item_raw", p).alias("theirs"), F.get("doc_raw", p + F.col("offset")).alias("ours")
+        F.get("item_template", p).alias("kind"), F.get("item_raw", p).alias("theirs"), F.get("doc_raw", p).alias("ours")
     )
     slots = lambda places: F.transform(F.filter(covered(places), lambda p: F.get("item_template", p).startswith(MARK)), lambda p: F.struct(p.alias("at"), slot(p).alias("slot")))
     counted = counted.withColumn("_slots", slots(F.col("_found")))
@@ -225,8 +299,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), *,
     checked = counted.where((F.size("places") > 0) | (F.size("word_places") > 0)).withColumn(
         "_held", F.array_distinct(F.transform(slots(F.array_union("places", "word_places")), lambda s: s["slot"]))
     )
+    lines = short_items(named, benchmark, limits, item_id=item_id, text=item_text)
+    whole_lines = lines.select(
+        "doc_id", "_key", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("share"), F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact")
+    )
     number = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
-    return (
+    return whole_lines.union(
         checked.groupBy("doc_id", "_key", "item_id")
         .agg(
             number("places").alias("_n"),
