@@ -25,7 +25,9 @@ NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*+"
 _MEASURE = _NUMBER + r"\x20?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
 #: Letters of scripts that put no blanks between words; each is a token, with the marks that follow it.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&\p{L}]\p{M}*+"
+_SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: None of them comes before U+0E00, which tells most letters apart without a look at their script.
+_UNSPACED = rf"[\u0e00-\x{{10ffff}}&&{_SCRIPTS}&&\p{{L}}]\p{{M}}*+"
 #: Ends of lines and sentences.
 _LINE, _SENTENCE = r"[\n\r\u2028\u2029]+", r"[\n\r\u2028\u2029.!?\u2026\u3002\uff01\uff1f]+"
 #: White space other than one blank.
