@@ -95,34 +95,30 @@ def block_size(window: Column) -> Column:
     return F.floor((window + 1) / 2).cast("int")
 
 
-def _coded(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(t))
-
-
 def _plain(token: Column) -> Column:
-    """Whether a coded token is a word: no placeholder, and there at all."""
-    return token.isNotNull() & ~token.isin(*[F.xxhash64(F.lit(m)) for m in (NUMBER, UNIT, NAME)])
+    """Whether a token is a word: no placeholder, and there at all."""
+    return token.isNotNull() & ~token.startswith(MARK)
 
 
-def _wordless(coded: str, first: Column, size: int) -> Column:
-    """Whether the coded tokens from `first` on are placeholders only."""
+def _wordless(tokens: str, first: Column, size: int) -> Column:
+    """Whether the tokens from `first` on are placeholders only."""
     none = F.lit(True)
     for k in range(size):
-        none = none & ~_plain(F.get(F.col(coded), first + k))
+        none = none & ~_plain(F.get(F.col(tokens), first + k))
     return none
 
 
-def _blocks(coded: str, last: Column, size: int, step: int, skip: Column | None = None) -> Column:
+def _blocks(tokens: str, last: Column, size: int, step: int, skip: Column | None = None) -> Column:
     """Hashes of the blocks of so many tokens that begin at 0, step, 2 * step and so on, up to the block `last`; where
     `skip` holds, blocks without a word have none."""
-    hashed = lambda i: F.xxhash64(*[F.get(F.col(coded), i * step + k) for k in range(size)])
-    block = hashed if skip is None else lambda i: F.when(~(skip & _wordless(coded, i * step, size)), hashed(i))
+    hashed = lambda i: F.xxhash64(*[F.get(F.col(tokens), i * step + k) for k in range(size)])
+    block = hashed if skip is None else lambda i: F.when(~(skip & _wordless(tokens, i * step, size)), hashed(i))
     return F.transform(F.sequence(F.lit(0), last), block)
 
 
-def _anchored(coded: str, last: Column, size: int, step: int) -> Column:
+def _anchored(tokens: str, last: Column, size: int, step: int) -> Column:
     """The blocks without a word, hashed together with the word right before or right behind them, if one is there."""
-    token = lambda i: F.get(F.col(coded), i)
+    token = lambda i: F.get(F.col(tokens), i)
     hashed = lambda side, first: F.xxhash64(F.lit(side), *[token(first + k) for k in range(size + 1)])
 
     def both(b: Column) -> Column:
@@ -130,7 +126,7 @@ def _anchored(coded: str, last: Column, size: int, step: int) -> Column:
         behind = F.when(_plain(token(b * step + size)), hashed("behind", b * step))
         return F.array(*[F.struct(b.alias("_b"), h.alias("_anchor")) for h in (before, behind)])
 
-    return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), last), lambda b: _wordless(coded, b * step, size)), both))
+    return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), last), lambda b: _wordless(tokens, b * step, size)), both))
 
 
 def _telling(tokens: str, limits: Limits) -> Column:
@@ -186,10 +182,10 @@ def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     blocks = items.select("item_id", "item_template", "item_words", "anchored", block_size(F.col("size")).alias("block"))
     widths = [r["block"] for r in blocks.select("block").distinct().collect()]  # a few: half of the sizes up to `window`
     keys = ("_named", "_plain")
-    coded = docs.select("doc_id", "_key", marked(F.col("_text")).alias("_line"))
-    coded = coded.select("doc_id", "_key", _coded(template(F.col("_line"))).alias("_named"), _coded(words(F.col("_line"))).alias("_plain"))
-    # the size keeps the hashes columns of their own, so that they are made once for each text
-    coded = coded.select("doc_id", "_key", *keys, F.size("_named").alias("_n"))
+    parsed = docs.select("doc_id", "_key", marked(F.col("_text")).alias("_line"))
+    parsed = parsed.select("doc_id", "_key", template(F.col("_line")).alias("_named"), words(F.col("_line")).alias("_plain"))
+    # the size keeps the tokens columns of their own, so that they are made once for each text
+    parsed = parsed.select("doc_id", "_key", *keys, F.size("_named").alias("_n"))
 
     def both(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str, skip: Column | None = None) -> DataFrame:
         """A row for each block and key."""
@@ -200,11 +196,11 @@ def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     found = None
     for width in widths:
         own = blocks.where(F.col("block") == width)
-        own = own.select("item_id", "anchored", _coded(F.col("item_template")).alias("_named"), _coded(F.col("item_words")).alias("_plain"))
+        own = own.select("item_id", "anchored", F.col("item_template").alias("_named"), F.col("item_words").alias("_plain"))
         own = own.select("item_id", "anchored", *keys, F.size("_named").alias("_n")).where(F.col("_n") >= width)
         whole = F.floor(F.col("_n") / width).cast("int")
         offset = (F.col("_block") * width - F.col("_place")).alias("offset")
-        texts = coded.where(F.col("_n") >= width)
+        texts = parsed.where(F.col("_n") >= width)
         places = both(own, ["item_id", "_n"], F.col("_n") - width, width, 1, "_place", "_h", F.col("anchored")).where("_h IS NOT NULL")
         theirs = both(texts, ["doc_id", "_key"], whole - 1, width, width, "_block", "_g")
         hits = theirs.join(_lookup(stored(places.distinct(), "blocks"), limits), F.col("_g") == F.col("_h"))
