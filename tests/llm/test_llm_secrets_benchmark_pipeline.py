@@ -278,6 +278,30 @@ def test_lists_of_numbers_make_few_candidates(spark):
     assert found(docs.union(copy), spark.createDataFrame([(1, item)], BENCH)) == [(2, 1, False)]
 
 
+def test_candidates_parse_each_text_once(spark, monkeypatch):
+    """A filter on the parsed columns would be pushed below them and parse all texts a second time."""
+    plans, real = {}, decontaminate.stored
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", kept)
+    item = QUESTION.replace("120 km", "one hundred km").replace("3.5", "three")  # no block without a word
+    rows = [(1, item), (2, "one two three"), (3, "one two three four"), (4, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, spark.createDataFrame([(1, item)], BENCH)) == [(1, 1, True)]
+    assert plans["candidates"].count("IsHan") == 1
+
+
+def test_texts_shorter_than_a_block_have_none(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "1 2 3"), (4, "one two three"), (5, "one 2 3 4"), (6, "1 2 3 4 five six 7 8")], "doc_id long, _text string")
+    df = df.withColumn("_key", F.lit(0).cast("long"))
+    rows = lambda **k: sorted((r.doc_id, r._block) for r in decontaminate.document_blocks(df, 4, **k).collect())
+    assert rows() == [(5, 0), (5, 0), (6, 0), (6, 0), (6, 1), (6, 1)]
+    assert rows(anchors=True) == [(6, 0), (6, 0)]
+
+
 def test_unspaced_scripts_and_short_items(spark):
     bench = spark.createDataFrame([(1, "小明有三个红苹果和12个梨他一共有多少个水果"), (2, "Who is Zorba?"), (3, "yes"), (4, "Two. Three. Four")], BENCH)
     rows = [

@@ -108,12 +108,18 @@ def _wordless(tokens: str, first: Column, size: int) -> Column:
     return none
 
 
+def _up_to(last: Column) -> Column:
+    """0, 1 and so on up to `last`; nothing below 0. So texts shorter than a block need no filter, which Catalyst would
+    push below the parsed columns, parsing each text twice."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
 def _blocks(tokens: str, last: Column, size: int, step: int, skip: Column | None = None) -> Column:
     """Hashes of the blocks of so many tokens that begin at 0, step, 2 * step and so on, up to the block `last`; where
     `skip` holds, blocks without a word have none."""
     hashed = lambda i: F.xxhash64(*[F.get(F.col(tokens), i * step + k) for k in range(size)])
     block = hashed if skip is None else lambda i: F.when(~(skip & _wordless(tokens, i * step, size)), hashed(i))
-    return F.transform(F.sequence(F.lit(0), last), block)
+    return F.transform(_up_to(last), block)
 
 
 def _anchored(tokens: str, last: Column, size: int, step: int) -> Column:
@@ -126,7 +132,38 @@ def _anchored(tokens: str, last: Column, size: int, step: int) -> Column:
         behind = F.when(_plain(token(b * step + size)), hashed("behind", b * step))
         return F.array(*[F.struct(b.alias("_b"), h.alias("_anchor")) for h in (before, behind)])
 
-    return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), last), lambda b: _wordless(tokens, b * step, size)), both))
+    return F.flatten(F.transform(F.filter(_up_to(last), lambda b: _wordless(tokens, b * step, size)), both))
+
+
+_KEYS = ("_named", "_plain")
+
+
+def _block_rows(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str, skip: Column | None = None) -> DataFrame:
+    """A row for each block and key."""
+    hashes = F.concat(*[_blocks(k, last, size, step, skip) for k in _KEYS])
+    rows = frame.withColumn("_of", last + 1).select(*columns, "_of", F.posexplode(hashes).alias("_at", to))
+    return rows.select(*columns, F.pmod("_at", "_of").cast("int").alias(place), to)
+
+
+def _anchor_rows(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str) -> DataFrame:
+    """A row for each block without a word, key and word next to it."""
+    rows = frame.select(*columns, F.inline(F.concat(*[_anchored(k, last, size, step) for k in _KEYS])))
+    return rows.where("_anchor IS NOT NULL").toDF(*columns, place, to)
+
+
+def _parsed(docs: DataFrame) -> DataFrame:
+    """doc_id, _key, the tokens of both keys and their number _n."""
+    parsed = docs.select("doc_id", "_key", marked(F.col("_text")).alias("_line"))
+    parsed = parsed.select("doc_id", "_key", template(F.col("_line")).alias("_named"), words(F.col("_line")).alias("_plain"))
+    # the size keeps the tokens columns of their own, so that they are made once for each text
+    return parsed.select("doc_id", "_key", *_KEYS, F.size("_named").alias("_n"))
+
+
+def document_blocks(docs: DataFrame, width: int, *, anchors: bool = False) -> DataFrame:
+    """doc_id, _key, _block, _g (its hash) of the blocks of so many tokens that stand one behind another in each text;
+    with `anchors`, of those without a word, with the word next to them. Each text is parsed once."""
+    rows = _anchor_rows if anchors else _block_rows
+    return rows(_parsed(docs), ["doc_id", "_key"], F.floor(F.col("_n") / width).cast("int") - 1, width, width, "_block", "_g")
 
 
 def _telling(tokens: str, limits: Limits) -> Column:
@@ -181,36 +218,21 @@ def candidates(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     """
     blocks = items.select("item_id", "item_template", "item_words", "anchored", block_size(F.col("size")).alias("block"))
     widths = [r["block"] for r in blocks.select("block").distinct().collect()]  # a few: half of the sizes up to `window`
-    keys = ("_named", "_plain")
-    parsed = docs.select("doc_id", "_key", marked(F.col("_text")).alias("_line"))
-    parsed = parsed.select("doc_id", "_key", template(F.col("_line")).alias("_named"), words(F.col("_line")).alias("_plain"))
-    # the size keeps the tokens columns of their own, so that they are made once for each text
-    parsed = parsed.select("doc_id", "_key", *keys, F.size("_named").alias("_n"))
-
-    def both(frame: DataFrame, columns: list[str], last: Column, size: int, step: int, place: str, to: str, skip: Column | None = None) -> DataFrame:
-        """A row for each block and key."""
-        hashes = F.concat(*[_blocks(k, last, size, step, skip) for k in keys])
-        rows = frame.withColumn("_of", last + 1).select(*columns, "_of", F.posexplode(hashes).alias("_at", to))
-        return rows.select(*columns, F.pmod("_at", "_of").cast("int").alias(place), to)
-
     found = None
     for width in widths:
         own = blocks.where(F.col("block") == width)
         own = own.select("item_id", "anchored", F.col("item_template").alias("_named"), F.col("item_words").alias("_plain"))
-        own = own.select("item_id", "anchored", *keys, F.size("_named").alias("_n")).where(F.col("_n") >= width)
-        whole = F.floor(F.col("_n") / width).cast("int")
+        own = own.select("item_id", "anchored", *_KEYS, F.size("_named").alias("_n")).where(F.col("_n") >= width)
+        last = F.col("_n") - width
         offset = (F.col("_block") * width - F.col("_place")).alias("offset")
-        texts = parsed.where(F.col("_n") >= width)
-        places = both(own, ["item_id", "_n"], F.col("_n") - width, width, 1, "_place", "_h", F.col("anchored")).where("_h IS NOT NULL")
-        theirs = both(texts, ["doc_id", "_key"], whole - 1, width, width, "_block", "_g")
-        hits = theirs.join(_lookup(stored(places.distinct(), "blocks"), limits), F.col("_g") == F.col("_h"))
+        places = _block_rows(own, ["item_id", "_n"], last, width, 1, "_place", "_h", F.col("anchored")).where("_h IS NOT NULL")
+        hits = document_blocks(docs, width).join(_lookup(stored(places.distinct(), "blocks"), limits), F.col("_g") == F.col("_h"))
         hits = hits.select("doc_id", "_key", "item_id", "_n", offset)
         found = hits if found is None else found.union(hits)
-        anchors = own.where("anchored").select("item_id", "_n", F.inline(F.concat(*[_anchored(k, F.col("_n") - width, width, 1) for k in keys])))
-        anchors = stored(anchors.where("_anchor IS NOT NULL").toDF("item_id", "_n", "_place", "_h").distinct(), "anchors")
+        anchors = _anchor_rows(own.where("anchored"), ["item_id", "_n"], last, width, 1, "_place", "_h")
+        anchors = stored(anchors.distinct(), "anchors")
         if not anchors.isEmpty():
-            theirs = texts.select("doc_id", "_key", F.inline(F.concat(*[_anchored(k, whole - 1, width, width) for k in keys])))
-            theirs = theirs.where("_anchor IS NOT NULL").toDF("doc_id", "_key", "_block", "_g")
+            theirs = document_blocks(docs, width, anchors=True)
             found = found.union(theirs.join(_lookup(anchors, limits), F.col("_g") == F.col("_h")).select("doc_id", "_key", "item_id", "_n", offset))
     if found is None:
         nothing = [F.lit(0).alias("_n"), F.lit(0).alias("offset")]
