@@ -428,3 +428,17 @@ def test_density_matches_direct_sums(spark):
         area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(curve, curve[1:]))
         assert area == pytest.approx(1, abs=5e-3)
     assert density(df.limit(0), "v").count() == 0
+
+
+def test_density_weights_are_exact(spark):
+    from tidemark.operators.outliers import density
+
+    vs = [1.0, 1.7, 2.3, 4.1, 4.1, 9.9]
+    n, mean, points = len(vs), sum(vs) / len(vs), 30
+    h = math.sqrt(sum((v - mean) ** 2 for v in vs) / (n - 1)) * n**-0.2
+    lo, step = min(vs) - 3 * h, (max(vs) - min(vs) + 6 * h) / (points - 1)
+    kernel = lambda steps: math.exp(-((steps * step / h) ** 2) / 2)
+    places = [((v - lo) / step) for v in vs]
+    for r in density(spark.createDataFrame([(v,) for v in vs], "v double"), "v", points).collect():
+        dealt = sum((1 - p % 1) * kernel(r.point - p // 1) + p % 1 * kernel(r.point - p // 1 - 1) for p in places)
+        assert r.density == pytest.approx(dealt / (n * h * math.sqrt(2 * math.pi)), rel=0, abs=1e-13)

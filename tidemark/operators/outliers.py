@@ -156,14 +156,12 @@ def density(df: DataFrame, column: str, points: int = 200, by: Sequence[str] = (
     place = (F.col("_v") - F.col("_lo")) / F.col("_step")
     left = F.least(F.floor(place).cast("int"), F.lit(points - 2))
     share = F.greatest(F.least(place - left, F.lit(1.0)), F.lit(0.0))
-    # weights in whole billionths: sums don't depend on the order of rows
-    right = F.round(share * 1_000_000_000).cast("long")
-    halves = F.array(
-        F.struct(left.alias("_at"), (F.lit(1_000_000_000).cast("long") - right).alias("_w")),
-        F.struct((left + 1).alias("_at"), right.alias("_w")),
-    )
+    # weights in whole billionths and millionths of these: sums don't depend on the order of rows
+    right = F.round(share * 1e15).cast("long")
+    weight = lambda w: [F.floor(w / 1_000_000).alias("_w"), F.pmod(w, F.lit(1_000_000)).alias("_rest")]
+    halves = F.array(F.struct(left.alias("_at"), *weight(F.lit(10**15) - right)), F.struct((left + 1).alias("_at"), *weight(right)))
     dealt = with_group_rows(values, grid, by).select(*by, F.inline(halves))
-    weights = dealt.groupBy(*by, "_at").agg(F.sum("_w").alias("_w"))
+    weights = dealt.groupBy(*by, "_at").agg((F.sum("_w") + F.sum("_rest") / 1_000_000).alias("_w"))
     binned = weights.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_w"))).alias("_bins"))
     curve = (join_groups(grid, binned, by) if by else with_one_row(grid, binned)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
 
